@@ -57,4 +57,4 @@ def compact_map(m: Column) -> Column:
 
 def whole_text(c: Column) -> Column:
     """Number as text without decimals, ties to even."""
-    return F.bround(c, 0).cast("decimal(38,0)").cast("string")
+    return F.coalesce(F.bround(c, 0).try_cast("decimal(38,0)").cast("string"), F.lit("inf"))

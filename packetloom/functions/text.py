@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def _fixed(c: Column, digits: int) -> Column:
     """Fixed decimals; rounding ties to even like C printf on exact halves."""
     if digits == 0:
-        return F.bround(c, 0).cast("decimal(38,0)").cast("string")
+        return F.bround(c, 0).try_cast("decimal(38,0)").cast("string")
     return F.format_string(f"%.{digits}f", F.bround(c, digits))
 
 

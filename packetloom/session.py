@@ -37,6 +37,7 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, **conf: st
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in {**RUNTIME_CONF, **conf}.items():
