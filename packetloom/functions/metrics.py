@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom import constants as K
-from packetloom.functions.numeric import finite
+from packetloom.functions.numeric import finite, null_if_not_finite, parse_double
 
 
 def normalize_key(c: Column) -> Column:
@@ -60,27 +60,41 @@ def metric_columns(lookup: Callable[[str], Column], udp_per_minute: bool = False
     return {"pkt_len": pkt_len, "syn_count": syn, "udp_count": udp}
 
 
+METRIC_KEYS = list(
+    dict.fromkeys(
+        _plain_key(name)
+        for name in [
+            *[alias for aliases in K.METRIC_ALIASES.values() for alias in aliases],
+            *K.SYN_RATE_ALIASES, "Flow Packets/s", "Flow Duration", "SYN Flag Count", "Protocol",
+        ]
+    )
+)
+
+
+def _staged(df: DataFrame, values: dict[str, Column], udp_per_minute: bool) -> DataFrame:
+    """Look every key up once, then derive the metrics from plain columns."""
+    work = df.withColumns({f"__m_{key}": value for key, value in values.items()})
+
+    def lookup(key: str) -> Column:
+        return F.col(f"__m_{key}") if key in values else F.lit(None).cast("double")
+
+    return work.withColumns(metric_columns(lookup, udp_per_minute)).drop(*[f"__m_{key}" for key in values])
+
+
 def dynamic_metrics_from_map(
     df: DataFrame, record: str, features: str | None = None, udp_per_minute: bool = False
 ) -> DataFrame:
     """Metrics of a free-form record column, the record preferred to the features."""
     source = F.coalesce(F.col(record), F.col(features)) if features else F.col(record)
-    keyed = F.transform_keys(source, lambda k, _: normalize_key(k))
-    work = df.withColumn("__metric_map", keyed)
-
-    def lookup(key: str) -> Column:
-        return finite(F.col("__metric_map")[key])
-
-    return work.withColumns(metric_columns(lookup, udp_per_minute)).drop("__metric_map")
+    numbers = F.transform_values(source, lambda _, v: parse_double(v))
+    numbers = F.transform_values(numbers, lambda _, v: null_if_not_finite(v))
+    work = df.withColumn("__metric_map", F.transform_keys(numbers, lambda k, _: normalize_key(k)))
+    values = {key: F.col("__metric_map")[key] for key in METRIC_KEYS}
+    return _staged(work, values, udp_per_minute).drop("__metric_map")
 
 
 def dynamic_metrics(df: DataFrame, udp_per_minute: bool = False) -> DataFrame:
     """Metrics of typed columns; aliases resolve against the schema."""
     by_key = {_plain_key(name): name for name in df.columns}
-
-    def lookup(key: str) -> Column:
-        if key in by_key:
-            return finite(F.col(f"`{by_key[key]}`"))
-        return F.lit(None).cast("double")
-
-    return df.withColumns(metric_columns(lookup, udp_per_minute))
+    values = {key: finite(F.col(f"`{by_key[key]}`")) for key in METRIC_KEYS if key in by_key}
+    return _staged(df, values, udp_per_minute)

@@ -9,10 +9,30 @@ from pyspark.sql import functions as F
 
 
 def _fixed(c: Column, digits: int) -> Column:
-    """Fixed decimals; rounding ties to even like C printf on exact halves."""
+    """Fixed decimals of the exact binary value, ties to even, as C printf does.
+
+    ``scaled`` is c x 10^digits rounded to a double; ``rest`` is what that
+    rounding lost (exact, from the split high and low halves of c), and it
+    decides apparent ties such as 0.065.
+    """
+    power = float(10**digits)
+    size = F.abs(c)
+    scaled = size * F.lit(power)
+    high = size * F.lit(134217729.0) - (size * F.lit(134217729.0) - size)
+    rest = (high * F.lit(power) - scaled) + (size - high) * F.lit(power)
+    down = F.floor(scaled)
+    part = scaled - down
+    up = (
+        F.when(part > 0.5, 1).when(part < 0.5, 0).when(rest > 0, 1).when(rest < 0, 0).otherwise(down % 2)
+    )
+    whole = (down + up).cast("bigint")
+    sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
     if digits == 0:
-        return F.bround(c, 0).try_cast("decimal(38,0)").cast("string")
-    return F.format_string(f"%.{digits}f", F.bround(c, digits))
+        text = whole.cast("string")
+    else:
+        left = F.floor(whole / F.lit(power)).cast("bigint")
+        text = F.format_string(f"%d.%0{digits}d", left, whole - left * F.lit(10**digits))
+    return F.when(size < F.lit(1e15 / power), F.concat(sign, text)).otherwise(F.format_string(f"%.{digits}f", c))
 
 
 def format_value(c: Column, spec: str) -> Column:

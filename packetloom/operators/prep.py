@@ -19,7 +19,7 @@ from packetloom.functions.numeric import null_if_not_finite, parse_double
 from packetloom.operators.sizing import dense_codes, small
 
 MISSING = "__missing__"
-HISTOGRAM_BUCKETS = 65536
+HISTOGRAM_BUCKETS = 4096
 
 
 def _q(name: str) -> Column:
@@ -211,7 +211,7 @@ def fit_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     Instead each pass counts equal-width buckets of the interval that still
     holds the middle ranks, for all open columns in one aggregate, and brings
     back the one or two buckets of interest per column. An interval shrinks
-    by up to 65,536 per pass, so a few passes settle it exactly.
+    by up to 4,096 per pass, so a few passes settle it exactly.
     """
     aggs = []
     for i, c in enumerate(columns):
@@ -238,24 +238,23 @@ def _narrow(
 ) -> dict[str, tuple[float, float, int, int]]:
     names = list(state)
     top = HISTOGRAM_BUCKETS - 1
-    cells = []
-    for i, c in enumerate(names):
-        lo, hi, _, _ = state[c]
-        v = null_if_not_finite(_q(c).cast("double"))
-        # Halved operands keep the span of huge opposite-signed values finite.
-        at = (v / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
-        bucket = F.when(v == hi, F.lit(top)).otherwise(F.least(F.floor(at * top), F.lit(top - 1)).cast("int"))
-        inside = F.when(v.between(lo, hi), v)
-        cells.append(F.struct(F.lit(i).alias("i"), F.when(inside.isNotNull(), bucket).alias("b"), inside.alias("v")))
+    cells = [
+        F.struct(F.lit(i).alias("i"), null_if_not_finite(_q(c).cast("double")).alias("v")) for i, c in enumerate(names)
+    ]
+    wanted = df.sparkSession.createDataFrame(
+        [(i, *state[c]) for i, c in enumerate(names)], "i int, lo double, hi double, k1 bigint, k2 bigint"
+    )
+    # Halved operands keep the span of huge opposite-signed values finite.
+    at = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+    bucket = F.when(F.col("v") == F.col("hi"), F.lit(top)).otherwise(F.least(F.floor(at * top), F.lit(top - 1)).cast("int"))
     counts = (
         df.select(F.inline(F.array(*cells)))
-        .where(F.col("v").isNotNull())
-        .groupBy("i", "b")
+        .join(F.broadcast(wanted), "i")
+        .where(F.col("v").between(F.col("lo"), F.col("hi")))
+        .groupBy("i", bucket.alias("b"))
         .agg(F.count("v").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     )
-    ranks = df.sparkSession.createDataFrame(
-        [(i, state[c][2], state[c][3]) for i, c in enumerate(names)], "i int, k1 bigint, k2 bigint"
-    )
+    ranks = wanted.select("i", "k1", "k2")
     upto = F.expr("sum(c) OVER (PARTITION BY i ORDER BY b)")
     hits = (
         counts.withColumn("upto", upto)

@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 
 from packetloom.operators.sizing import small
 
+SMALL_N = 1_000
+
 
 def order_hash(seed: str | int, keys: list[str]) -> Column:
     parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
@@ -61,7 +63,17 @@ def mark_per_group(
 def take_per_group(
     df: DataFrame, group: list[str], keys: list[str], n: int | DataFrame, seed: str | int = 0
 ) -> DataFrame:
-    """The first ``n`` rows of every group in hash order."""
+    """The first ``n`` rows of every group in hash order.
+
+    For a small fixed ``n`` the rank filter is pushed below the shuffle: every
+    task forwards at most ``n`` rows per group, however large the group is.
+    """
+    if not isinstance(n, DataFrame) and n <= SMALL_N:
+        work = df.withColumn("__h", order_hash(seed, keys))
+        if not group:
+            return work.orderBy("__h", *keys).limit(n).drop("__h")
+        rank = F.row_number().over(W.partitionBy(*group).orderBy("__h", *keys))
+        return work.withColumn("__rn", rank).where(F.col("__rn") <= n).drop("__h", "__rn")
     return mark_per_group(df, group, keys, n, seed, "__taken").where("__taken").drop("__taken")
 
 

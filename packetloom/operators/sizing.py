@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from packetloom.session import ensure_checkpoint_dir
 
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 LOCAL_CODES = 1_000_000
 
 
@@ -18,9 +18,17 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the row count is checked; otherwise a plain
-    shuffled join, where adaptive execution splits skewed keys."""
-    return F.broadcast(df) if has_at_most(df, rows) else df
+    """Dimension table for a join: pinned and broadcast if its size allows.
+
+    At most ``rows`` + 1 rows are fetched to check the size. Within the bound
+    the fetched rows themselves become the broadcast side, so the table is not
+    computed again; beyond it the join is a plain shuffle, where adaptive
+    execution splits skewed keys.
+    """
+    fetched = df.limit(rows + 1).toArrow()
+    if fetched.num_rows > rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(fetched, df.schema))
 
 
 def dense_codes(

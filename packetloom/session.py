@@ -18,7 +18,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Per-group top-n filters prune in each input task before the shuffle up
     # to this n; larger n goes through the histogram selection in sampling.py.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
 }
 
 
