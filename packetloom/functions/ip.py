@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +17,15 @@ V4_PATTERN = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 _GROUP_PATTERN = r"^[0-9a-f]{1,4}$"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` by name.
+
+    Expressions that use an intermediate text many times would otherwise
+    copy it into every use and grow beyond what the optimizer can handle.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _null_text() -> Column:
     return F.lit(None).cast("string")
 
@@ -23,27 +35,24 @@ def bare_address(c: Column) -> Column:
     text = F.regexp_replace(c, r"^\s+|\s+$", "")
     text = F.regexp_replace(text, r'^"+|"+$', "")
     text = F.regexp_replace(text, r"^'+|'+$", "")
-    placeholder = (text == "") | F.lower(text).isin("unknown", "null", "none")
-    one_colon = text.rlike(r"^[^:]*:[^:]*$") & F.contains(text, F.lit("."))
-    bare = (
-        F.when(one_colon, F.trim(F.split_part(text, F.lit(":"), F.lit(1))))
-        .when(text.rlike(r"^\[.*\]"), F.regexp_extract(text, r"^\[([^\]]*)\]", 1))
-        .otherwise(text)
-    )
-    bare = F.split_part(bare, F.lit("%"), F.lit(1))
-    return F.when(placeholder, _null_text()).otherwise(bare)
+
+    def strip(t: Column) -> Column:
+        placeholder = (t == "") | F.lower(t).isin("unknown", "null", "none")
+        one_colon = t.rlike(r"^[^:]*:[^:]*$") & F.contains(t, F.lit("."))
+        bare = (
+            F.when(one_colon, F.trim(F.split_part(t, F.lit(":"), F.lit(1))))
+            .when(t.rlike(r"^\[.*\]"), F.regexp_extract(t, r"^\[([^\]]*)\]", 1))
+            .otherwise(t)
+        )
+        return F.when(placeholder, _null_text()).otherwise(F.split_part(bare, F.lit("%"), F.lit(1)))
+
+    return _let(text, strip)
 
 
 def v4_number(c: Column) -> Column:
     """Dotted text to BIGINT, null when it is not IPv4."""
-    parts = F.split(c, r"\.")
-    number = (
-        parts[0].try_cast("bigint") * 16777216
-        + parts[1].try_cast("bigint") * 65536
-        + parts[2].try_cast("bigint") * 256
-        + parts[3].try_cast("bigint")
-    )
-    return F.when(c.rlike(V4_PATTERN), number)
+    parts = F.split(F.when(c.rlike(V4_PATTERN), c), r"\.")
+    return F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, p: acc * 256 + p.cast("bigint"))
 
 
 def _groups(text: Column) -> Column:
@@ -53,25 +62,31 @@ def _groups(text: Column) -> Column:
 
 def v6_groups(c: Column) -> Column:
     """Eight lower-case hex groups of an IPv6 text, null when it is none."""
-    text = F.lower(c)
-    dotted = F.regexp_extract(text, r":([0-9.]+)$", 1)
-    number = v4_number(dotted)
-    as_groups = F.concat(
-        F.lower(F.hex(F.floor(number / 65536).cast("bigint"))), F.lit(":"), F.lower(F.hex(number % 65536))
-    )
-    text = F.when(
-        F.contains(text, F.lit(".")), F.concat(F.regexp_extract(text, r"^(.*:)[0-9.]+$", 1), as_groups)
-    ).otherwise(text)
-    head = _groups(F.split_part(text, F.lit("::"), F.lit(1)))
-    tail = _groups(F.split_part(text, F.lit("::"), F.lit(2)))
-    short = F.contains(text, F.lit("::"))
-    given = F.size(head) + F.size(tail)
-    zeros = F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0)))
-    groups = F.concat(head, zeros, tail)
-    well_formed = F.forall(F.concat(head, tail), lambda g: g.rlike(_GROUP_PATTERN))
-    single_gap = ~text.rlike(r"::.*::") & ~F.contains(text, F.lit(":::"))
-    right_size = F.when(short, given <= 7).otherwise(given == 8)
-    return F.when(F.contains(text, F.lit(":")) & single_gap & right_size & well_formed, groups)
+
+    def plain_tail(t: Column) -> Column:
+        def as_groups(n: Column) -> Column:
+            return F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n % 65536)))
+
+        number = v4_number(F.regexp_extract(t, r":([0-9.]+)$", 1))
+        hex_tail = F.concat(F.regexp_extract(t, r"^(.*:)[0-9.]+$", 1), _let(number, as_groups))
+        return F.when(F.contains(t, F.lit(".")), hex_tail).otherwise(t)
+
+    def expand(t: Column) -> Column:
+        halves = F.array(
+            _groups(F.split_part(t, F.lit("::"), F.lit(1))), _groups(F.split_part(t, F.lit("::"), F.lit(2)))
+        )
+
+        def fill(h: Column) -> Column:
+            given = F.size(h[0]) + F.size(h[1])
+            groups = F.concat(h[0], F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0))), h[1])
+            well_formed = F.forall(F.flatten(h), lambda g: g.rlike(_GROUP_PATTERN))
+            right_size = F.when(F.contains(t, F.lit("::")), given <= 7).otherwise(given == 8)
+            return F.when(right_size & well_formed, groups)
+
+        single_gap = ~t.rlike(r"::.*::") & ~F.contains(t, F.lit(":::"))
+        return F.when(F.contains(t, F.lit(":")) & single_gap, _let(halves, fill))
+
+    return _let(_let(F.lower(c), plain_tail), expand)
 
 
 def v6_hex(c: Column) -> Column:
@@ -81,38 +96,47 @@ def v6_hex(c: Column) -> Column:
 
 def v6_text(c: Column) -> Column:
     """Shortest IPv6 text: the leftmost longest run of zero groups collapses."""
-    plain = F.array_join(
-        F.transform(v6_groups(c), lambda g: F.regexp_replace(g, r"^0+(?=.)", "")), ":"
-    )
-    expr = plain
-    for run in range(2, 9):
-        pattern = rf"^(|.*?[^:]):?(?<![0-9a-f])0(?::0){{{run - 1}}}(?![0-9a-f])(?::(.*))?$"
-        collapsed = F.concat(
-            F.regexp_extract(plain, pattern, 1), F.lit("::"), F.regexp_extract(plain, pattern, 2)
-        )
-        expr = F.when(plain.rlike(pattern), collapsed).otherwise(expr)
-    return expr
+
+    def shorten(plain: Column) -> Column:
+        expr = plain
+        for run in range(2, 9):
+            pattern = rf"^(|.*?[^:]):?(?<![0-9a-f])0(?::0){{{run - 1}}}(?![0-9a-f])(?::(.*))?$"
+            collapsed = F.concat(
+                F.regexp_extract(plain, pattern, 1), F.lit("::"), F.regexp_extract(plain, pattern, 2)
+            )
+            expr = F.when(plain.rlike(pattern), collapsed).otherwise(expr)
+        return expr
+
+    trimmed = F.transform(v6_groups(c), lambda g: F.regexp_replace(g, r"^0+(?=.)", ""))
+    return _let(F.array_join(trimmed, ":"), shorten)
 
 
 def normalize_ip(c: Column) -> Column:
     """Canonical address text, null when the value is no address."""
-    bare = bare_address(c)
-    return F.when(bare.rlike(V4_PATTERN), bare).when(F.contains(bare, F.lit(":")), v6_text(bare))
+    return _let(
+        bare_address(c),
+        lambda t: F.when(t.rlike(V4_PATTERN), t).when(F.contains(t, F.lit(":")), v6_text(t)),
+    )
 
 
 def is_public_ip(c: Column) -> Column:
     """True for globally reachable addresses, from the special-purpose registries."""
-    number = v4_number(c)
-    hidden4 = F.lit(False)
-    for block in K.NON_PUBLIC_V4:
-        net = ipaddress.ip_network(block)
-        hidden4 = hidden4 | number.between(int(net.network_address), int(net.broadcast_address))
-    digits = v6_hex(c)
-    hidden6 = F.lit(False)
-    for block in K.NON_PUBLIC_V6:
-        net = ipaddress.ip_network(block)
-        hidden6 = hidden6 | digits.between(f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}")
-    return F.when(c.rlike(V4_PATTERN), ~hidden4).when(F.contains(c, F.lit(":")), ~hidden6).otherwise(F.lit(False))
+
+    def hidden4(number: Column) -> Column:
+        spans = [ipaddress.ip_network(block) for block in K.NON_PUBLIC_V4]
+        inside = [number.between(int(n.network_address), int(n.broadcast_address)) for n in spans]
+        return reduce(or_, inside)
+
+    def hidden6(digits: Column) -> Column:
+        spans = [ipaddress.ip_network(block) for block in K.NON_PUBLIC_V6]
+        inside = [digits.between(f"{int(n.network_address):032x}", f"{int(n.broadcast_address):032x}") for n in spans]
+        return reduce(or_, inside)
+
+    return (
+        F.when(c.rlike(V4_PATTERN), ~_let(v4_number(c), hidden4))
+        .when(F.contains(c, F.lit(":")), ~_let(v6_hex(c), hidden6))
+        .otherwise(F.lit(False))
+    )
 
 
 def client_ip(headers: Column, fallback: Column | None = None) -> Column:

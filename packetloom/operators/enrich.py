@@ -25,8 +25,8 @@ def manifest_labels(
     for name, key in ways.items():
         hit = table.select(F.col("file").alias(f"{name}_key"), F.col("label").alias(name))
         paths = paths.join(hit, key == F.col(f"{name}_key"), "left").drop(f"{name}_key")
-    labelled = paths.select("__path", F.coalesce(*ways, F.lit(default)).alias(out))
-    return rows.join(small(labelled), rows[path_col].eqNullSafe(labelled["__path"]), "left").drop("__path")
+    labelled = paths.select("__path", F.coalesce(*[F.col(w) for w in ways], F.lit(default)).alias(out))
+    return rows.join(small(labelled), F.col(path_col).eqNullSafe(F.col("__path")), "left").drop("__path")
 
 
 def _bucketed(ranges: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.storagelevel import StorageLevel
 
 from packetloom.functions.labels import is_attack_label
 from packetloom.operators import evaluate, prep, sampling
+from packetloom.operators.sizing import small
 
 # --- Fixed values: default model sizes ---
 FOREST = {"numTrees": 200, "maxDepth": 20}
@@ -139,7 +140,7 @@ def decode_predictions(df: DataFrame, mapping: DataFrame) -> DataFrame:
     The mapping has one row per class; an unknown code prints as its number.
     """
     names = mapping.select(F.col("code").cast("int").alias("__code"), F.col("label").alias("__label"))
-    joined = df.join(F.broadcast(names.limit(evaluate.MAX_LABELS)), F.col("prediction") == F.col("__code"), "left")
+    joined = df.join(small(names), F.col("prediction") == F.col("__code"), "left")
     out = joined.withColumn("prediction_label", F.coalesce("__label", F.col("prediction").cast("string")))
     return out.withColumns(
         {
@@ -229,13 +230,16 @@ def train_pipeline(
 ) -> Ensemble:
     """ML18: clean, encode, split, scale, select, fit, combine, evaluate.
 
-    ``features`` are numeric columns or numeric text. The split is persisted
+    ``features`` are numeric columns or numeric text; ``keys`` identify a row
+    and shrink to one hash. The split is persisted
     to disk-backed storage only: a lost executor recomputes its part.
     """
     params = params or {}
     names = model_names(models)
     prep.check_two_classes(df, label)
-    numeric = prep.null_inf(df.select(*keys, label, *[prep.parse_double(F.col(c)).alias(c) for c in features if c not in keys]))
+    key = sampling.order_hash("row", keys).alias("row_key")
+    numeric = prep.null_inf(df.select(key, label, *[prep.parse_double(F.col(c)).alias(c) for c in features]))
+    keys = ["row_key"]
     coded, mapping = prep.encode_labels(numeric, label, "y")
     classes = mapping.count()
     split = sampling.stratified_split(coded, "y", keys, test_fraction, seed).persist(StorageLevel.DISK_ONLY)

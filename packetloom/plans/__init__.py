@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from importlib import import_module
 
-QUERY_MODULES = ["flow_queries", "rule_queries", "prep_queries", "eval_queries", "event_queries"]
+QUERY_MODULES = [
+    "flow_queries",
+    "rule_queries",
+    "prep_queries",
+    "eval_queries",
+    "event_queries",
+    "stream_queries",
+]
 
 
 def load_queries() -> tuple[dict, dict]:
