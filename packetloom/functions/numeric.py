@@ -57,4 +57,7 @@ def compact_map(m: Column) -> Column:
 
 def whole_text(c: Column) -> Column:
     """Number as text without decimals, ties to even."""
-    return F.coalesce(F.bround(c, 0).try_cast("decimal(38,0)").cast("string"), F.lit("inf"))
+    whole = F.rint(c)
+    return F.coalesce(
+        whole.try_cast("bigint").cast("string"), whole.try_cast("decimal(38,0)").cast("string"), F.lit("inf")
+    )

@@ -15,24 +15,17 @@ def _fixed(c: Column, digits: int) -> Column:
     rounding lost (exact, from the split high and low halves of c), and it
     decides apparent ties such as 0.065.
     """
-    power = float(10**digits)
-    size = F.abs(c)
-    scaled = size * F.lit(power)
-    high = size * F.lit(134217729.0) - (size * F.lit(134217729.0) - size)
-    rest = (high * F.lit(power) - scaled) + (size - high) * F.lit(power)
-    down = F.floor(scaled)
-    part = scaled - down
-    up = (
-        F.when(part > 0.5, 1).when(part < 0.5, 0).when(rest > 0, 1).when(rest < 0, 0).otherwise(down % 2)
+    power = F.lit(float(10**digits))
+    scaled = c * power
+    high = c * F.lit(134217729.0) - (c * F.lit(134217729.0) - c)
+    rest = (high * power - scaled) + (c - high) * power
+    whole = (
+        F.when(scaled - F.floor(scaled) != 0.5, F.rint(scaled))
+        .when(rest > 0, F.ceil(scaled).cast("double"))
+        .when(rest < 0, F.floor(scaled).cast("double"))
+        .otherwise(F.rint(scaled))
     )
-    whole = (down + up).cast("bigint")
-    sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
-    if digits == 0:
-        text = whole.cast("string")
-    else:
-        left = F.floor(whole / F.lit(power)).cast("bigint")
-        text = F.format_string(f"%d.%0{digits}d", left, whole - left * F.lit(10**digits))
-    return F.when(size < F.lit(1e15 / power), F.concat(sign, text)).otherwise(F.format_string(f"%.{digits}f", c))
+    return F.format_string(f"%.{digits}f", whole / power)
 
 
 def format_value(c: Column, spec: str) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetloom import constants as K
 from packetloom.functions.numeric import rate_input, whole_text
@@ -21,7 +24,12 @@ def merge_config(config: dict | None) -> tuple[dict[str, float], list[str]]:
 
 
 def _input(df: DataFrame, name: str) -> Column:
-    return rate_input(F.col(name)) if name in df.columns else F.lit(0.0)
+    """Rate as a double; what is no number counts as 0."""
+    if name not in df.columns:
+        return F.lit(0.0)
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        return F.coalesce(F.nanvl(F.col(name).cast("double"), F.lit(0.0)), F.lit(0.0))
+    return rate_input(F.col(name))
 
 
 def _per_minute(df: DataFrame, name: str) -> Column:
@@ -35,27 +43,8 @@ def _per_minute(df: DataFrame, name: str) -> Column:
     return F.when(F.lower(F.col(unit)).isin("per_sec", "sec", "s"), raw * (F.lit(60.0) / seconds)).otherwise(raw)
 
 
-def _trigger(name: str, fires: Column, threshold: float, actual: Column, description: Column) -> Column:
-    severity = F.when(actual >= 2 * threshold, F.lit("critical")).otherwise(F.lit("high"))
-    return F.when(
-        fires,
-        F.struct(
-            F.lit(name).alias("rule_name"),
-            F.lit(threshold).alias("threshold"),
-            actual.alias("actual_value"),
-            severity.alias("severity"),
-            description.alias("description"),
-        ),
-    )
-
-
-def _text(*parts: str | Column) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-
-def payload_hits(payload: Column, keywords: list[str]) -> Column:
-    """Number of distinct keywords found in the whole payload text."""
-    text = F.lower(payload)
+def payload_hits(text: Column, keywords: list[str]) -> Column:
+    """Number of distinct keywords found in a lower-case text."""
     hits = [F.contains(text, F.lit(word.lower())).cast("int") for word in dict.fromkeys(keywords)]
     total = hits[0]
     for hit in hits[1:]:
@@ -63,90 +52,111 @@ def payload_hits(payload: Column, keywords: list[str]) -> Column:
     return total.cast("double")
 
 
-def trigger_columns(df: DataFrame, config: dict | None = None) -> list[Column]:
-    """RUL1-6 in report order; null where a rule does not fire."""
-    limits, keywords = merge_config(config)
-    syn, dns, pkt, size = (_input(df, c) for c in ("syn_rate", "dns_rate", "pkt_rate", "avg_pkt_size"))
-    udp, ntp = _per_minute(df, "udp_rate"), _per_minute(df, "ntp_rate")
-    t = limits["syn_flood_per_sec"]
-    out = [
-        _trigger(
-            "SYN_FLOOD_DETECTION", syn >= t, t, syn,
-            _text("SYN rate ", whole_text(syn), f"/s exceeds threshold {t:.0f}/s."),
-        )
+@dataclass
+class Rule:
+    """One rule over prepared columns: ``value`` against ``limit``."""
+
+    name: str
+    value: str
+    limit: float
+    text: list[str]  # literal text alternating with value columns
+    fires: str | None = None  # SQL condition where it is not "value >= limit"
+
+    @property
+    def condition(self) -> str:
+        return self.fires or f"{self.value} >= {self.limit!r}D"
+
+    @property
+    def level(self) -> Column:
+        """0 silent, 1 high, 2 critical."""
+        return F.expr(f"CASE WHEN {self.condition} THEN if({self.value} >= {2 * self.limit!r}D, 2, 1) ELSE 0 END")
+
+    def description(self) -> Column:
+        parts = [whole_text(F.col(t)) if i % 2 else F.lit(t) for i, t in enumerate(self.text)]
+        return F.when(F.col(f"__l_{self.name}") > 0, F.concat(*parts))
+
+    def severity(self) -> Column:
+        return F.when(F.col(f"__l_{self.name}") == 2, F.lit("critical")).otherwise(F.lit("high"))
+
+
+def _rules(limits: dict[str, float], with_payload: bool) -> list[Rule]:
+    """RUL1-6 in report order."""
+    syn, udp, dns, ntp, sql, pkt = (limits[k] for k in K.RULE_THRESHOLDS)
+    rules = [
+        Rule("SYN_FLOOD", "__syn", syn, ["SYN rate ", "__syn", f"/s exceeds threshold {syn:.0f}/s."]),
+        Rule("UDP_FLOOD", "__udp", udp, ["UDP rate normalized to ", "__udp", f"/min exceeds threshold {udp:.0f}/min."]),
+        Rule("DNS_FLOOD", "__dns", dns, ["DNS query rate ", "__dns", f"/s exceeds threshold {dns:.0f}/s."]),
+        Rule("NTP_FLOOD", "__ntp", ntp,
+             ["NTP query rate normalized to ", "__ntp", f"/min exceeds threshold {ntp:.0f}/min."]),
     ]
-    t = limits["udp_flood_per_min"]
-    out.append(
-        _trigger(
-            "UDP_FLOOD_DETECTION", udp >= t, t, udp,
-            _text("UDP rate normalized to ", whole_text(udp), f"/min exceeds threshold {t:.0f}/min."),
-        )
-    )
-    t = limits["dns_flood_per_sec"]
-    out.append(
-        _trigger(
-            "DNS_FLOOD_DETECTION", dns >= t, t, dns,
-            _text("DNS query rate ", whole_text(dns), f"/s exceeds threshold {t:.0f}/s."),
-        )
-    )
-    t = limits["ntp_flood_per_min"]
-    out.append(
-        _trigger(
-            "NTP_FLOOD_DETECTION", ntp >= t, t, ntp,
-            _text("NTP query rate normalized to ", whole_text(ntp), f"/min exceeds threshold {t:.0f}/min."),
-        )
-    )
-    payloads = [F.col(c).cast("string") for c in ("payload", "http_payload") if c in df.columns]
-    if payloads:
-        t = limits["sql_injection_min_matches"]
-        hits = payload_hits(F.coalesce(*payloads), keywords)
-        out.append(
-            _trigger(
-                "SQL_INJECTION_DETECTION", hits >= t, t, hits,
-                _text("SQL injection indicators matched ", whole_text(hits), f" times (threshold {t:.0f})."),
-            )
-        )
-    t = limits["pkt_anomaly_per_sec"]
-    out.append(
-        _trigger(
-            "ANOMALY_DETECTION", (pkt > t) & (size < K.TINY_PACKET_BYTES), t, pkt,
-            _text(
-                "Abnormal traffic pattern detected: pkt_rate=", whole_text(pkt),
-                "/s, avg_pkt_size=", whole_text(size), " bytes.",
-            ),
-        )
-    )
-    return out
+    if with_payload:
+        rules.append(Rule("SQL_INJECTION", "__hits", sql,
+                          ["SQL injection indicators matched ", "__hits", f" times (threshold {sql:.0f})."]))
+    rules.append(Rule(
+        "ANOMALY", "__pkt", pkt,
+        ["Abnormal traffic pattern detected: pkt_rate=", "__pkt", "/s, avg_pkt_size=", "__size", " bytes."],
+        fires=f"__pkt > {pkt!r}D AND __size < {K.TINY_PACKET_BYTES!r}D",
+    ))
+    return rules
 
 
 def apply_rules(df: DataFrame, config: dict | None = None) -> DataFrame:
     """RUL1-8: fired triggers in order and the combined verdict.
 
-    The verdict is the first trigger of the highest severity. Triggers are
-    only ever high or critical, so "first critical, else first" decides it.
+    Inputs, levels and texts are staged columns, so each is computed once and
+    unused ones are pruned. The verdict is the first trigger of the highest
+    level.
     """
-    fired = df.withColumn("triggers", F.filter(F.array(*trigger_columns(df, config)), lambda t: t.isNotNull()))
-    n = F.size("triggers")
-    critical = F.filter("triggers", lambda t: t["severity"] == "critical")
-    fired = fired.withColumn("__top", F.coalesce(F.get(critical, F.lit(0)), F.get("triggers", F.lit(0))))
-    rank = F.when(F.col("__top.severity") == "critical", F.lit(K.SEVERITY_RANK["critical"])).otherwise(
-        F.lit(K.SEVERITY_RANK["high"])
-    )
-    lines = F.transform(
-        "triggers",
-        lambda t: F.concat(F.lit("- "), t["description"], F.lit(" (severity="), t["severity"], F.lit(")")),
+    limits, keywords = merge_config(config)
+    payloads = [F.col(c).cast("string") for c in ("payload", "http_payload") if c in df.columns]
+    inputs = {
+        "__syn": _input(df, "syn_rate"), "__udp": _per_minute(df, "udp_rate"), "__dns": _input(df, "dns_rate"),
+        "__ntp": _per_minute(df, "ntp_rate"), "__pkt": _input(df, "pkt_rate"), "__size": _input(df, "avg_pkt_size"),
+    }
+    work = df
+    if payloads:
+        work = work.withColumn("__payload", F.lower(F.coalesce(*payloads)))
+        inputs["__hits"] = payload_hits(F.col("__payload"), keywords)
+    rules = _rules(limits, bool(payloads))
+    levels = {f"__l_{r.name}": r.level for r in rules}
+    work = work.withColumns(inputs).withColumns(levels)
+    fired = F.expr(" + ".join(f"int({c} > 0)" for c in levels))
+    work = work.withColumns(
+        {**{f"__d_{r.name}": r.description() for r in rules}, "__n": fired, "__top": F.greatest(*levels)}
     )
-    return fired.withColumns(
+    kind = F.lit("NORMAL")
+    for r in reversed(rules):
+        kind = F.when((F.col(f"__l_{r.name}") == F.col("__top")) & (F.col("__n") > 0), F.lit(r.name)).otherwise(kind)
+    rank = F.when(F.col("__top") == 2, K.SEVERITY_RANK["critical"]).otherwise(K.SEVERITY_RANK["high"])
+    lines = [
+        F.when(F.col(f"__l_{r.name}") > 0,
+               F.concat(F.lit("- "), F.col(f"__d_{r.name}"), F.lit(" (severity="), r.severity(), F.lit(")")))
+        for r in rules
+    ]
+    triggers = [
+        F.when(
+            F.col(f"__l_{r.name}") > 0,
+            F.struct(
+                F.lit(f"{r.name}_DETECTION").alias("rule_name"), F.lit(r.limit).alias("threshold"),
+                F.col(r.value).alias("actual_value"), r.severity().alias("severity"),
+                F.col(f"__d_{r.name}").alias("description"),
+            ),
+        )
+        for r in rules
+    ]
+    none = F.lit("No rule-based attack evidence was found.")
+    out = work.withColumns(
         {
-            "rule_is_attack": n > 0,
-            "rule_attack_type": F.when(n > 0, F.replace(F.col("__top.rule_name"), F.lit("_DETECTION"), F.lit("")))
-            .otherwise(F.lit("NORMAL")),
-            "rule_confidence": F.when(n > 0, F.least(F.lit(1.0), n * F.lit(0.2) + rank * F.lit(0.15)))
-            .otherwise(F.lit(0.0)),
-            "rule_explanation": F.when(n > 0, F.concat_ws("\n", F.lit("Rule evidence:"), lines))
-            .otherwise(F.lit("No rule-based attack evidence was found.")),
+            "triggers": F.array_compact(F.array(*triggers)),
+            "rule_is_attack": F.col("__n") > 0,
+            "rule_attack_type": kind,
+            "rule_confidence": F.when(
+                F.col("__n") > 0, F.least(F.lit(1.0), F.col("__n") * F.lit(0.2) + rank * F.lit(0.15))
+            ).otherwise(F.lit(0.0)),
+            "rule_explanation": F.when(F.col("__n") > 0, F.concat_ws("\n", F.lit("Rule evidence:"), *lines)).otherwise(none),
         }
-    ).drop("__top")
+    )
+    return out.select(*df.columns, *RULE_COLUMNS)
 
 
 def trigger_table(df: DataFrame, keys: list[str]) -> DataFrame:
