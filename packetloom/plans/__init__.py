@@ -11,6 +11,7 @@ QUERY_MODULES = [
     "eval_queries",
     "event_queries",
     "stream_queries",
+    "file_queries",
 ]
 
 

@@ -9,10 +9,14 @@ from packetloom.operators import evaluate
 from packetloom.operators.events import timeline
 
 
+# JSON keeps milliseconds by default; event order needs the microseconds.
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def write_events(events: DataFrame, path: str) -> None:
     """SNK1: append events as JSON lines, one folder per day."""
     dated = events.withColumn("event_date", F.to_date("ts"))
-    dated.write.mode("append").partitionBy("event_date").json(path)
+    dated.write.mode("append").partitionBy("event_date").option("timestampFormat", TIME_FORMAT).json(path)
 
 
 def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -57,7 +61,7 @@ def archive_events(spark: SparkSession, path: str, archive_path: str, before: st
     if "event_date" not in events.columns:
         events = events.withColumn("event_date", F.to_date("ts"))
     old = events.where(F.col("event_date") < F.lit(before).cast("date"))
-    old.write.mode("overwrite").partitionBy("event_date").json(f"{archive_path}/archive={stamp}")
+    old.write.mode("overwrite").partitionBy("event_date").option("timestampFormat", TIME_FORMAT).json(f"{archive_path}/archive={stamp}")
     days = [r["event_date"] for r in old.select("event_date").distinct().collect()]  # one value per day
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()

@@ -16,6 +16,7 @@ from packetloom.operators.models import Ensemble, train_pipeline
 from packetloom.operators.rules import apply_rules, rule_only_verdict
 from packetloom.operators.sampling import online_window
 from packetloom.sources.pcap import packets_of
+from packetloom.sources.sinks import TIME_FORMAT
 
 EXTRA = "__extra"
 
@@ -129,7 +130,7 @@ def start_scoring(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        log.to_events(score(batch), uid_keys).write.mode("overwrite").json(f"{out}/batch={batch_id}")
+        log.to_events(score(batch), uid_keys).write.mode("overwrite").option("timestampFormat", TIME_FORMAT).json(f"{out}/batch={batch_id}")
 
     return _start(records.writeStream.foreachBatch(write), checkpoint, available_now)
 
@@ -158,7 +159,7 @@ def start_batch_alerts(events: DataFrame, out: str, checkpoint: str, available_n
     """STR8: alert roll-up per source for every micro-batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        log.batch_messages(log.batch_alerts(batch)).write.mode("overwrite").json(f"{out}/batch={batch_id}")
+        log.batch_messages(log.batch_alerts(batch)).write.mode("overwrite").option("timestampFormat", TIME_FORMAT).json(f"{out}/batch={batch_id}")
 
     return _start(events.writeStream.foreachBatch(write), checkpoint, available_now)
 
