@@ -95,14 +95,14 @@ def stream_flow_sessions(spark, sf_dir):
     """STR4: flows closed by an idle gap, on the stream."""
     root = _scratch(spark)
     packets = _closed(spark, _adapted(spark, sf_dir, "packets", "events"), "ts", root)
-    out = _drain(spark, streams.flow_session_stream(packets, "6 hours", "1 hour"), root)
+    out = _drain(spark, streams.flow_session_stream(packets, 6 * 3600, "1 hour"), root)
     return _sessions_shown(out.where(F.col("first_us") < (LAST - DAY) * 1_000_000))
 
 
 @query("flow_sessions", SESSION_SQL)
 def flow_sessions(spark, sf_dir):
     """STR4: batch twin of the session flows."""
-    return _sessions_shown(streams.flow_sessions(adapter(spark, sf_dir, "packets"), "6 hours"))
+    return _sessions_shown(streams.flow_sessions(adapter(spark, sf_dir, "packets"), 6 * 3600))
 
 
 @query(

@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.codegen.maxFields": "400",
     # A record may repeat a field under two spellings; the later one counts.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Session windows of a stream pre-merge in the input task.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -79,40 +79,84 @@ def window_verdict_stream(
     return rule_only_verdict(apply_rules(features, config))
 
 
-def flow_sessions(packets: DataFrame, idle: str) -> DataFrame:
-    """STR4: flow records that close after an idle gap; batch or stream.
+SESSION_SUMS = {
+    "total_fwd_packets": "int(is_fwd)",
+    "total_backward_packets": "int(NOT is_fwd)",
+    "total_length_of_fwd_packets": "if(is_fwd, pkt_len, 0)",
+    "total_length_of_bwd_packets": "if(is_fwd, 0, pkt_len)",
+    "syn_flag_count": "int(proto = 6 AND (tcp_flags & 2) != 0)",
+    "ack_flag_count": "int(proto = 6 AND (tcp_flags & 16) != 0)",
+    "len_sq": "cast(pkt_len AS BIGINT) * pkt_len",
+}
+SESSION_MINS = {
+    "first_us": "ts_us", "fwd_first": "if(is_fwd, ts_us, NULL)", "bwd_first": "if(is_fwd, NULL, ts_us)",
+    "min_packet_length": "pkt_len",
+}
+SESSION_MAXS = {
+    "last_us": "ts_us", "fwd_last": "if(is_fwd, ts_us, NULL)", "bwd_last": "if(is_fwd, NULL, ts_us)",
+    "max_packet_length": "pkt_len",
+}
+
+
+def _session_partials() -> list[Column]:
+    parts = [f"sum(cast({e} AS DECIMAL(28,0))) AS {c}" for c, e in SESSION_SUMS.items()]
+    parts += [f"min({e}) AS {c}" for c, e in SESSION_MINS.items()]
+    parts += [f"max({e}) AS {c}" for c, e in SESSION_MAXS.items()]
+    return [F.expr(p) for p in parts]
+
+
+def _session_records(sums: DataFrame) -> DataFrame:
+    """Output columns from the merged partials; the deviation is exact integer arithmetic."""
+    n = "(total_fwd_packets + total_backward_packets)"
+    total = "(total_length_of_fwd_packets + total_length_of_bwd_packets)"
+    spread = (
+        f"double(cast({n} AS DECIMAL(12,0)) * cast(len_sq AS DECIMAL(26,0)) "
+        f"- cast({total} AS DECIMAL(19,0)) * cast({total} AS DECIMAL(19,0)))"
+    )
+    counts = [c for c in SESSION_SUMS if c != "len_sq"]
+    return sums.selectExpr(
+        *FLOW_KEY, "first_us", "last_us", "last_us - first_us AS flow_duration",
+        *[f"cast({c} AS BIGINT) AS {c}" for c in counts],
+        "min_packet_length", "max_packet_length",
+        f"double({total}) / double({n}) AS packet_length_mean",
+        f"sqrt({spread}) / double({n}) AS packet_length_std",
+        f"coalesce(try_divide(double(last_us - first_us), double({n} - 1)), 0D) AS flow_iat_mean",
+        "coalesce(fwd_last - fwd_first, 0L) AS fwd_iat_total",
+        "coalesce(bwd_last - bwd_first, 0L) AS bwd_iat_total",
+    )
+
+
+def flow_sessions(packets: DataFrame, idle_seconds: int) -> DataFrame:
+    """STR4 on a table: flow records that close after an idle gap.
 
-    The state is one small row of partial aggregates per open flow, whatever
-    its packet count. Gap totals and means follow from first and last times.
+    Two packets in the same bucket of the idle length are less than the gap
+    apart, so each (flow, bucket) lies in one session and aggregates map-side
+    first, however many packets a flow holds. Only bucket rows are ordered,
+    at most one per idle length of the flow's life.
     """
-    keyed = with_flow_key(packets)
-    texts = [
-        "min(ts_us) AS first_us", "max(ts_us) AS last_us",
-        "count_if(is_fwd) AS total_fwd_packets", "count_if(NOT is_fwd) AS total_backward_packets",
-        "coalesce(sum(if(is_fwd, pkt_len, 0)), 0) AS total_length_of_fwd_packets",
-        "coalesce(sum(if(is_fwd, 0, pkt_len)), 0) AS total_length_of_bwd_packets",
-        "min(pkt_len) AS min_packet_length", "max(pkt_len) AS max_packet_length",
-        "avg(pkt_len) AS packet_length_mean", "stddev_pop(pkt_len) AS packet_length_std",
-        "count_if(proto = 6 AND (tcp_flags & 2) != 0) AS syn_flag_count",
-        "count_if(proto = 6 AND (tcp_flags & 16) != 0) AS ack_flag_count",
-        "max(if(is_fwd, ts_us, NULL)) - min(if(is_fwd, ts_us, NULL)) AS fwd_iat_total",
-        "max(if(is_fwd, NULL, ts_us)) - min(if(is_fwd, NULL, ts_us)) AS bwd_iat_total",
-    ]
-    grouped = keyed.groupBy(*FLOW_KEY, F.session_window("ts", idle).alias("w")).agg(*[F.expr(t) for t in texts])
-    n = F.col("total_fwd_packets") + F.col("total_backward_packets")
-    duration = F.col("last_us") - F.col("first_us")
-    return grouped.withColumns(
-        {
-            "flow_duration": duration,
-            "flow_iat_mean": F.coalesce(F.try_divide(duration.cast("double"), (n - 1).cast("double")), F.lit(0.0)),
-            "fwd_iat_total": F.coalesce("fwd_iat_total", F.lit(0)),
-            "bwd_iat_total": F.coalesce("bwd_iat_total", F.lit(0)),
-        }
-    ).drop("w")
-
-
-def flow_session_stream(packets: DataFrame, idle: str, delay: str) -> DataFrame:
-    return flow_sessions(packets.withWatermark("ts", delay), idle)
+    idle = idle_seconds * 1_000_000
+    keys = ", ".join(FLOW_KEY)
+    keyed = with_flow_key(packets).withColumn("__b", F.expr(f"floor(ts_us / {idle}D)"))
+    buckets = keyed.groupBy(*FLOW_KEY, "__b").agg(*_session_partials())
+    opened = buckets.withColumn(
+        "__opens",
+        F.expr(f"int(coalesce(first_us - lag(last_us) OVER (PARTITION BY {keys} ORDER BY __b) >= {idle}, true))"),
+    )
+    numbered = opened.withColumn("__session", F.expr(f"sum(__opens) OVER (PARTITION BY {keys} ORDER BY __b)"))
+    merged = numbered.groupBy(*FLOW_KEY, "__session").agg(
+        *[F.expr(f"sum({c}) AS {c}") for c in SESSION_SUMS],
+        *[F.expr(f"min({c}) AS {c}") for c in SESSION_MINS],
+        *[F.expr(f"max({c}) AS {c}") for c in SESSION_MAXS],
+    )
+    return _session_records(merged)
+
+
+def flow_session_stream(packets: DataFrame, idle_seconds: int, delay: str) -> DataFrame:
+    """STR4 on a stream: the state is one row of partial aggregates per open
+    flow; sessions merge inside each input task before the shuffle."""
+    keyed = with_flow_key(packets.withWatermark("ts", delay))
+    window = F.session_window("ts", f"{idle_seconds} seconds").alias("w")
+    return _session_records(keyed.groupBy(*FLOW_KEY, window).agg(*_session_partials()))
 
 
 def start_scoring(
