@@ -142,10 +142,14 @@ def _merge(name: str) -> list[str]:
 
 
 def _moments(name: str) -> list[str]:
-    """Mean and population deviation from exact integer sums (no cancellation)."""
+    """Mean and population deviation from exact integer sums (no cancellation).
+
+    Sums beyond the decimal range, such as gaps of a year, fall back to doubles.
+    """
     n, s1, s2 = f"{name}_c", f"{name}_sum", f"{name}_sq"
-    wide = f"cast({s1} AS DECIMAL(19,0))"
-    spread = f"double(cast({n} AS DECIMAL(12,0)) * cast({s2} AS DECIMAL(26,0)) - {wide} * {wide})"
+    wide = f"try_cast({s1} AS DECIMAL(19,0))"
+    exact = f"double(try_cast({n} AS DECIMAL(12,0)) * try_cast({s2} AS DECIMAL(26,0)) - {wide} * {wide})"
+    spread = f"coalesce({exact}, double({n}) * double({s2}) - double({s1}) * double({s1}))"
     return [
         f"try_divide(double({s1}), double({n})) AS {name}_mean",
         f"sqrt(greatest(try_divide({spread}, double({n}) * double({n})), 0D)) AS {name}_std",

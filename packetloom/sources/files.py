@@ -113,7 +113,7 @@ def decode_csv_messages(df: DataFrame, body: str, columns: list[str], keep: list
     )
     lines = message.select(
         *keep,
-        F.trim(F.substring(F.trim(F.col("__p")[0]), len(K.CSV_ENVELOPE_PREFIX) + 1, 1_000_000)).alias("file_path"),
+        F.trim(F.substr(F.trim(F.col("__p")[0]), F.lit(len(K.CSV_ENVELOPE_PREFIX) + 1))).alias("file_path"),
         F.posexplode(F.split(F.col("__p")[1], "\r?\n")).alias("line_no", "__line"),
     ).where((F.col("line_no") > 0) & (F.trim("__line") != ""))
     row = lines.withColumn("__row", F.from_csv("__line", schema))

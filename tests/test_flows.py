@@ -79,3 +79,14 @@ def test_hot_groups_are_bounded(spark):
     df = spark.range(100).selectExpr("id % 3 AS k", "id AS us")
     hot = skew.hot_groups(df, ["k"], "us", 33).collect()
     assert [r["k"] for r in hot] == [0]
+
+
+def test_year_long_gap_in_a_hot_flow(spark):
+    packets = spark.range(40).selectExpr(
+        "'c' AS capture_id", "id AS pkt_no", "timestamp_seconds(1500000000 + if(id = 39, 40000000, id)) AS ts",
+        "'10.0.0.1' AS src_ip", "80 AS src_port", "'10.0.0.2' AS dst_ip", "90 AS dst_port", "17 AS proto",
+        "8 AS hdr_len", "20 AS pkt_len", "0 AS tcp_flags", "cast(NULL AS INT) AS tcp_win",
+    )
+    whole, cut = build_flows(packets, hot_rows=None).first(), build_flows(packets, hot_rows=10).first()
+    assert cut["flow_iat_std"] == pytest.approx(whole["flow_iat_std"], rel=1e-6)
+    assert cut["flow_iat_max"] == whole["flow_iat_max"]

@@ -130,3 +130,9 @@ def test_scan_merge_counts_every_pair_once(spark):
 def test_union_of_differing_columns(spark):
     a, b = spark.range(1).withColumn("x", F.lit(1)), spark.range(1).withColumn("y", F.lit(2))
     assert prep.union_files([a, b]).columns == ["id", "x", "y"]
+
+
+def test_small_selection_prunes_before_the_shuffle(spark):
+    df = spark.range(1000).selectExpr("id", "id % 2 AS g")
+    plan = sampling.take_per_group(df, ["g"], ["id"], 5)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan.split("Exchange")[-1]
