@@ -98,7 +98,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     each time, as a table read does.
     """
     more = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_removed", "kept_sha256", "row", "gone")]
-    marked = docs.withColumn("row", F.monotonically_increasing_id())
+    marked = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text", *more)
     rows = doc_bytes(docs).withColumn("row", F.monotonically_increasing_id()).select("row", "text")
     numbers = repeated_runs(rows, min_lines, min_words).select(
         "row", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("line")
