@@ -67,6 +67,28 @@ def running_stats(counts: DataFrame) -> DataFrame:
     )
 
 
+def file_scores(counts: DataFrame) -> DataFrame:
+    """AGG4: precision, recall and F1 per file, weighted by the true rows of each label."""
+    true = counts.groupBy("source_file", F.col("y_true").alias("label")).agg(
+        F.sum("n").alias("support"),
+        F.coalesce(F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n"))), F.lit(0)).alias("tp"),
+    )
+    predicted = counts.groupBy("source_file", F.col("y_pred").alias("label")).agg(F.sum("n").alias("predicted"))
+    keyed = predicted.select(F.col("source_file").alias("__f"), F.col("label").alias("__l"), "predicted")
+    # Labels nobody predicts have precision 0; a file may be null like any group.
+    same = F.col("source_file").eqNullSafe(F.col("__f")) & (F.col("label") == F.col("__l"))
+    precision = F.coalesce(safe_div(F.col("tp"), F.col("predicted")), F.lit(0.0))
+    scored = true.join(keyed, same, "left").select(
+        "source_file", "support", precision.alias("p"), safe_div(F.col("tp"), F.col("support")).alias("r")
+    )
+    weighted = lambda c: safe_div(F.sum(c * F.col("support")), F.sum("support"))
+    f1 = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
+    return scored.groupBy("source_file").agg(
+        weighted(F.col("p")).alias("precision_weighted"), weighted(F.col("r")).alias("recall_weighted"),
+        weighted(f1).alias("f1_weighted"),
+    )
+
+
 def overall_pairs(counts: DataFrame) -> DataFrame:
     return counts.groupBy("y_true", "y_pred").agg(F.sum("n").alias("n"))
 

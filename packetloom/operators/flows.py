@@ -1,8 +1,12 @@
-"""Packets to bidirectional flow records.
-
-One exchange on the flow key serves both the inter-arrival window and the
-aggregate. The earlier packet of the same direction is a running "last value"
-over the same ordering as the flow-wide lag, so a single sort is enough.
+"""Packets to bidirectional flow records, in one pass over the packets.
+
+Every flow is cut into time slices. One exchange on (flow key, slice) serves
+the gap window and the aggregate of a slice, which holds mergeable integer
+moments; the slices of a flow are then stitched at their borders and merged.
+No flow is too large for its tasks, none takes another path, and the slice
+width does not change a result. The earlier packet of the same direction is a
+running "last value" over the same ordering as the flow-wide lag, so a single
+sort is enough.
 """
 
 from __future__ import annotations
@@ -11,8 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom import constants as K
-from packetloom.operators import skew
+from packetloom.session import ensure_checkpoint_dir
 
+# Time covered by one slice. Ten seconds of one flow, or of one capture in
+# capture scope, are what a task sorts at most.
+SLICE_US = 10_000_000
 FLOW_KEY = ["capture_id", "lo_ip", "lo_port", "hi_ip", "hi_port", "proto"]
 IAT = ["flow_iat", "fwd_iat", "bwd_iat"]
 LENGTHS = ["fwd_len", "bwd_len", "all_len"]
@@ -114,23 +121,18 @@ def _exprs(*texts: str) -> list[Column]:
     return [F.expr(t) for t in texts]
 
 
-def _direct(name: str) -> list[str]:
+def _partial(name: str) -> list[str]:
+    """Mergeable exact moments of an integer measure."""
+    d = f"cast({name} AS DECIMAL(19,0))"
     return [
         f"count({name}) AS {name}_c",
         f"sum({name}) AS {name}_sum",
         f"max({name}) AS {name}_max",
         f"min({name}) AS {name}_min",
-        f"avg({name}) AS {name}_mean",
-        f"stddev_pop({name}) AS {name}_std",
+        f"sum(cast({d} * {d} AS DECIMAL(28,0))) AS {name}_sq",
     ]
 
 
-def _partial(name: str) -> list[str]:
-    """Mergeable exact moments of an integer measure."""
-    d = f"cast({name} AS DECIMAL(19,0))"
-    return _direct(name)[:4] + [f"sum(cast({d} * {d} AS DECIMAL(28,0))) AS {name}_sq"]
-
-
 def _merge(name: str) -> list[str]:
     return [
         f"sum({name}_c) AS {name}_c",
@@ -161,41 +163,60 @@ COMMON = ["min(ts_us) AS first_us", "max(ts_us) AS last_us", "min(fwd_seg) AS fw
 ]
 
 
-def _cold_flows(rows: DataFrame, own_flow_iat: bool) -> DataFrame:
-    gaps = _with_gaps(rows, FLOW_KEY, own_flow_iat)
-    stats = [c for name in LENGTHS + IAT for c in _direct(name)]
-    return gaps.groupBy(*FLOW_KEY).agg(
-        *_exprs(*COMMON, *stats, "max(fwd_win) AS fwd_win", "max(bwd_win) AS bwd_win")
-    )
-
-
-def _hot_flows(rows: DataFrame, own_flow_iat: bool) -> DataFrame:
-    """Same record for sliced flows: per-slice moments, border gaps, merge."""
+def _slices(rows: DataFrame, own_flow_iat: bool) -> DataFrame:
+    """One row per flow and slice: mergeable moments and what the borders need."""
+    if not own_flow_iat:
+        rows = rows.selectExpr("*", "lag(ts_us) OVER (PARTITION BY capture_id, __slice ORDER BY ts_us, pkt_no) AS prev_any")
     group = [*FLOW_KEY, "__slice"]
-    measures = LENGTHS + IAT
-    slices = _with_gaps(rows, group, own_flow_iat).groupBy(*group).agg(
+    return _with_gaps(rows, group, own_flow_iat).groupBy(*group).agg(
         *_exprs(
             *COMMON,
-            *[c for name in measures for c in _partial(name)],
+            *[c for name in LENGTHS + IAT for c in _partial(name)],
             "max(fwd_win) AS fwd_win",
             "max(bwd_win) AS bwd_win",
             "min(if(is_fwd, ts_us, NULL)) AS fwd_first",
             "max(if(is_fwd, ts_us, NULL)) AS fwd_last",
             "min(if(is_fwd, NULL, ts_us)) AS bwd_first",
             "max(if(is_fwd, NULL, ts_us)) AS bwd_last",
+            "min(struct(ts_us, pkt_no)) AS first_place",
         )
     )
+
+
+def _capture_gaps(slices: DataFrame) -> DataFrame:
+    """Adds the gap from the last packet of the capture's earlier slice to the packet that opens a slice.
+
+    One row per capture and slice; the flow that holds the opening packet gets the gap. The slices
+    serve both sides of the join and are pinned, so that the packets are read once.
+    """
+    ensure_checkpoint_dir(slices.sparkSession)
+    slices = slices.checkpoint()
+    ends = slices.groupBy("capture_id", "__slice").agg(
+        F.min("first_place").alias("__opens"), F.max("last_us").alias("__closes")
+    )
+    ends = ends.selectExpr(
+        "capture_id", "__slice", "__opens", "lag(__closes) OVER (PARTITION BY capture_id ORDER BY __slice) AS __before"
+    )
+    return slices.join(ends, ["capture_id", "__slice"]).selectExpr(
+        *slices.columns, "if(first_place = __opens, __opens.ts_us - __before, NULL) AS flow_iat_gap"
+    )
+
+
+def _stitched(slices: DataFrame, own_flow_iat: bool) -> DataFrame:
+    """One row per flow: the gaps across slice borders join the moments of the slices."""
     before = (
         f"(PARTITION BY {', '.join(FLOW_KEY)} ORDER BY __slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
     borders = {"fwd_iat": ("fwd_first", "fwd_last"), "bwd_iat": ("bwd_first", "bwd_last")}
     if own_flow_iat:
         borders["flow_iat"] = ("first_us", "last_us")
+    else:
+        slices = _capture_gaps(slices)
     slices = slices.selectExpr(
         "*", *[f"{first} - last({last}, true) OVER {before} AS {name}_gap" for name, (first, last) in borders.items()]
     )
     patched = []
-    for name in borders:
+    for name in IAT:
         gap = f"{name}_gap"
         wide = f"cast({gap} AS DECIMAL(19,0))"
         patched += [
@@ -205,21 +226,19 @@ def _hot_flows(rows: DataFrame, own_flow_iat: bool) -> DataFrame:
             f"least({name}_min, {gap}) AS {name}_min",
             f"cast(coalesce({name}_sq, 0) + coalesce({wide} * {wide}, 0) AS DECIMAL(38,0)) AS {name}_sq",
         ]
-    kept = [c for c in slices.columns if not any(c.startswith(f"{name}_") for name in borders)]
+    kept = [c for c in slices.columns if not any(c.startswith(f"{name}_") for name in IAT)]
     merged = slices.selectExpr(*kept, *patched).groupBy(*FLOW_KEY).agg(
         *_exprs(
             "min(first_us) AS first_us",
             "max(last_us) AS last_us",
             "min(fwd_seg) AS fwd_seg",
             *[f"sum({c}) AS {c}" for c in SUMS],
-            *[c for name in measures for c in _merge(name)],
+            *[c for name in LENGTHS + IAT for c in _merge(name)],
             "min_by(fwd_win, if(fwd_first IS NULL, NULL, __slice)) AS fwd_win",
             "min_by(bwd_win, if(bwd_first IS NULL, NULL, __slice)) AS bwd_win",
         )
     )
-    return merged.selectExpr("*", *[c for name in measures for c in _moments(name)]).drop(
-        *[f"{name}_sq" for name in measures]
-    )
+    return merged.selectExpr("*", *[c for name in LENGTHS + IAT for c in _moments(name)])
 
 
 def _records(agg: DataFrame) -> DataFrame:
@@ -293,29 +312,18 @@ def _records(agg: DataFrame) -> DataFrame:
     return agg.selectExpr("capture_id", *[f"{out[c]} AS {c}" for c in FLOW_COLUMNS[1:]])
 
 
-def build_flows(packets: DataFrame, iat_scope: str = "flow", hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
+def build_flows(packets: DataFrame, iat_scope: str = "flow", slice_us: int = SLICE_US) -> DataFrame:
     """FLW0-16: one record per capture, endpoint pair and protocol.
 
     ``iat_scope="capture"`` measures the flow-wide gaps against the previous
-    packet of the whole capture. Flows with more than ``hot_rows`` packets are
-    cut into time slices and stitched; ``hot_rows=None`` skips the look for
-    them when the caller knows there are none.
+    packet of the whole capture. ``slice_us`` sets the time one task sorts at
+    once; results do not depend on it.
     """
     if iat_scope not in ("flow", "capture"):
         raise ValueError(f"unknown iat_scope: {iat_scope}")
-    keyed = with_flow_key(packets)
+    keyed = with_flow_key(packets).withColumn("__slice", F.expr(f"ts_us div {int(slice_us)}L"))
     own = iat_scope == "flow"
-    if not own:
-        keyed = skew.lag_in_groups(
-            keyed, ["capture_id"], "ts_us", ["pkt_no"], "prev_any", hot_rows or skew.HOT_ROWS
-        )
-    rows = _masked(keyed)
-    if hot_rows is None:
-        return _records(_cold_flows(rows, own))
-    hot = skew.hot_groups(keyed, FLOW_KEY, "ts_us", hot_rows)
-    cold_rows, hot_rows_df = skew.split_hot(rows, FLOW_KEY, hot, "ts_us")
-    agg = _cold_flows(cold_rows, own).unionByName(_hot_flows(hot_rows_df, own))
-    return _records(agg)
+    return _records(_stitched(_slices(_masked(keyed), own), own))
 
 
 def flow_totals(packets: DataFrame) -> DataFrame:
@@ -324,8 +332,11 @@ def flow_totals(packets: DataFrame) -> DataFrame:
     No window and no sort; the map-side combine makes it immune to hot flows.
     """
     rows = _masked(with_flow_key(packets))
-    agg = rows.groupBy(*FLOW_KEY).agg(*_exprs(*COMMON, *[c for name in LENGTHS for c in _direct(name)]))
+    agg = rows.groupBy(*FLOW_KEY).agg(*_exprs(*COMMON, *[c for name in LENGTHS for c in _partial(name)]))
     absent = [f"{name}_{s}" for name in IAT for s in ("c", "sum", "max", "min", "mean", "std")]
-    agg = agg.selectExpr("*", *[f"cast(NULL AS BIGINT) AS {c}" for c in [*absent, "fwd_win", "bwd_win"]])
+    agg = agg.selectExpr(
+        "*", *[c for name in LENGTHS for c in _moments(name)],
+        *[f"cast(NULL AS BIGINT) AS {c}" for c in [*absent, "fwd_win", "bwd_win"]],
+    )
     ordered = {c for c in FLOW_COLUMNS if "_iat_" in c or c.startswith("init_win")}
     return _records(agg).select(*[c for c in FLOW_COLUMNS if c not in ordered])

@@ -5,16 +5,24 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassificationModel,
+    GBTClassifier,
+    LogisticRegression,
+    LogisticRegressionModel,
+    RandomForestClassificationModel,
+    RandomForestClassifier,
+)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from packetloom.functions.labels import is_attack_label
 from packetloom.operators import evaluate, prep, sampling
-from packetloom.operators.sizing import small
+from packetloom.operators.sizing import dense_codes, small
+from packetloom.session import ensure_checkpoint_dir
 
 # --- Fixed values: default model sizes ---
 FOREST = {"numTrees": 200, "maxDepth": 20}
@@ -152,22 +160,33 @@ def decode_predictions(df: DataFrame, mapping: DataFrame) -> DataFrame:
 
 @dataclass
 class Ensemble:
-    """Fitted preparation, base models and combiner."""
+    """Fitted preparation, base models and combiner.
+
+    ``profile`` holds kinds, category codes, fills, means and deviations of the
+    training columns; ``features`` are the columns the models read.
+    """
 
     features: list[str]
     mapping: DataFrame
     classes: int
-    means: dict[str, float]
-    stds: dict[str, float]
+    profile: prep.Profile
     bases: list[BaseModel]
     meta: Model | None = None
-    profile: prep.Profile | None = None
     metrics: dict = field(default_factory=dict)
 
     def score(self, df: DataFrame) -> DataFrame:
-        """ML16: predictions for prepared feature columns."""
-        work = _assemble(prep.scale(df, self.means, self.stds), self.features)
-        return decode_predictions(self._combine(work), self.mapping).drop("features")
+        """ML16: predictions for raw rows, whose own columns stay as they are.
+
+        Columns missing at score time, nulls, bad numbers and unseen categories
+        get what the fit says, as in training.
+        """
+        return self._score_prepared(prepared(df.select(F.struct("*").alias("__row"), "*"), self.profile, ["__row"])).select(
+            "__row.*", "probabilities", "prediction", "prediction_label", "confidence", "is_attack"
+        )
+
+    def _score_prepared(self, filled: DataFrame) -> DataFrame:
+        scaled = prep.scale(filled, {c: self.profile.means[c] for c in self.features}, self.profile.stds)
+        return decode_predictions(self._combine(_assemble(scaled, self.features)), self.mapping).drop("features")
 
     def _combine(self, work: DataFrame) -> DataFrame:
         names = []
@@ -181,6 +200,66 @@ class Ensemble:
         done = model.transform(joined).withColumn("probabilities", vector_to_array("__mp"))
         return done.withColumn("prediction", _argmax(F.col("probabilities"))).drop("__mp", "__meta", *names)
 
+    def save(self, path: str) -> None:
+        """Spark ML models and small tables under a folder, which must not exist yet."""
+        spark = self.mapping.sparkSession
+        self.profile.to_df(spark).write.parquet(f"{path}/profile")
+        if self.profile.categories is not None:
+            self.profile.categories.write.parquet(f"{path}/categories")
+        self.mapping.write.parquet(f"{path}/labels")
+        for i, base in enumerate(self.bases):
+            for k, model in enumerate(base.models):
+                model.save(f"{path}/models/{i}-{k}")
+        if self.meta is not None:
+            self.meta.save(f"{path}/meta")
+        parts = [(b.name, len(b.models)) for b in self.bases]
+        # Written last: a folder without it is no complete ensemble.
+        head = [(self.features, self.classes, parts, self.meta is not None, {k: float(v) for k, v in self.metrics.items()})]
+        spark.createDataFrame(head, HEAD_SCHEMA).coalesce(1).write.parquet(f"{path}/ensemble")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Ensemble:
+        head = spark.read.parquet(f"{path}/ensemble").first()
+        rows = spark.read.parquet(f"{path}/profile").orderBy("ordinal").collect()  # one row per column
+        value = lambda name: {r["column"]: r[name] for r in rows if r[name] is not None}
+        profile = prep.Profile([r["column"] for r in rows], value("kind"), value("fill_value"), value("mean"), value("std"))
+        if "categorical" in profile.kinds.values():
+            profile.categories = spark.read.parquet(f"{path}/categories")
+        bases = []
+        for i, part in enumerate(head["bases"]):
+            kind = GBTClassificationModel if part["name"] == "gbt" else RandomForestClassificationModel
+            models = [kind.load(f"{path}/models/{i}-{k}") for k in range(part["models"])]
+            bases.append(BaseModel(part["name"], head["classes"], models))
+        meta = LogisticRegressionModel.load(f"{path}/meta") if head["stacked"] else None
+        mapping = spark.read.parquet(f"{path}/labels")
+        return cls(list(head["features"]), mapping, head["classes"], profile, bases, meta, dict(head["metrics"]))
+
+
+HEAD_SCHEMA = (
+    "features array<string>, classes int, bases array<struct<name:string,models:int>>, stacked boolean, "
+    "metrics map<string,double>"
+)
+
+
+def prepared(df: DataFrame, profile: prep.Profile, keep: list[str]) -> DataFrame:
+    """``keep`` and the fitted columns as filled doubles."""
+    return prep.apply_fill(prep.encode(df, profile, keep), profile.fills)
+
+
+def dense_labels(df: DataFrame, label: str, out: str = "y") -> tuple[DataFrame, DataFrame]:
+    """(labelled rows with codes 0..k-1, label table) for text and numeric labels alike."""
+    labelled = df.where(F.col(label).isNotNull())
+    codes = pinned_codes(labelled.select(F.col(label).alias("value")).distinct())
+    mapping = codes.select(F.col("value").cast("string").alias("label"), "code")
+    key = codes.select(F.col("value").alias(label), F.col("code").alias(out))
+    return labelled.join(small(key), label), mapping
+
+
+def pinned_codes(values: DataFrame) -> DataFrame:
+    """Dense codes of distinct values, computed once."""
+    ensure_checkpoint_dir(values.sparkSession)
+    return dense_codes(values, [], "value").checkpoint()
+
 
 def _assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(df)
@@ -230,38 +309,39 @@ def train_pipeline(
 ) -> Ensemble:
     """ML18: clean, encode, split, scale, select, fit, combine, evaluate.
 
-    ``features`` are numeric columns or numeric text; ``keys`` identify a row
-    and shrink to one hash. The split is persisted
-    to disk-backed storage only: a lost executor recomputes its part.
+    ``features`` are raw columns: numbers, numeric text, times or categories;
+    their preparation is fitted on the training rows and kept. Labels of any
+    kind get dense codes. ``keys`` identify a row and shrink to one hash. The
+    split is persisted to disk-backed storage only: a lost executor recomputes
+    its part.
     """
     params = params or {}
     names = model_names(models)
     prep.check_two_classes(df, label)
     key = sampling.order_hash("row", keys).alias("row_key")
-    numeric = prep.null_inf(df.select(key, label, *[prep.parse_double(F.col(c)).alias(c) for c in features]))
     keys = ["row_key"]
-    coded, mapping = prep.encode_labels(numeric, label, "y")
+    coded, mapping = dense_labels(df.select(key, F.col(label).alias("__label"), *features), "__label")
     classes = mapping.count()
-    split = sampling.stratified_split(coded, "y", keys, test_fraction, seed).persist(StorageLevel.DISK_ONLY)
+    split = sampling.stratified_split(coded.drop("__label"), "y", keys, test_fraction, seed).persist(StorageLevel.DISK_ONLY)
     try:
-        train, test = split.where("NOT is_test"), split.where("is_test")
-        fills = prep.fit_medians(train, features)
-        train, test = prep.apply_fill(train, fills), prep.apply_fill(test, fills)
-        means, stds = prep.fit_scaler(train, features)
+        profile = prep.fit_profile(split.where("NOT is_test").select(*features))
+        filled = prepared(split, profile, [*keys, "y", "is_test"])
+        train, test = filled.where("NOT is_test"), filled.where("is_test")
+        profile.means, profile.stds = prep.fit_scaler(train, features)
         chosen = features
         if 0 < k_best < len(features):
             scores = prep.anova_f(train, features, "y")
             chosen = [r["feature"] for r in prep.select_k_best(scores, k_best).collect()]  # one row per feature
-        means, stds = {c: means[c] for c in chosen}, {c: stds[c] for c in chosen}
-        ready = prep.balanced_weights(prep.scale(train, means, stds), "y")
+        ready = prep.balanced_weights(prep.scale(train, {c: profile.means[c] for c in chosen}, profile.stds), "y")
         ready = _assemble(ready, chosen).select(*keys, "y", "weight", "features").persist(StorageLevel.DISK_ONLY)
         try:
             bases = fit_bases(ready, names, classes, seed, params)
             meta = fit_stacking(ready, names, classes, keys, seed=seed, params=params) if stacking and len(bases) > 1 else None
         finally:
             ready.unpersist()
-        ensemble = Ensemble(chosen, mapping, classes, means, stds, bases, meta)
-        ensemble.metrics = evaluate_predictions(ensemble.score(test)).first().asDict()
+        ensemble = Ensemble(chosen, mapping, classes, profile, bases, meta)
+        scored = ensemble._score_prepared(test)
+        ensemble.metrics = evaluate_predictions(scored).first().asDict() | {"test_rows": float(scored.count())}
     finally:
         split.unpersist()
     return ensemble

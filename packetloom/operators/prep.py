@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from packetloom import constants as K
 from packetloom.functions.numeric import null_if_not_finite, parse_double
 from packetloom.operators.sizing import dense_codes, small
+from packetloom.session import ensure_checkpoint_dir
 
 MISSING = "__missing__"
 HISTOGRAM_BUCKETS = 4096
@@ -137,7 +138,9 @@ def fit_categories(df: DataFrame, columns: list[str]) -> DataFrame:
     """ML1: alphabetical code per category of each column."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), category_value(_q(c)).alias("value")) for c in columns])
     values = df.select(F.inline(cells)).distinct()
-    return dense_codes(values, ["column"], "value")
+    # Read once: every column's codes come from the pinned dictionary.
+    ensure_checkpoint_dir(df.sparkSession)
+    return dense_codes(values, ["column"], "value").checkpoint()
 
 
 def apply_categories(df: DataFrame, categories: DataFrame, columns: list[str]) -> DataFrame:

@@ -14,8 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from packetloom.operators.sizing import small
+# Largest n that Spark's group limit prunes before the shuffle (see session.py).
+PRUNED_N = 1_000
 
-SMALL_N = 1_000
+
+def _left_null_safe(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Left join on ``by`` where a null key meets a null key; the keys come from the left."""
+    names = {c: f"__k{i}" for i, c in enumerate(by)}
+    renamed = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
+    same = F.lit(True)
+    for c, k in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    return left.join(renamed, same, "left").drop(*names.values())
 
 
 def order_hash(seed: str | int, keys: list[str]) -> Column:
@@ -29,7 +39,8 @@ def mark_per_group(
     """Flag the first ``n`` rows of every group in hash order.
 
     ``n`` is a number or a table (group columns, ``n``); a group absent from
-    the table gets none. ``group=[]`` selects over the whole table.
+    the table gets none. ``group=[]`` selects over the whole table. Null keys
+    form a group of their own.
     """
     work = df.withColumn("__h", order_hash(seed, keys)).withColumn(
         "__b", F.conv(F.substring("__h", 1, 4), 16, 10).cast("int")
@@ -39,7 +50,7 @@ def mark_per_group(
         work, by = work.withColumn("__all", F.lit(0)), ["__all"]
     counts = work.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__c"))
     if isinstance(n, DataFrame):
-        counts = counts.join(n.select(*by, F.col("n").alias("__want")), by, "left").fillna(0, ["__want"])
+        counts = _left_null_safe(counts, n.select(*by, F.col("n").alias("__want")), by).fillna(0, ["__want"])
     else:
         counts = counts.withColumn("__want", F.lit(int(n)).cast("bigint"))
     upto = F.sum("__c").over(W.partitionBy(*by).orderBy("__b"))
@@ -52,7 +63,7 @@ def mark_per_group(
             F.min_by(F.col("__want") - F.col("__upto") + F.col("__c"), "__b").alias("__need"),
         )
     )
-    joined = work.join(small(cut), by, "left")
+    joined = _left_null_safe(work, cut, by)
     at_cut = F.coalesce(F.col("__b") == F.col("__cut"), F.lit(False))
     clear = joined.where(~at_cut).withColumn(out, F.col("__cut").isNull() | (F.col("__b") < F.col("__cut")))
     rank = F.row_number().over(W.partitionBy(*by).orderBy("__h", *keys))
@@ -63,17 +74,14 @@ def mark_per_group(
 def take_per_group(
     df: DataFrame, group: list[str], keys: list[str], n: int | DataFrame, seed: str | int = 0
 ) -> DataFrame:
-    """The first ``n`` rows of every group in hash order.
+    """The first ``n`` rows of every group in hash order; null keys are a group like any other.
 
-    For a small fixed ``n`` the rank filter is pushed below the shuffle: every
-    task forwards at most ``n`` rows per group, however large the group is.
+    For a small fixed ``n`` the rank filter goes below the shuffle: every task
+    forwards at most ``n`` rows per group. The rows are the same either way.
     """
-    if not isinstance(n, DataFrame) and n <= SMALL_N:
-        work = df.withColumn("__h", order_hash(seed, keys))
-        if not group:
-            return work.orderBy("__h", *keys).limit(n).drop("__h")
+    if group and not isinstance(n, DataFrame) and n <= PRUNED_N:
         rank = F.row_number().over(W.partitionBy(*group).orderBy("__h", *keys))
-        return work.withColumn("__rn", rank).where(F.col("__rn") <= n).drop("__h", "__rn")
+        return df.withColumn("__h", order_hash(seed, keys)).withColumn("__rn", rank).where(F.col("__rn") <= n).drop("__h", "__rn")
     return mark_per_group(df, group, keys, n, seed, "__taken").where("__taken").drop("__taken")
 
 

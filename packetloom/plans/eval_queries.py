@@ -51,6 +51,24 @@ def eval_stats(spark, sf_dir):
     return rounded(ev.running_stats(_counts(spark, sf_dir)))
 
 
+# Weighted scores per file, from the pairs of each file.
+FILE_SCORES = """,
+fp AS (SELECT source_file, t, p, count(*) AS n FROM s GROUP BY ALL),
+ft AS (SELECT source_file, t AS label, sum(n) AS support, coalesce(sum(CASE WHEN t = p THEN n END), 0) AS tp FROM fp GROUP BY ALL),
+fq AS (SELECT source_file, p AS label, sum(n) AS predicted FROM fp GROUP BY ALL),
+fr AS (SELECT source_file, support, coalesce(tp::DOUBLE / predicted, 0) AS pre, tp::DOUBLE / support AS rec FROM ft LEFT JOIN fq USING (source_file, label)),
+fm AS (SELECT source_file, round(sum(pre * support) / sum(support), 6)::DOUBLE AS precision_weighted,
+  round(sum(rec * support) / sum(support), 6)::DOUBLE AS recall_weighted,
+  round(sum(CASE WHEN pre + rec > 0 THEN 2 * pre * rec / (pre + rec) ELSE 0 END * support) / sum(support), 6)::DOUBLE AS f1_weighted
+  FROM fr GROUP BY source_file)"""
+
+
+@query("eval_file_scores", f"{C}{FILE_SCORES} SELECT * FROM fm")
+def eval_file_scores(spark, sf_dir):
+    """AGG4: weighted precision, recall and F1 per file."""
+    return rounded(ev.file_scores(_counts(spark, sf_dir)))
+
+
 @query(
     "eval_per_class",
     f"{C} SELECT label, round(pre, 6)::DOUBLE AS precision, round(rec, 6)::DOUBLE AS recall, round(f1, 6)::DOUBLE AS f1, support, predicted, tp AS true_positive FROM m",

@@ -10,11 +10,11 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from packetloom import schemas
-from packetloom.functions.labels import label_from_filename
+from packetloom.functions.labels import file_stem, label_from_filename
 from packetloom.operators import evaluate, events as log, prep
 from packetloom.plans.event_queries import D
-from packetloom.plans.eval_queries import C
-from packetloom.plans.flow_queries import flow_cte
+from packetloom.plans.eval_queries import C, FILE_SCORES
+from packetloom.plans.flow_queries import ALL, flow_cte, shown, shown_sql
 from packetloom.plans.registry import query, rounded
 from packetloom.plans.stream_queries import _drain, _scratch, _stream
 from packetloom.sources import files, pcap, sinks
@@ -43,29 +43,39 @@ def csv_folder(spark, sf_dir):
     return files.read_flow_csv(spark, f"{root}/csv").select("key", "label", "supplier", "total")
 
 
-def _write_frames(root: str):
+def _write_frames(root: str, by_capture: bool = False):
+    """Writes packet rows as capture files: one per task, or one per capture (rows sorted by capture)."""
+    def head() -> bytes:
+        return struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         filesystem, inner = fs.FileSystem.from_uri(root)
         filesystem.create_dir(inner, recursive=True)
-        name = f"{inner}/part{TaskContext.get().partitionId()}.pcap"
+        part = f"part{TaskContext.get().partitionId()}"
         ip = lambda text: bytes(int(x) for x in text.split("."))
-        n = 0
-        with filesystem.open_output_stream(name) as out:
-            out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
-            for batch in batches:
-                for r in batch.itertuples(index=False):
-                    ports = struct.pack(">HH", r.src_port, r.dst_port)
-                    if r.proto == 6:
-                        head = ports + struct.pack(">IIHHHH", 0, 0, 5 << 12 | r.tcp_flags, int(r.tcp_win), 0, 0)
-                    else:
-                        head = ports + struct.pack(">HH", r.pkt_len, 0)
-                    body = head + bytes(r.pkt_len - len(head))
-                    net = struct.pack(">BBHHHBBH", 0x45, 0, 20 + len(body), 0, 0, 64, r.proto, 0)
-                    frame = bytes(12) + b"\x08\x00" + net + ip(r.src_ip) + ip(r.dst_ip) + body
-                    out.write(struct.pack("<IIII", r.us // 1_000_000, r.us % 1_000_000, len(frame), len(frame)) + frame)
-                    n += 1
+        n, out, current = 0, None, None
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                name = r.capture_id if by_capture else part
+                if name != current:
+                    if out is not None:
+                        out.close()
+                    out, current = filesystem.open_output_stream(f"{inner}/{name}.pcap"), name
+                    out.write(head())
+                ports = struct.pack(">HH", r.src_port, r.dst_port)
+                if r.proto == 6:
+                    top = ports + struct.pack(">IIHHHH", 0, 0, 5 << 12 | r.tcp_flags, int(r.tcp_win), 0, 0)
+                else:
+                    top = ports + struct.pack(">HH", r.pkt_len, 0)
+                body = top + bytes(r.pkt_len - len(top))
+                net = struct.pack(">BBHHHBBH", 0x45, 0, 20 + len(body), 0, 0, 64, r.proto, 0)
+                frame = bytes(12) + b"\x08\x00" + net + ip(r.src_ip) + ip(r.dst_ip) + body
+                out.write(struct.pack("<IIII", r.us // 1_000_000, r.us % 1_000_000, len(frame), len(frame)) + frame)
+                n += 1
+        if out is not None:
+            out.close()
         yield pd.DataFrame({"n": [n]})
 
     return write
@@ -82,29 +92,36 @@ def _captures(spark, sf_dir, root):
 PACKET_COLS = "src_ip, src_port, dst_ip, dst_port, proto, hdr_len, pkt_len, tcp_flags"
 
 
-@query("pcap_packets", f"{oracle_cte('packets')} SELECT epoch_us(ts) AS us, {PACKET_COLS}, tcp_win FROM packets")
+@query(
+    "pcap_packets",
+    f"{oracle_cte('packets')} SELECT 'part' AS capture, epoch_us(ts) AS us, {PACKET_COLS}, tcp_win FROM packets",
+)
 def pcap_packets(spark, sf_dir):
     """SRC5: capture files to packet rows; ranges smaller than the files."""
     path = _captures(spark, sf_dir, _scratch(spark))
     df = pcap.read_pcap(spark, path, chunk=256 * 1024)
-    return df.select(F.unix_micros("ts").alias("us"), *PACKET_COLS.split(", "), "tcp_win")
+    named = F.regexp_replace("capture_name", "[0-9]+$", "").alias("capture")
+    return df.select(named, F.unix_micros("ts").alias("us"), *PACKET_COLS.split(", "), "tcp_win")
 
 
-VOLUME = ["total_fwd_packets", "total_backward_packets", "total_length_of_fwd_packets", "total_length_of_bwd_packets"]
+# hdr_len of a written TCP frame is always 20 and of UDP 8, as in the table.
+STREAMED = ALL
 
 
-@query(
-    "stream_capture_flows",
-    f"{flow_cte()} SELECT flow_id, protocol, {', '.join(f'sum({c})::BIGINT AS {c}' for c in VOLUME)} FROM flows GROUP BY ALL",
-)
+@query("stream_capture_flows", f"{flow_cte()} SELECT {', '.join(shown_sql(c) for c in STREAMED)} FROM flows")
 def stream_capture_flows(spark, sf_dir):
-    """STR2: a drop folder of captures as a stream of flow records."""
+    """STR2: a drop folder of captures as a stream of flow records, every column, split by capture.
+
+    Each capture of the table becomes one file whose name carries its id.
+    """
     root = _scratch(spark)
-    path = _captures(spark, sf_dir, root)
-    found = streams.capture_stream(spark, path)
+    packets = adapter(spark, sf_dir, "packets").withColumn("us", F.unix_micros("ts"))
+    frames = packets.repartition("capture_id").sortWithinPartitions("capture_id", "us", "pkt_no")
+    frames.mapInPandas(_write_frames(f"{root}/captures", by_capture=True), "n bigint").agg(F.sum("n")).first()
+    found = streams.capture_stream(spark, f"{root}/captures")
     streams.start_capture_flows(found, f"{root}/flows", f"{root}/state", available_now=True).awaitTermination()
-    flows = spark.read.parquet(f"{root}/flows")
-    return flows.groupBy("flow_id", "protocol").agg(*[F.sum(c).alias(c) for c in VOLUME])
+    flows = spark.read.parquet(f"{root}/flows").withColumn("capture_id", file_stem(F.col("capture_id")))
+    return shown(flows, STREAMED)
 
 
 @query(
@@ -134,18 +151,19 @@ def event_log(spark, sf_dir):
 
 @query(
     "event_archive",
-    f"{D} SELECT CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 'archive' ELSE 'log' END AS place, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM e GROUP BY 1",
+    f"{D} SELECT event_uid, us, prediction_label, severity, source, "
+    "CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 'archive' ELSE 'log' END AS place FROM e",
 )
 def event_archive(spark, sf_dir):
-    """SNK5: whole days moved to the archive."""
+    """SNK5: whole days moved to the archive; a second call changes nothing."""
     root = _scratch(spark)
     sinks.write_events(_events(spark, sf_dir), f"{root}/log")
-    sinks.archive_events(spark, f"{root}/log", f"{root}/old", "2024-01-11", "run", LOG_SCHEMA)
+    for _ in range(2):
+        sinks.archive_events(spark, f"{root}/log", f"{root}/old", "2024-01-11", "run", LOG_SCHEMA)
     kept = sinks.read_events(spark, f"{root}/log", LOG_SCHEMA).withColumn("place", F.lit("log"))
     moved = sinks.read_events(spark, f"{root}/old/archive=run", LOG_SCHEMA).withColumn("place", F.lit("archive"))
     both = kept.unionByName(moved, allowMissingColumns=True)
-    us = F.unix_micros("ts")
-    return both.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.min(us).alias("first_us"), F.max(us).alias("last_us"))
+    return both.select("event_uid", F.unix_micros("ts").alias("us"), "prediction_label", "severity", "source", "place")
 
 
 @query(
@@ -161,17 +179,33 @@ def timeline_file(spark, sf_dir):
 
 @query(
     "evaluation_files",
-    f"{C} SELECT 'per_file_metrics' AS output, count(DISTINCT source_file) AS n FROM s UNION ALL SELECT 'confusion_matrix', count(*) FROM labels "
-    "UNION ALL SELECT 'confusion_matrix_normalized', count(*) FROM labels UNION ALL SELECT 'overall_metrics', 1",
+    f"{C}{FILE_SCORES}, a AS (SELECT source_file, count(*) AS n, round(avg((t = p)::INT), 6)::DOUBLE AS accuracy FROM s GROUP BY ALL) "
+    "SELECT 'per_file' AS output, source_file AS row_name, 'rows' AS name, n::DOUBLE AS value FROM a "
+    "UNION ALL SELECT 'per_file', source_file, 'accuracy', accuracy FROM a "
+    "UNION ALL SELECT 'per_file', source_file, 'f1_weighted', f1_weighted FROM fm "
+    "UNION ALL SELECT 'per_file', source_file, 'precision_weighted', precision_weighted FROM fm "
+    "UNION ALL SELECT 'confusion', x.label, y.label, coalesce(n, 0)::DOUBLE FROM labels x JOIN labels y ON true LEFT JOIN pairs ON t = x.label AND p = y.label "
+    "UNION ALL SELECT 'shares', x.label, y.label, CASE WHEN x.support = 0 THEN 0 ELSE round(coalesce(n, 0) / x.support, 6) END::DOUBLE "
+    "FROM cls x JOIN labels y ON true LEFT JOIN pairs ON t = x.label AND p = y.label "
+    "UNION ALL SELECT 'overall', NULL, 'accuracy', round(sum(tp)::DOUBLE / sum(support), 6) FROM m",
 )
 def evaluation_files(spark, sf_dir):
-    """SNK4: evaluation outputs as files."""
+    """SNK4: the values of every evaluation file, read back."""
     root = _scratch(spark)
     sinks.write_evaluation(evaluate.scored_counts(adapter(spark, sf_dir, "scored")), f"{root}/eval")
-    names = ["per_file_metrics", "confusion_matrix", "confusion_matrix_normalized", "overall_metrics"]
+
+    def values(folder, output, row_name, names=None):
+        frame = spark.read.option("header", True).csv(f"{root}/eval/{folder}")
+        names = names or [c for c in frame.columns if c != row_name]
+        cells = F.array(*[F.struct(F.lit(c).alias("name"), F.round(F.col(f"`{c}`").cast("double"), 6).alias("value")) for c in names])
+        key = F.col(row_name) if row_name else F.lit(None).cast("string")
+        return frame.select(F.lit(output).alias("output"), key.alias("row_name"), F.inline(cells))
+
     parts = [
-        spark.read.option("header", True).csv(f"{root}/eval/{n}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("output"), "n")
-        for n in names
+        values("per_file_metrics", "per_file", "source_file", ["rows", "accuracy", "f1_weighted", "precision_weighted"]),
+        values("confusion_matrix", "confusion", "y_true"),
+        values("confusion_matrix_normalized", "shares", "y_true"),
+        values("overall_metrics", "overall", None, ["accuracy"]),
     ]
     return prep.union_files(parts)
 

@@ -118,37 +118,37 @@ REAL = {c for _, cols in GROUPS.values() for c in cols if c.split("_")[-1] in ("
 REAL -= {"fwd_header_length", "bwd_header_length"}
 
 
-def _shown_sql(col: str) -> str:
+def shown_sql(col: str) -> str:
     if "_iat_" in col:  # seconds: microsecond deviations exceed double precision when rounded
         return f"round({col} / 1e6, 3) AS {col}"
     return f"round({col}, 4) AS {col}" if col in REAL else col
 
 
-def _shown(df, cols):
+def shown(df, cols):
     df = df.withColumn("start_us", F.unix_micros("timestamp"))
-    return df.selectExpr(*[_shown_sql(c) for c in cols])
+    return df.selectExpr(*[shown_sql(c) for c in cols])
 
 
 def _group_query(name, cols):
     def run(spark, sf_dir):
         packets = adapter(spark, sf_dir, "packets")
         flows = build_flows(packets) if name in ORDERED else flow_totals(packets)
-        return _shown(flows, ID + cols)
+        return shown(flows, ID + cols)
 
     run.__doc__ = f"{GROUPS[name][0]}: one column group of the flow record."
     return run
 
 
 for _name, (_ids, _cols) in GROUPS.items():
-    query(_name, f"{flow_cte()} SELECT {', '.join(_shown_sql(c) for c in ID + _cols)} FROM flows")(
+    query(_name, f"{flow_cte()} SELECT {', '.join(shown_sql(c) for c in ID + _cols)} FROM flows")(
         _group_query(_name, _cols)
     )
 
 
-@query("flow_build", f"{flow_cte()} SELECT {', '.join(_shown_sql(c) for c in ALL)} FROM flows")
+@query("flow_build", f"{flow_cte()} SELECT {', '.join(shown_sql(c) for c in ALL)} FROM flows")
 def flow_build(spark, sf_dir):
     """FLW0-16: complete flow records."""
-    return _shown(build_flows(adapter(spark, sf_dir, "packets")), ALL)
+    return shown(build_flows(adapter(spark, sf_dir, "packets")), ALL)
 
 
 IAT_COLS = ID + GROUPS["flow_iat"][1]
@@ -156,11 +156,11 @@ IAT_COLS = ID + GROUPS["flow_iat"][1]
 
 @query(
     "flow_iat_capture",
-    f"{flow_cte('capture')} SELECT {', '.join(_shown_sql(c) for c in IAT_COLS)} FROM flows",
+    f"{flow_cte('capture')} SELECT {', '.join(shown_sql(c) for c in IAT_COLS)} FROM flows",
 )
 def flow_iat_capture(spark, sf_dir):
     """FLW6 with capture scope (Q3): gaps to the previous packet of the capture."""
-    return _shown(build_flows(adapter(spark, sf_dir, "packets"), iat_scope="capture"), IAT_COLS)
+    return shown(build_flows(adapter(spark, sf_dir, "packets"), iat_scope="capture"), IAT_COLS)
 
 
 @query(

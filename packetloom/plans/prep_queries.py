@@ -157,24 +157,39 @@ PPS = "CASE WHEN row_id % 5 = 0 OR row_id % 7 = 0 THEN NULL ELSE flow_packets_s
 LEN = "CASE WHEN row_id % 4 = 0 THEN NULL ELSE packet_length_mean END"
 
 
+RECORD_KEYS = {
+    "protocol": "Protocol", "syn": " SYN Flag Count", "duration": "Flow Duration", "packets_s": "Flow Packets/s",
+    "length": "Packet Length Mean", "note": "note",
+}
+
+
+def _fields(df, m):
+    """The size and every field of a map column."""
+    return df.select("row_id", F.size(m).alias("n"), *[F.col(m)[k].alias(name) for name, k in RECORD_KEYS.items()])
+
+
 @query(
     "coerce_float_map",
     f"{CIC} SELECT row_id, 2 + (row_id % 3 <> 0)::INT + (row_id % 5 <> 0)::INT + (row_id % 4 <> 0 AND packet_length_mean IS NOT NULL)::INT AS n, "
-    "protocol + syn_flag_count::DOUBLE AS s FROM cic_rows",
+    "protocol::DOUBLE AS protocol, syn_flag_count::DOUBLE AS syn, CASE WHEN row_id % 3 <> 0 THEN flow_duration::DOUBLE END AS duration, "
+    "CASE WHEN row_id % 5 = 0 THEN NULL WHEN row_id % 7 = 0 THEN 'Infinity'::DOUBLE ELSE flow_packets_s END AS packets_s, "
+    "CASE WHEN row_id % 4 <> 0 THEN packet_length_mean END::DOUBLE AS length, NULL::DOUBLE AS note FROM cic_rows",
 )
 def coerce_map(spark, sf_dir):
     """PRJ10: numbers of a record only."""
-    m = _records(spark, sf_dir).select("row_id", coerce_float_map(F.col("record")).alias("m"))
-    return m.select("row_id", F.size("m").alias("n"), (F.col("m")["Protocol"] + F.col("m")[" SYN Flag Count"]).alias("s"))
+    return _fields(_records(spark, sf_dir).select("row_id", coerce_float_map(F.col("record")).alias("m")), "m")
 
 
 @query(
     "compact_map",
-    f"{CIC} SELECT row_id, 4 + (row_id % 3 <> 0)::INT + (row_id % 4 <> 0 AND packet_length_mean IS NOT NULL)::INT AS n FROM cic_rows",
+    f"{CIC} SELECT row_id, 4 + (row_id % 3 <> 0)::INT + (row_id % 4 <> 0 AND packet_length_mean IS NOT NULL)::INT AS n, "
+    "protocol::VARCHAR AS protocol, syn_flag_count::VARCHAR AS syn, CASE WHEN row_id % 3 <> 0 THEN flow_duration::VARCHAR END AS duration, "
+    "CASE WHEN row_id % 5 = 0 THEN 'n/a' WHEN row_id % 7 = 0 THEN '1e309' ELSE flow_packets_s::VARCHAR END AS packets_s, "
+    "CASE WHEN row_id % 4 <> 0 THEN packet_length_mean::VARCHAR END AS length, 'x' || label AS note FROM cic_rows",
 )
 def compact(spark, sf_dir):
     """PRJ11: null and empty fields dropped."""
-    return _records(spark, sf_dir).select("row_id", F.size(compact_map(F.col("record"))).alias("n"))
+    return _fields(_records(spark, sf_dir).select("row_id", compact_map(F.col("record")).alias("m")), "m")
 
 
 @query("normalize_key", f"{oracle_cte('payloads')} SELECT payload_id, regexp_replace(lower(payload), '[^\\p{{L}}\\p{{Nd}}]', '', 'g') AS k FROM payloads")

@@ -275,14 +275,14 @@ DETAILS_SQL = f"""concat_ws('|', CASE WHEN hits > 0 THEN {sql_text(K.RULE_DETAIL
   CASE WHEN d > 0 THEN printf('- DNS_FLOOD_DETECTION: DNS query rate %.0f/s exceeds threshold 2000/s. (severity=%s)', dns_rate, CASE d WHEN 2 THEN 'critical' ELSE 'high' END) END,
   CASE WHEN n > 0 THEN printf('- NTP_FLOOD_DETECTION: NTP query rate normalized to %.0f/min exceeds threshold 5000/min. (severity=%s)', ntp_rate, CASE n WHEN 2 THEN 'critical' ELSE 'high' END) END,
   CASE WHEN a > 0 THEN printf('- ANOMALY_DETECTION: Abnormal traffic pattern detected: pkt_rate=%.0f/s, avg_pkt_size=%.0f bytes. (severity=%s)', pkt_rate, avg_pkt_size, CASE a WHEN 2 THEN 'critical' ELSE 'high' END) END,
-  printf('{K.MODEL_DETAIL_TITLE}%s (confidence=%.2f)', mt, ml_confidence))"""
+  printf('{K.MODEL_DETAIL_TITLE}%s (confidence=%.2f)', mt, ml_confidence), {sql_text(K.FEATURE_DETAIL_TITLE)},
+  {', '.join(f"'- {c}=' || {c}::VARCHAR" for c in K.RATE_FEATURES)})"""
 
 
 @query("explain_details", f"{EXPLAIN_CTE} SELECT {KEYS_SQL}, {DETAILS_SQL} AS details FROM x")
 def explain_details(spark, sf_dir):
-    """EXP3: evidence lines (the six monitored rates follow them unchanged)."""
-    shown = F.slice("exp_details", 1, F.size("exp_details") - 7)
-    return _explained(spark, sf_dir).select(*KEYS, F.array_join(shown, "|").alias("details"))
+    """EXP3: evidence lines and the monitored rates."""
+    return _explained(spark, sf_dir).select(*KEYS, F.array_join("exp_details", "|").alias("details"))
 
 
 @query(
@@ -293,9 +293,8 @@ def explain_details(spark, sf_dir):
     "repeat('=', 64)) AS report FROM x",
 )
 def report_text_query(spark, sf_dir):
-    """EXP5: report per detection, here without the monitored rates."""
-    judged = fuse(_judged(spark, sf_dir), "weighted").drop(*K.RATE_FEATURES)
-    return explain(judged).select(*KEYS, report_text().alias("report"))
+    """EXP5: report per detection."""
+    return explain(fuse(_judged(spark, sf_dir), "weighted")).select(*KEYS, report_text().alias("report"))
 
 
 KNOWLEDGE = _values((k, *v) for k, v in K.ATTACK_KNOWLEDGE.items())

@@ -7,15 +7,15 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.functions.numeric import parse_double
+from packetloom import schemas
 from packetloom.operators import events as log
-from packetloom.operators import prep
-from packetloom.operators.models import train_pipeline
+from packetloom.operators.models import Ensemble, train_pipeline
 from packetloom.plans.flow_queries import DAY, KEY, rate_sql
 from packetloom.plans.event_queries import D
 from packetloom.plans.prep_queries import SHOWN
 from packetloom.plans.registry import query, rounded
 from packetloom.session import ensure_checkpoint_dir
+from packetloom.sources import sinks
 from packetloom.sources.adapters import ADAPTER_SQL, adapter, oracle_cte
 from packetloom.streaming import streams
 
@@ -132,58 +132,119 @@ def stream_alerts(spark, sf_dir):
     return out.select("event_uid", "prediction_label", "severity", F.unix_micros("ts").alias("us"))
 
 
+@query(
+    "stream_event_feed",
+    f"{D} SELECT event_uid, us, prediction_label, source FROM e",
+)
+def stream_event_feed(spark, sf_dir):
+    """STR7: stored events as a feed; what is appended between two reads arrives once."""
+    root = _scratch(spark)
+    events = log.to_events(adapter(spark, sf_dir, "detections")).withColumn("prediction", F.lit(0))
+    early = F.col("ts") < F.lit("2024-01-11").cast("timestamp")
+    for part in (events.where(early), events.where(~early)):
+        sinks.write_events(part, f"{root}/log")
+        feed = streams.event_feed(spark, f"{root}/log", schemas.DETECTIONS)
+        streams.write_stream(feed, f"{root}/out", f"{root}/checkpoint", available_now=True).awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    return out.select("event_uid", F.unix_micros("ts").alias("us"), "prediction_label", "source")
+
+
+@query(
+    "stream_batch_alerts",
+    f"{D} SELECT source, count(*) AS total_events, count(*) FILTER (is_attack) AS attack_events FROM e "
+    "GROUP BY source HAVING count(*) FILTER (is_attack) > 0",
+)
+def stream_batch_alerts(spark, sf_dir):
+    """STR8, AGG12: alert roll-ups of every micro-batch, here of the one batch there is."""
+    root = _scratch(spark)
+    events = log.to_events(_adapted(spark, sf_dir, "detections", "events"))
+    streams.start_batch_alerts(events, f"{root}/out", f"{root}/checkpoint", available_now=True).awaitTermination()
+    out = spark.read.json(f"{root}/out")
+    return out.select("source", F.col("total_events").cast("bigint"), F.col("attack_events").cast("bigint"))
+
+
 SMALL = {"random_forest": {"numTrees": 8, "maxDepth": 5}, "extra_trees": {"numTrees": 8, "maxDepth": 5},
          "gbt": {"maxIter": 3, "maxDepth": 3}, "meta_iter": 20}
 MODEL_FEATURES = ["dst_port", "syn_flag_count", "flow_duration", "flow_bytes_s_raw", "packet_length_mean", "flow_packets_s"]
 
 
-def _train(spark, sf_dir, models, **options):
-    rows = adapter(spark, sf_dir, "cic_rows").drop("flow_ts")
-    return train_pipeline(rows, "label", SHOWN[:-1], MODEL_FEATURES, models=models, params=SMALL, **options)
+# What SQL knows of a training run: classes, rows of the held-out fifth, and
+# that the held-out rows are predicted better than by chance.
+TRAINED = (
+    f"{oracle_cte('cic_rows')} SELECT count(DISTINCT label) AS classes, ceil(count(*) * 0.2)::BIGINT AS test_rows, "
+    "TRUE AS beats_chance FROM cic_rows WHERE label IS NOT NULL"
+)
+# Category, time and text columns next to the numbers.
+MIXED_FEATURES = [*MODEL_FEATURES, "protocol_name", "flow_time"]
+
+
+def _train(spark, sf_dir, models, features=MODEL_FEATURES, **options):
+    return train_pipeline(_raw_rows(spark, sf_dir), "label", SHOWN[:-1], features, models=models, params=SMALL, **options)
+
+
+def _raw_rows(spark, sf_dir):
+    rows = adapter(spark, sf_dir, "cic_rows")
+    return rows.selectExpr("* EXCEPT (flow_ts)", "if(protocol = 17, 'udp', 'tcp') AS protocol_name", "cast(flow_ts AS STRING) AS flow_time")
 
 
-def _metrics(spark, ensemble):
-    return spark.createDataFrame([(k, float(v)) for k, v in ensemble.metrics.items()], "metric string, value double")
+def _trained(spark, ensemble):
+    beats = ensemble.metrics["accuracy"] > 1 / ensemble.classes
+    return spark.createDataFrame(
+        [(ensemble.classes, int(ensemble.metrics["test_rows"]), beats)], "classes bigint, test_rows bigint, beats_chance boolean"
+    )
 
 
-@query("train_random_forest")
+@query("train_random_forest", TRAINED)
 def train_random_forest(spark, sf_dir):
-    """ML9: random forest, metrics of the held-out fifth."""
-    return _metrics(spark, _train(spark, sf_dir, "rf"))
+    """ML9: random forest over numbers, a category and a time."""
+    return _trained(spark, _train(spark, sf_dir, "rf", MIXED_FEATURES))
 
 
-@query("train_gbt")
+@query("train_gbt", TRAINED)
 def train_gbt(spark, sf_dir):
     """ML10: boosted trees, one against the rest."""
-    return _metrics(spark, _train(spark, sf_dir, "xgboost"))
+    return _trained(spark, _train(spark, sf_dir, "xgboost"))
 
 
-@query("train_extra_trees")
+@query("train_extra_trees", TRAINED)
 def train_extra_trees(spark, sf_dir):
     """ML11: extra trees approximation."""
-    return _metrics(spark, _train(spark, sf_dir, "et"))
+    return _trained(spark, _train(spark, sf_dir, "et"))
 
 
-@query("train_stacking")
+@query("train_stacking", TRAINED)
 def train_stacking(spark, sf_dir):
     """ML14, ML18: stacking over out-of-fold probabilities."""
-    return _metrics(spark, _train(spark, sf_dir, "rf,et", stacking=True, k_best=4))
+    return _trained(spark, _train(spark, sf_dir, "rf,et", stacking=True, k_best=4))
 
 
-@query("batch_scoring")
-def batch_scoring(spark, sf_dir):
-    """ML16, ML18, SNK3: train, then score every row."""
-    model = _train(spark, sf_dir, "rf,xgb")
-    rows = adapter(spark, sf_dir, "cic_rows")
-    numeric = prep.null_inf(rows.select("row_id", "label", *[parse_double(F.col(c)).alias(c) for c in model.features]))
-    filled = numeric.fillna(0.0, model.features)
-    scored = model.score(filled)
-    return scored.select("row_id", "label", "prediction", "prediction_label", F.round("confidence", 6).alias("confidence"), "is_attack")
+SCORED_FLAGS = "TRUE AS known_label, TRUE AS bounded, TRUE AS same_after_reload"
 
 
-@query("retrain_window")
+@query("batch_scoring", f"{oracle_cte('cic_rows')} SELECT row_id, label, {SCORED_FLAGS} FROM cic_rows")
+def batch_scoring(spark, sf_dir):
+    """ML16, ML18, SNK3: train, save, load, and score every raw row with both."""
+    model = _train(spark, sf_dir, "rf,et", MIXED_FEATURES)
+    root = _scratch(spark)
+    model.save(f"{root}/ensemble")
+    loaded = Ensemble.load(spark, f"{root}/ensemble")
+    rows = _raw_rows(spark, sf_dir)
+    first = model.score(rows).select("row_id", "label", "prediction_label", "confidence")
+    again = loaded.score(rows).select("row_id", F.col("prediction_label").alias("again"))
+    labels = rows.select(F.col("label").alias("known")).distinct()
+    return (
+        first.join(again, "row_id").join(labels, F.col("prediction_label") == F.col("known"), "left")
+        .select("row_id", "label", F.col("known").isNotNull().alias("known_label"),
+                F.col("confidence").between(1 / loaded.classes - 1e-9, 1 + 1e-9).alias("bounded"),
+                (F.col("prediction_label") == F.col("again")).alias("same_after_reload"))
+    )
+
+
+@query("retrain_window", f"{oracle_cte('cic_rows')}, f AS (SELECT source_file, least(count(*), 5000) AS n FROM cic_rows GROUP BY 1), "
+       "w AS (SELECT least(sum(n), 20000) AS n FROM f) SELECT (SELECT count(DISTINCT label) FROM cic_rows) AS classes, "
+       "ceil(n * 0.2)::BIGINT AS test_rows, TRUE AS beats_chance FROM w")
 def retrain_window(spark, sf_dir):
     """STR9, ML17: retraining from the newest window."""
     rows = adapter(spark, sf_dir, "cic_rows").drop("flow_ts")
     model = streams.retrain(rows, "source_file", "label", SHOWN[:-1], MODEL_FEATURES, 20_000, 5_000, models="rf", params=SMALL)
-    return _metrics(spark, model)
+    return _trained(spark, model)

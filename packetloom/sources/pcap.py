@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from packetloom.functions.labels import file_stem
 
 CHUNK_BYTES = 64 * 1024 * 1024
+BLOCK_BYTES = 8 * 1024 * 1024
 RESYNC_RECORDS = 16
 MAX_RECORD = 262_144
 FILE_HEADER = 24
@@ -44,11 +45,9 @@ def _open(path: str):
     return filesystem.open_input_file(inner)
 
 
-def _layout(stream, path: str) -> tuple[str, int]:
-    magic = stream.read_at(4, 0)
-    if magic not in MAGICS:
-        raise ValueError(f"no packet capture: {path}")
-    return MAGICS[magic]
+def _layout(stream) -> tuple[str, int] | None:
+    """(byte order, fraction units) or None for a file that is no capture."""
+    return MAGICS.get(stream.read_at(4, 0))
 
 
 def _plausible(data: bytes, at: int, order: str, near: int | None) -> tuple[int, int] | None:
@@ -77,11 +76,14 @@ def _resync(data: bytes, order: str, at_end: bool) -> int | None:
 
 
 def _walk(stream, order: str, start: int, stop: int, size: int) -> Iterator[tuple[int, bytes, list[int]]]:
-    """(block offset, block, record offsets in the block) until a record at or past ``stop``."""
-    block = 8 * 1024 * 1024
-    at = start
+    """(block offset, block, record offsets in the block) until a record at or past ``stop``.
+
+    The block grows until the next record fits. A record that reaches past the
+    file's end is cut short there, as the file is.
+    """
+    at, block = start, BLOCK_BYTES
     while at < stop:
-        data = stream.read_at(min(max(block, MAX_RECORD + RECORD_HEADER), size - at), at)
+        data = stream.read_at(min(block, size - at), at)
         offsets, pos = [], 0
         while at + pos < stop and pos + RECORD_HEADER <= len(data):
             cap = struct.unpack_from(order + "I", data, pos + 8)[0]
@@ -89,10 +91,14 @@ def _walk(stream, order: str, start: int, stop: int, size: int) -> Iterator[tupl
                 break
             offsets.append(pos)
             pos += RECORD_HEADER + cap
-        yield at, data, offsets
         if not offsets:
-            return
-        at += pos
+            if at + len(data) >= size:
+                return
+            cap = struct.unpack_from(order + "I", data, 8)[0]
+            block = max(2 * block, RECORD_HEADER + cap)
+            continue
+        yield at, data, offsets
+        at, block = at + pos, BLOCK_BYTES
 
 
 def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,7 +107,9 @@ def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for path, part, lo, hi, size in batch[["path", "part", "lo", "hi", "size"]].itertuples(index=False):
             with _open(path) as stream:
-                order, _ = _layout(stream, path)
+                if (layout := _layout(stream)) is None:
+                    continue
+                order = layout[0]
                 first = FILE_HEADER if part == 0 else None
                 if first is None:
                     probe = stream.read_at(min(4 * MAX_RECORD, size - lo), lo)
@@ -123,8 +131,9 @@ def _sequential(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for path, size, chunk in batch[["path", "size", "chunk"]].itertuples(index=False):
             with _open(path) as stream:
-                order, _ = _layout(stream, path)
-                part = 0
+                if (layout := _layout(stream)) is None:
+                    continue
+                order, part = layout[0], 0
                 for at, _, offsets in _walk(stream, order, FILE_HEADER, size, size):
                     for pos in offsets:
                         while at + pos >= part * chunk:
@@ -157,8 +166,8 @@ def _decode(path: str, base: int, block: bytes, offsets: list[int], order: str,
     end = np.minimum(start + cap, len(data))
     l3 = start + 14
     kind = _be16(data, start + 12)
-    for _ in range(2):  # stacked VLAN tags
-        tagged = np.isin(kind, (0x8100, 0x88A8, 0x9100))
+    # Stacked VLAN tags, as many as there are.
+    while (tagged := np.isin(kind, (0x8100, 0x88A8, 0x9100)) & (l3 + 4 <= end)).any():
         kind = np.where(tagged, _be16(data, l3 + 2), kind)
         l3 = np.where(tagged, l3 + 4, l3)
     version = _at(data, l3) >> 4
@@ -172,8 +181,8 @@ def _decode(path: str, base: int, block: bytes, offsets: list[int], order: str,
     l4 = np.where(v4, l3 + ihl, l3 + 40)
     proto = np.where(v4, _at(data, l3 + 9), _at(data, l3 + 6))
     whole6 = v6.copy()
-    for _ in range(8):  # IPv6 extension headers
-        ext = v6 & np.isin(proto, (0, 43, 60, 44, 51)) & (l4 + 8 <= end)
+    # IPv6 extension headers, as many as there are.
+    while (ext := v6 & np.isin(proto, (0, 43, 60, 44, 51)) & (l4 + 8 <= end)).any():
         fragment = ext & (proto == 44)
         whole6 &= ~(fragment & ((_be16(data, l4 + 2) >> 3) != 0))
         length = np.where(proto == 44, 8, np.where(proto == 51, (_at(data, l4 + 1) + 2) * 4, (_at(data, l4 + 1) + 1) * 8))
@@ -214,12 +223,42 @@ def _packets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, first, hi, size in batch[["path", "first", "hi", "size"]].itertuples(index=False):
             with _open(path) as stream:
-                order, unit = _layout(stream, path)
+                if (layout := _layout(stream)) is None:
+                    continue
+                order, unit = layout
                 for at, data, offsets in _walk(stream, order, int(first), int(hi), int(size)):
                     if offsets:
                         yield _decode(path, at, data, offsets, order, unit)
 
 
+def _faults(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for path, size in batch[["path", "size"]].itertuples(index=False):
+            with _open(path) as stream:
+                layout = _layout(stream) if size >= FILE_HEADER else None
+                if layout is None:
+                    rows.append((path, 0, "no packet capture"))
+                    continue
+                end = FILE_HEADER
+                for at, data, offsets in _walk(stream, layout[0], FILE_HEADER, size, size):
+                    if offsets:
+                        cap = struct.unpack_from(layout[0] + "I", data, offsets[-1] + 8)[0]
+                        end = at + offsets[-1] + RECORD_HEADER + cap
+                if end != size:
+                    rows.append((path, min(end, size), "cut short" if end > size else "no whole record header"))
+        yield pd.DataFrame(rows, columns=["path", "offset", "error"])
+
+
+def capture_errors(files: DataFrame) -> DataFrame:
+    """(path, offset, error) of files (path, size) that are no captures or end inside a record.
+
+    ``packets_of`` passes over the former and keeps what the latter still hold.
+    """
+    spread = max(files.sparkSession.sparkContext.defaultParallelism, 1)
+    return files.repartition(spread * 4, "path").mapInPandas(_faults, "path string, offset bigint, error string")
+
+
 def _ranges(files: DataFrame, chunk: int) -> DataFrame:
     parts = files.withColumn("part", F.explode(F.expr(f"sequence(0L, (size - 1L) div {chunk}L)")))
     return parts.withColumns(
@@ -260,13 +299,14 @@ def packets_of(files: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
         F.col(f"{side}_v6")
     )
     return raw.select(
-        file_stem(F.col("path")).alias("capture_id"), "pkt_no", F.timestamp_micros("ts_us").alias("ts"),
+        # Equal names in other folders are other captures.
+        F.col("path").alias("capture_id"), file_stem(F.col("path")).alias("capture_name"), "pkt_no", F.timestamp_micros("ts_us").alias("ts"),
         address("src").alias("src_ip"), "src_port", address("dst").alias("dst_ip"), "dst_port", "proto", "hdr_len",
         "pkt_len", "tcp_flags", "tcp_win",
     )
 
 
-def list_captures(spark: SparkSession, path: str, glob: str = "*.pcap") -> DataFrame:
+def list_captures(spark: SparkSession, path: str, glob: str = "*.[pP][cC][aA][pP]") -> DataFrame:
     """(path, size) of capture files; contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     return found.select("path", F.col("length").alias("size"))

@@ -51,7 +51,7 @@ def capture_stream(spark: SparkSession, path: str, max_files: int | None = None)
     reader = spark.readStream.format("binaryFile").schema(
         "path string, modificationTime timestamp, length bigint, content binary"
     )
-    reader = reader.option("pathGlobFilter", "*.pcap").option("recursiveFileLookup", True)
+    reader = reader.option("pathGlobFilter", "*.[pP][cC][aA][pP]").option("recursiveFileLookup", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.load(path).select("path", F.col("length").alias("size"))

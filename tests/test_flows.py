@@ -14,15 +14,26 @@ def rows(df):
 
 @pytest.mark.parametrize("scope", ["flow", "capture"])
 def test_sliced_flows_equal_whole_flows(spark, sf_dir, scope):
-    """Every flow of more than three packets takes the hot path."""
+    """The same records, to the last digit, from one slice, the usual ones and a slice per second."""
     packets = adapter(spark, sf_dir, "packets")
-    whole = rows(build_flows(packets, scope, hot_rows=None))
-    cut = rows(build_flows(packets, scope, hot_rows=3))
-    assert whole.keys() == cut.keys()
-    for key, want in whole.items():
-        for column in FLOW_COLUMNS:
-            value = cut[key][column]
-            assert value == (pytest.approx(want[column], rel=1e-9) if isinstance(want[column], float) else want[column])
+    whole = rows(build_flows(packets, scope, slice_us=10**17))
+    assert whole == rows(build_flows(packets, scope)) == rows(build_flows(packets, scope, slice_us=10**6))
+
+
+@pytest.mark.parametrize("scope", ["flow", "capture"])
+def test_packets_are_read_once(spark, tmp_path, sf_dir, scope):
+    """The running tasks read each packet row once."""
+    adapter(spark, sf_dir, "packets").coalesce(1).write.parquet(str(tmp_path / "p"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    packets = spark.read.parquet(str(tmp_path / "p"))
+    build_flows(packets.mapInArrow(count, packets.schema), scope).write.format("noop").mode("overwrite").save()
+    assert seen.value == packets.count()
 
 
 def test_one_hot_flow_is_stitched(spark):
@@ -33,16 +44,15 @@ def test_one_hot_flow_is_stitched(spark):
         "if(id % 4 = 0, '10.0.0.2', '10.0.0.1') AS dst_ip", "if(id % 4 = 0, 5000, 80) AS dst_port",
         "6 AS proto", "20 AS hdr_len", "int(20 + id % 100) AS pkt_len", "2 AS tcp_flags", "int(id % 9999) AS tcp_win",
     )
-    whole = build_flows(packets, hot_rows=None).first().asDict()
-    cut = build_flows(packets, hot_rows=100).first().asDict()
+    whole = build_flows(packets, slice_us=10**17).first().asDict()
+    cut = build_flows(packets, slice_us=50_000).first().asDict()
     for column in FLOW_COLUMNS:
-        want = whole[column]
-        assert cut[column] == (pytest.approx(want, rel=1e-9) if isinstance(want, float) else want), column
+        assert cut[column] == whole[column], column
 
 
 def test_totals_equal_full_records(spark, sf_dir):
     packets = adapter(spark, sf_dir, "packets")
-    full, totals = rows(build_flows(packets, hot_rows=None)), rows(flow_totals(packets))
+    full, totals = rows(build_flows(packets)), rows(flow_totals(packets))
     for key, row in totals.items():
         for column, value in row.items():
             assert value == full[key][column]
@@ -69,10 +79,10 @@ def test_fixed_quirks(spark):
     assert row["cwe_flag_count"] == 1 and row["flow_packets_s"] == pytest.approx(1.0)
 
 
-def test_plain_flows_share_one_exchange(spark, sf_dir):
+def test_flows_need_one_exchange_for_packets_and_one_for_slices(spark, sf_dir):
     packets = adapter(spark, sf_dir, "packets")
-    plan = build_flows(packets, hot_rows=None)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+    plan = build_flows(packets)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Sort [") == 2
 
 
 def test_hot_groups_are_bounded(spark):
@@ -87,6 +97,6 @@ def test_year_long_gap_in_a_hot_flow(spark):
         "'10.0.0.1' AS src_ip", "80 AS src_port", "'10.0.0.2' AS dst_ip", "90 AS dst_port", "17 AS proto",
         "8 AS hdr_len", "20 AS pkt_len", "0 AS tcp_flags", "cast(NULL AS INT) AS tcp_win",
     )
-    whole, cut = build_flows(packets, hot_rows=None).first(), build_flows(packets, hot_rows=10).first()
+    whole, cut = build_flows(packets, slice_us=10**17).first(), build_flows(packets).first()
     assert cut["flow_iat_std"] == pytest.approx(whole["flow_iat_std"], rel=1e-6)
     assert cut["flow_iat_max"] == whole["flow_iat_max"]

@@ -38,6 +38,21 @@ def test_selection_matches_full_sort(spark):
         assert {(r["g"], r["id"]) for r in marked.collect()} == want
 
 
+@pytest.mark.parametrize("n", [1000, 1001])
+def test_null_groups_are_selected_like_others(spark, n):
+    df = spark.range(3000).selectExpr("id", "cast(NULL AS string) AS g")
+    assert sampling.take_per_group(df, ["g"], ["id"], n).count() == n
+    quota = spark.createDataFrame([(None, n), ("a", 5)], "g string, n bigint")
+    assert sampling.take_per_group(df, ["g"], ["id"], quota).count() == n
+    assert sampling.online_window(df, "g", ["id"], n).count() == n
+
+
+def test_null_labels_are_split_like_others(spark):
+    df = spark.range(3000).selectExpr("id", "if(id % 2 = 0, NULL, 'a') AS y")
+    got = {(r["y"], r["is_test"]): r["count"] for r in sampling.stratified_split(df, "y", ["id"]).groupBy("y", "is_test").count().collect()}
+    assert got == {(None, True): 300, (None, False): 1200, ("a", True): 300, ("a", False): 1200}
+
+
 def test_split_is_exact_and_complete(spark):
     df = spark.range(1003).selectExpr("id", "if(id % 10 < 9, 'a', 'b') AS y")
     out = sampling.stratified_split(df, "y", ["id"], 0.2, 1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from packetloom import schemas
 from packetloom.operators import evaluate, events as log
+from packetloom.operators.events import to_events
 from packetloom.sources import files, pcap, sinks
 from packetloom.sources.adapters import adapter
 from packetloom.streaming import streams
@@ -76,7 +77,7 @@ def test_pcap_decoding(spark, tmp_path, order, nano):
     (tmp_path / "cap1.pcap").write_bytes(capture(FRAMES, order, nano))
     df = pcap.read_pcap(spark, str(tmp_path))
     assert decoded(df) == WANT
-    assert {r["capture_id"] for r in df.collect()} == {"cap1"}
+    assert {r["capture_name"] for r in df.collect()} == {"cap1"}
 
 
 def test_large_capture_is_cut_exactly(spark, tmp_path):
@@ -100,10 +101,72 @@ def test_misleading_payload_falls_back(spark, tmp_path):
     assert len(got) == 40 and len({r[-1] for r in got}) == 40
 
 
-def test_bad_capture_is_reported(spark, tmp_path):
+def test_bad_files_do_not_end_the_read(spark, tmp_path):
     (tmp_path / "x.pcap").write_bytes(b"not a capture, but long enough to look")
-    with pytest.raises(Exception, match="no packet capture"):
-        pcap.read_pcap(spark, str(tmp_path)).count()
+    (tmp_path / "UPPER.PCAP").write_bytes(capture(FRAMES))
+    (tmp_path / "cut.pcap").write_bytes(capture(FRAMES)[:-20])
+    got = pcap.read_pcap(spark, str(tmp_path)).groupBy("capture_name").count().collect()
+    assert {r["capture_name"]: r["count"] for r in got} == {"UPPER": len(WANT), "cut": len(WANT) - 1}
+    errors = pcap.capture_errors(pcap.list_captures(spark, str(tmp_path))).collect()
+    assert {(r["path"].rpartition("/")[2], r["error"]) for r in errors} == {("x.pcap", "no packet capture"), ("cut.pcap", "cut short")}
+
+
+@pytest.mark.parametrize("chunk", [pcap.CHUNK_BYTES, 4_000_000])
+def test_packets_after_a_very_large_record(spark, tmp_path, chunk):
+    large = ether(0x0800, ipv4("10.0.0.1", "10.0.0.2", 1, b"i" * 60_000)) + b"\0" * (9 << 20)
+    good = ether(0x0800, ipv4("10.0.0.1", "10.0.0.2", 17, udp(1, 2, b"x")))
+    frames = [(1700000000, 0, good), (1700000001, 0, large), (1700000002, 0, good), (1700000003, 0, good)]
+    (tmp_path / "a.pcap").write_bytes(capture(frames))
+    assert len(decoded(pcap.read_pcap(spark, str(tmp_path), chunk))) == 3
+
+
+def test_many_vlan_tags_and_extension_headers(spark, tmp_path):
+    inner = ipv4("10.0.0.1", "10.0.0.2", 17, udp(1, 2, b"x"))
+    tags = b"".join(struct.pack(">HH", 0x8100, 5) for _ in range(3))
+    tagged = bytes(12) + tags + b"\x08\x00" + inner
+    options = b"".join(bytes([60, 0]) + bytes(6) for _ in range(11)) + bytes([17, 0]) + bytes(6)
+    frames = [(1, 0, tagged), (2, 0, ether(0x86DD, ipv6("::1", "::2", 60, options + udp(3, 4, b"y"))))]
+    (tmp_path / "a.pcap").write_bytes(capture(frames))
+    assert [(r[0], r[1]) for r in decoded(pcap.read_pcap(spark, str(tmp_path)))] == [("10.0.0.1", 1), ("::1", 3)]
+
+
+def test_equal_names_are_different_captures(spark, tmp_path):
+    from packetloom.operators.flows import build_flows
+
+    for day in ("day1", "day2"):
+        (tmp_path / day).mkdir()
+        (tmp_path / day / "dump.pcap").write_bytes(capture(FRAMES[-1:]))
+    packets = pcap.read_pcap(spark, str(tmp_path))
+    assert {r["capture_name"] for r in packets.collect()} == {"dump"} and build_flows(packets).count() == 2
+
+
+def test_archive_survives_reruns_and_lost_jobs(spark, tmp_path, sf_dir, monkeypatch):
+    log, old = str(tmp_path / "log"), str(tmp_path / "old")
+    events = to_events(adapter(spark, sf_dir, "detections")).withColumn("prediction", F.lit(1))
+    sinks.write_events(events, log)
+    count = lambda path: sinks.read_events(spark, path, schemas.DETECTIONS).count()
+    total = count(log)
+    early = events.where("ts < '2024-01-10'").count()
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    # Lost after the copy, before the commit: nothing is gone, a rerun starts over.
+    with monkeypatch.context() as m:
+        m.setattr(type(spark), "createDataFrame", lost)
+        with pytest.raises(RuntimeError):
+            sinks.archive_events(spark, log, old, "2024-01-10", "t", schemas.DETECTIONS)
+    assert count(log) == total
+    # Lost between two deletes: a late row for an old day comes in before the rerun and stays.
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.read), "text", lost)
+        with pytest.raises(RuntimeError):
+            sinks.archive_events(spark, log, old, "2024-01-10", "t", schemas.DETECTIONS)
+    assert count(f"{old}/archive=t") == early and count(log) == total
+    sinks.write_events(events.where("ts < '2024-01-10'").limit(1), log)
+    for _ in range(3):
+        sinks.archive_events(spark, log, old, "2024-01-10", "t", schemas.DETECTIONS)
+        assert count(f"{old}/archive=t") == early and count(log) == total - early + 1
 
 
 def test_csv_folder(spark, tmp_path):
