@@ -6,8 +6,7 @@ immutable snapshot go, shard by shard, into binary-fuse filters (about nine
 bits a digest). The distinct digests of a new batch probe them: a negative is
 certainly new and never meets the snapshot again, a positive joins the exact
 digest bucket. Duplicates inside the new batch are grouped on their own first.
-Rows of groups with several members are then compared byte by byte with the
-text that stays.
+Rows of groups with several members are then compared byte by byte.
 """
 
 from __future__ import annotations
@@ -178,13 +177,13 @@ def dedup_batches(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def check_bytes(docs: DataFrame, groups: DataFrame) -> None:
-    """Compare every member of a larger group with the text that stays, byte by byte.
+    """Compare the members of each larger group byte by byte.
 
     A second scan passes only texts whose digest may belong to a larger group
     (again a binary-fuse filter). Raises if two texts share a digest.
     """
     spark = docs.sparkSession
-    several = groups.filter("n > 1").select("sha", "key", "best")
+    several = groups.filter("n > 1").select("sha", "key")
     total = several.count()
     if not total:
         return
@@ -199,7 +198,7 @@ def check_bytes(docs: DataFrame, groups: DataFrame) -> None:
             k: BinaryFuse8(v[0], v[1], v[2], np.frombuffer(v[3], np.uint8)) for k, v in (handed.value if handed else {}).items()
         }
         for batch in batches:
-            out: dict[str, list] = {"sha": [], "row": [], "body": []}
+            out: dict[str, list] = {"sha": [], "body": []}
             bodies = [_normal(t) for t in batch.column("text").to_pylist()]
             shas = [hashlib.sha256(b).digest() for b in bodies]
             keys = np.frombuffer(b"".join(s[:8] for s in shas), ">i8").astype("i8")
@@ -207,22 +206,15 @@ def check_bytes(docs: DataFrame, groups: DataFrame) -> None:
             for shard, fuse in fuses.items():
                 mine = np.flatnonzero(keys % shards == shard)
                 keep[mine] = fuse.probe(keys[mine].view(np.uint64))
-            rows = batch.column("row").to_pylist()
             for i in np.flatnonzero(keep):
                 out["sha"].append(shas[i])
-                out["row"].append(rows[i])
                 out["body"].append(bodies[i])
-            yield pa.RecordBatch.from_pydict(
-                out, schema=pa.schema([("sha", pa.binary()), ("row", pa.int64()), ("body", pa.binary())])
-            )
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("sha", pa.binary()), ("body", pa.binary())]))
 
-    rows = doc_bytes(docs).withColumn("row", F.monotonically_increasing_id())
-    texts = rows.mapInArrow(repeated, "sha binary, row bigint, body binary")
-    stay = several.select("sha", F.col("best.row").alias("keep_row"))
-    # The texts travel once: kept ones meet the members of their digest below.
-    texts = texts.join(stay, "sha")
-    kept = texts.filter("row = keep_row").select("sha", F.col("body").alias("kept_body"))
-    differs = texts.filter("row != keep_row").join(kept, "sha").filter("body != kept_body")
+    texts = doc_bytes(docs).mapInArrow(repeated, "sha binary, body binary")
+    # Equal bytes have one least and one greatest member. Each task passes on one
+    # row per digest at most, so a group with a third of all rows stays small.
+    differs = texts.groupBy("sha").agg(F.min("body").alias("low"), F.max("body").alias("high")).filter("low != high")
     if differs.limit(1).count():
         raise ValueError("two different texts share one SHA-256")
 

@@ -29,7 +29,7 @@ BANDS = ((0, 21), (21, 21), (42, 22))
 # Distinct fingerprints that a tree is fitted on (bounded; every one is indexed).
 FIT_ROWS = 8192
 SHARD_ROWS = 16_384
-LEAF_ROWS = 256
+LEAF_ROWS, MAX_LEVELS = 256, 24
 # Comparisons of one task at most, before the shard's queries are sliced.
 SLICE_PAIRS = 1 << 30
 HASHES_AT_ONCE = 1 << 16
@@ -104,56 +104,47 @@ class VantageTree:
         return row, node
 
 
-def _pairs_within(index: np.ndarray, query: np.ndarray, mask: np.uint64, reach: int, within: int, roots: dict) -> list:
-    """Links (query, index) that join what was apart, from a vantage-point search inside a shard.
+def _joining_links(index: np.ndarray, query: np.ndarray, mask: np.uint64, reach: int, within: int) -> list[tuple[int, int]]:
+    """Links (query, index) of a shard that join groups which were apart, from a vantage-point search.
 
-    ``index`` and ``query`` are sorted (uint64). ``roots`` holds the groups found so far.
+    Every query meets all index entries that the bounds cannot rule out, so
+    the links span all pairs within the distance.
     """
+    every = np.unique(np.concatenate((index, query)))
+    group = np.arange(len(every))
     links: list[tuple[int, int]] = []
-    stack = [(index, query, 0)]
+    stack = [(np.searchsorted(every, np.sort(index)), np.searchsorted(every, np.sort(query)), 0)]
     while stack:
         idx, qry, level = stack.pop()
         if not len(idx) or not len(qry):
             continue
-        if len(idx) > LEAF_ROWS and len(qry) > 8 and level < 24:
-            point = idx[len(idx) // 2]
-            far_i = np.bitwise_count((idx ^ point) & mask).astype(np.int64)
+        if len(idx) > LEAF_ROWS and len(qry) > 8 and level < MAX_LEVELS:
+            point = every[idx[len(idx) // 2]]
+            far_i = np.bitwise_count((every[idx] ^ point) & mask).astype(np.int64)
             radius = int(np.median(far_i))
             inside = far_i <= radius
             if not inside.all():
-                far_q = np.bitwise_count((qry ^ point) & mask).astype(np.int64)
+                far_q = np.bitwise_count((every[qry] ^ point) & mask).astype(np.int64)
                 stack.append((idx[inside], qry[far_q - reach <= radius], level + 1))
                 stack.append((idx[~inside], qry[far_q + reach > radius], level + 1))
                 continue
         step = max(1, (1 << 20) // len(idx))
+        prints = every[idx][None, :]
         for at in range(0, len(qry), step):
-            block = qry[at : at + step, None]
+            block = every[qry[at : at + step]][:, None]
             # Each pair once: the index side is the smaller fingerprint.
-            near = (np.bitwise_count(block ^ idx[None, :]) <= within) & (idx[None, :] < block)
-            for q in np.flatnonzero(near.any(axis=1)):
-                _join_links(int(block[q, 0]), idx[near[q]], roots, links)
+            near = (np.bitwise_count(block ^ prints) <= within) & (prints < block)
+            for q in np.flatnonzero(near.any(axis=1)).tolist():
+                me = qry[at + q]
+                found = idx[near[q]]
+                apart, first = np.unique(group[found], return_index=True)
+                for label, k in zip(apart.tolist(), first.tolist(), strict=True):
+                    if label != group[me]:
+                        group[group == label] = group[me]
+                        links.append((int(every[me]), int(every[found[k]])))
     return links
 
 
-def _find(roots: dict, x: int) -> int:
-    top = x
-    while (up := roots.get(top, top)) != top:
-        top = up
-    while (up := roots.get(x, x)) != top:
-        roots[x] = top
-        x = up
-    return top
-
-
-def _join_links(query: int, found: np.ndarray, roots: dict, links: list) -> None:
-    mine = _find(roots, query)
-    for other in found.tolist():
-        theirs = _find(roots, other)
-        if theirs != mine:
-            roots[max(mine, theirs)] = mine = min(mine, theirs)
-            links.append((query, other))
-
-
 def near_links(fps: DataFrame, within: int = MAX_DISTANCE) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that span the graph of pairs within ``within`` bits.
 
@@ -201,7 +192,7 @@ def near_links(fps: DataFrame, within: int = MAX_DISTANCE) -> DataFrame:
         values = pdf["fp"].to_numpy().view(np.uint64)
         query = pdf["side"].to_numpy() == 1
         mask = np.uint64(masks[int(pdf["tree"].iloc[0])])
-        links = _pairs_within(np.sort(values[~query]), np.sort(values[query]), mask, reach, within, {})
+        links = _joining_links(values[~query], values[query], mask, reach, within)
         both = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
