@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from packetloom.operators.sizing import small
+
 # Largest n that Spark's group limit prunes before the shuffle (see session.py).
 PRUNED_N = 1_000
 
