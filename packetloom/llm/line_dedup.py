@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import doc_bytes, pinned
+from packetloom.llm.common import pinned
 
 MIN_LINES, MIN_WORDS = 3, 50
 
@@ -84,6 +84,9 @@ def repeated_runs(rows: DataFrame, min_lines: int, min_words: int) -> DataFrame:
     return seeds.join(earliest, "run").filter(later).select("row", "first", "end")
 
 
+RESULT = ("doc_id", "text", "n_lines", "n_removed", "kept_sha256")
+
+
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """Documents without repeated runs of lines: doc_id, text, n_lines, n_removed, kept_sha256, extra columns of ``docs``.
 
@@ -97,14 +100,28 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     ``docs`` is scanned more than once and must give its rows in the same order
     each time, as a table read does.
     """
-    more = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_removed", "kept_sha256", "row", "gone")]
-    marked = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text", *more)
-    rows = doc_bytes(docs).withColumn("row", F.monotonically_increasing_id()).select("row", "text")
-    numbers = repeated_runs(rows, min_lines, min_words).select(
+    cleaned, names = _cleaned(docs, min_lines, min_words)
+    return cleaned.select(*RESULT, *(F.col(n).alias(c) for c, n in names.items() if c not in RESULT))
+
+
+def without_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with all its columns, the text cleaned as by ``dedup_lines`` and n_chars, if there, following it."""
+    cleaned, names = _cleaned(docs, min_lines, min_words)
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    return cleaned.select(*((new[c].cast(kinds[c]) if c in new else F.col(n)).alias(c) for c, n in names.items()))
+
+
+def _cleaned(docs: DataFrame, min_lines: int, min_words: int) -> tuple[DataFrame, dict[str, str]]:
+    """(result columns and the input's under safe names, {input column: safe name})."""
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    numbered = F.monotonically_increasing_id().alias("row")
+    rows = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), numbered)
+    lines = repeated_runs(rows, min_lines, min_words).select(
         "row", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("line")
     )
     # A document's own lines only.
-    gone = numbers.groupBy("row").agg(F.collect_set("line").alias("gone"))
+    gone = lines.groupBy("row").agg(F.collect_set("line").alias("gone"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,17 +132,17 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
                 values = kept.decode("utf-8", "replace"), n, len(lines or ()), hashlib.sha256(kept).hexdigest()
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
-            columns = [batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(
-                out, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True))]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, *(batch.column(c) for c in more)], ["doc_id", "text", "n_lines", "n_removed", "kept_sha256", *more]
-            )
+            found = (pa.array(x, k) for x, k in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True))
+            carried = [batch.column(n) for n in names.values()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found, *carried], [*RESULT, *names.values()])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = "doc_id bigint, text string, n_lines bigint, n_removed bigint, kept_sha256 string"
-    schema += "".join(f", `{c}` {kinds[c]}" for c in more)
-    joined = marked.join(gone, "row", "left").select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), "gone", *more,
+    schema = "doc_id bigint, text string, n_lines bigint, n_removed bigint, kept_sha256 string, "
+    schema += ", ".join(f"{n} {kinds[c]}" for c, n in names.items())
+    # The text itself travels once; its own column is made from it again.
+    carried = [(F.lit(None).cast(kinds[c]) if c == "text" else F.col(f"`{c}`")).alias(n) for c, n in names.items()]
+    marked = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
+        numbered, *carried,
     )
-    return joined.mapInArrow(remove, schema)
+    return marked.join(gone, "row", "left").mapInArrow(remove, schema), names

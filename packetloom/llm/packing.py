@@ -39,7 +39,7 @@ SEQUENCE_COST, SENTENCE_CUT, HARD_CUT = 16, 2, 16
 HARD_EVERY = 128
 # Shortest power of two offered as an unpadded length inside the stream.
 LEAST_POWER = 64
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 700_000
 SENTENCE_MARKS = (".", "!", "?", "...", '."', '!"', '?"')
 _encoders: dict[str, WordIds] = {}
 

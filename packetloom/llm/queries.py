@@ -128,15 +128,13 @@ h AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.'
              list_extract(string_split(host, '.'), -1) AS suffix FROM h0),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d GROUP BY ALL),
-ms AS (SELECT *, (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM s) AS m FROM s),
-ks AS (SELECT {k} AS k FROM ms WHERE n > 0),
-ps AS (SELECT suffix, (m * k + good) / (k + n) AS m FROM ms, ks),
-md AS (SELECT d.*, m FROM d JOIN ps USING (suffix)),
-kd AS (SELECT {k} AS k FROM md WHERE n > 0),
-pd AS (SELECT domain, (m * k + good) / (k + n) AS m FROM md, kd),
-mh AS (SELECT h.*, m FROM h JOIN pd USING (domain)),
-kh AS (SELECT {k} AS k FROM mh WHERE n > 0),
-ph AS (SELECT host, (m * k + good) / (k + n) AS mean, k + n AS total FROM mh, kh),
+w AS (SELECT coalesce(sum(good), 0) + 1 AS a, coalesce(sum(n), 0) - coalesce(sum(good), 0) + 1 AS b FROM s),
+ms AS (SELECT s.*, a - good AS pa, b - (n - good) AS pb FROM s, w), ks AS (SELECT {k} AS k FROM ms WHERE n > 0),
+ps AS (SELECT suffix, {a} AS a, {b} AS b FROM ms, ks),
+md AS (SELECT d.*, a - good AS pa, b - (n - good) AS pb FROM d JOIN ps USING (suffix)), kd AS (SELECT {k} AS k FROM md WHERE n > 0),
+pd AS (SELECT domain, {a} AS a, {b} AS b FROM md, kd),
+mh AS (SELECT h.*, a - good AS pa, b - (n - good) AS pb FROM h JOIN pd USING (domain)), kh AS (SELECT {k} AS k FROM mh WHERE n > 0),
+ph AS (SELECT host, {a} / ({a} + {b}) AS mean, {a} + {b} AS total FROM mh, kh),
 v AS (SELECT host, least(mean + 1.6449 * sqrt(mean * (1 - mean) / (total + 1)), 1) AS upper FROM ph),
 f AS (
   SELECT p.*, upper,
@@ -151,11 +149,15 @@ SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
             WHEN upper < 0.5 THEN 'block' ELSE 'allow' END AS verdict
 FROM f
-""".replace(
-    "{k}",
-    """CASE WHEN count(*) < 2 OR sum(n) <= count(*) OR sum(n * power(good / n - m, 2)) <= sum(m * (1 - m)) THEN 1000
-       ELSE least(greatest((sum(n * m * (1 - m)) - sum(m * (1 - m)))
-                           / (sum(n * power(good / n - m, 2)) - sum(m * (1 - m))) - 1, 1), 1000) END""",
-)
+"""
+for _name, _text in {
+    "{k}": """CASE WHEN count(*) < 2 OR sum(n) <= count(*) OR sum(n * power(good / n - {m}, 2)) <= sum({m} * (1 - {m})) THEN 1000
+       ELSE least(greatest((sum(n * {m} * (1 - {m})) - sum({m} * (1 - {m})))
+                           / (sum(n * power(good / n - {m}, 2)) - sum({m} * (1 - {m}))) - 1, 1), 1000) END""",
+    "{a}": "({m} * least(k, pa + pb) + good)",
+    "{b}": "((1 - {m}) * least(k, pa + pb) + n - good)",
+    "{m}": "(pa / (pa + pb))",
+}.items():
+    _URL_SQL = _URL_SQL.replace(_name, _text)
 
 ORACLES: dict[str, str] = {"op5_exact_dedup": _EXACT_SQL, "op8_url_filter": _URL_SQL}

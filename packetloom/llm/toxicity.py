@@ -29,7 +29,8 @@ from packetloom.llm.common import doc_bytes, held_out
 # Labelled rows per class that a fit may take (drawn by a hash of the id).
 FIT_ROWS = 10_000
 LEXICON_TERMS = 4_000
-LEAST_SUPPORT, LEAST_LOG_ODDS = 5, 3.0
+# A term needs this many toxic texts, or this share of them if that is more.
+LEAST_SUPPORT, LEAST_SHARE, LEAST_LOG_ODDS = 3, 0.003, 3.0
 PREFIXES = (4, 5, 6)
 TOKEN = re.compile(r"[^\W_]+|[.!?;:\n]")
 
@@ -230,8 +231,9 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     if total is None or not total.toxic or not total.clean:
         return {}
     odds = F.log((F.col("toxic") + 0.5) / (total.toxic + 1)) - F.log((F.col("clean") + 0.5) / (total.clean + 1))
+    support = max(LEAST_SUPPORT, math.ceil(LEAST_SHARE * total.toxic))
     kept = (
-        per_term.filter((F.col("term") != "") & (F.col("toxic") >= LEAST_SUPPORT)).withColumn("odds", odds)
+        per_term.filter((F.col("term") != "") & (F.col("toxic") >= support)).withColumn("odds", odds)
         .filter(F.col("odds") >= LEAST_LOG_ODDS)
         .orderBy((F.col("odds") * F.col("toxic")).desc(), "term").limit(LEXICON_TERMS)
     )

@@ -1,9 +1,10 @@
 """URL filter: fixed rules first, then the reputation of the host.
 
 Reputation is empirical Bayes over labelled page outcomes. A beta prior comes
-down from all pages to the public suffix, the registered domain and the host;
-its strength at each level is fitted by the method of moments from how much the
-children of that level differ. A host is blocked when the upper posterior bound
+down from all pages to the public suffix, the registered domain and the host,
+each time from the parent's other pages. Its strength at each level is fitted by
+the method of moments from how much the members of that level differ, and never
+exceeds what is known of the parent. A host is blocked when the upper posterior bound
 of its share of good pages is under the threshold, so only hosts with evidence
 against them go.
 """
@@ -62,6 +63,12 @@ def host_levels(hosts: DataFrame) -> DataFrame:
     return hosts.withColumn("domain", domain).withColumn("suffix", suffix)
 
 
+def _under(level: DataFrame, a: Column, b: Column) -> DataFrame:
+    """Adds the parent's mean ``m`` and weight ``others``, both without the member's own pages."""
+    good, bad = a - F.col("good"), b - (F.col("n") - F.col("good"))
+    return level.withColumn("others", good + bad).withColumn("m", good / (good + bad))
+
+
 def _strength(level: DataFrame) -> float:
     """Method-of-moments prior strength of one level: members (good, n) against their parent's mean ``m``.
 
@@ -97,15 +104,17 @@ def host_reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     # All pages: one pseudo page each way.
-    world = hosts.agg((F.coalesce(F.sum("good"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).first()[0]
-    level = suffixes.withColumn("m", F.lit(float(world)))
+    world = hosts.agg(F.coalesce(F.sum("good"), F.lit(0.0)).alias("good"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    top = F.lit(world.good + 1.0), F.lit(world.n - world.good + 1.0)
+    level = _under(suffixes, *top)
     for below, key in ((domains, "suffix"), (hosts, "domain"), (None, "host")):
-        strength = F.lit(_strength(level))
+        strength = F.least(F.lit(_strength(level)), F.col("others"))
         level = level.withColumn("a", F.col("m") * strength + F.col("good")).withColumn(
             "b", (1 - F.col("m")) * strength + F.col("n") - F.col("good")
         )
         if below is not None:
-            level = below.join(level.select(key, (F.col("a") / (F.col("a") + F.col("b"))).alias("m")), key)
+            above = level.select(key, F.col("a").alias("up_a"), F.col("b").alias("up_b"))
+            level = _under(below.join(above, key), F.col("up_a"), F.col("up_b"))
     mean, total = F.col("a") / (F.col("a") + F.col("b")), F.col("a") + F.col("b")
     sd = F.sqrt(mean * (1 - mean) / (total + 1))
     return level.select(
