@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom import constants as K
-from packetloom.functions.numeric import finite, null_if_not_finite, parse_double
+from packetloom.functions.numeric import finite
 
 
 def normalize_key(c: Column) -> Column:
@@ -86,10 +86,9 @@ def dynamic_metrics_from_map(
 ) -> DataFrame:
     """Metrics of a free-form record column, the record preferred to the features."""
     source = F.coalesce(F.col(record), F.col(features)) if features else F.col(record)
-    numbers = F.transform_values(source, lambda _, v: parse_double(v))
-    numbers = F.transform_values(numbers, lambda _, v: null_if_not_finite(v))
-    work = df.withColumn("__metric_map", F.transform_keys(numbers, lambda k, _: normalize_key(k)))
-    values = {key: F.col("__metric_map")[key] for key in METRIC_KEYS}
+    # One pass over the keys; only the values looked up are parsed.
+    work = df.withColumn("__metric_map", F.transform_keys(source, lambda k, _: normalize_key(k)))
+    values = {key: finite(F.col("__metric_map")[key]) for key in METRIC_KEYS}
     return _staged(work, values, udp_per_minute).drop("__metric_map")
 
 

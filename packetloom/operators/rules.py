@@ -100,13 +100,8 @@ def _rules(limits: dict[str, float], with_payload: bool) -> list[Rule]:
     return rules
 
 
-def apply_rules(df: DataFrame, config: dict | None = None) -> DataFrame:
-    """RUL1-8: fired triggers in order and the combined verdict.
-
-    Inputs, levels and texts are staged columns, so each is computed once and
-    unused ones are pruned. The verdict is the first trigger of the highest
-    level.
-    """
+def _leveled(df: DataFrame, config: dict | None) -> tuple[DataFrame, list[Rule]]:
+    """Staged inputs and one level column per rule."""
     limits, keywords = merge_config(config)
     payloads = [F.col(c).cast("string") for c in ("payload", "http_payload") if c in df.columns]
     inputs = {
@@ -118,8 +113,18 @@ def apply_rules(df: DataFrame, config: dict | None = None) -> DataFrame:
         work = work.withColumn("__payload", F.lower(F.coalesce(*payloads)))
         inputs["__hits"] = payload_hits(F.col("__payload"), keywords)
     rules = _rules(limits, bool(payloads))
-    levels = {f"__l_{r.name}": r.level for r in rules}
-    work = work.withColumns(inputs).withColumns(levels)
+    return work.withColumns(inputs).withColumns({f"__l_{r.name}": r.level for r in rules}), rules
+
+
+def apply_rules(df: DataFrame, config: dict | None = None) -> DataFrame:
+    """RUL1-8: fired triggers in order and the combined verdict.
+
+    Inputs, levels and texts are staged columns, so each is computed once and
+    unused ones are pruned. The verdict is the first trigger of the highest
+    level.
+    """
+    work, rules = _leveled(df, config)
+    levels = [f"__l_{r.name}" for r in rules]
     fired = F.expr(" + ".join(f"int({c} > 0)" for c in levels))
     work = work.withColumns(
         {**{f"__d_{r.name}": r.description() for r in rules}, "__n": fired, "__top": F.greatest(*levels)}
@@ -160,12 +165,41 @@ def apply_rules(df: DataFrame, config: dict | None = None) -> DataFrame:
 
 
 def trigger_table(df: DataFrame, keys: list[str]) -> DataFrame:
-    """RUL10: one row per fired rule."""
+    """RUL10 for rows that ``apply_rules`` has judged: one row per fired rule."""
     return df.select(*keys, F.posexplode("triggers").alias("trigger_no", "t")).select(
         *keys, "trigger_no", "t.rule_name", "t.threshold", "t.actual_value", "t.severity", "t.description"
     )
 
 
+def fired_rules(df: DataFrame, keys: list[str], config: dict | None = None) -> DataFrame:
+    """RUL10: one row per fired rule.
+
+    The rule numbers are exploded first; only rows of fired rules build their
+    one text, all inside generated code.
+    """
+    work, rules = _leveled(df, config)
+    cells, before = [], F.lit(0)
+    for i, r in enumerate(rules):
+        level = F.col(f"__l_{r.name}")
+        cells.append(F.struct(F.lit(i).alias("__rule"), level.alias("__level"), before.alias("trigger_no")))
+        before = before + (level > 0).cast("int")
+    rows = work.select("*", F.inline(F.array(*cells))).where(F.col("__level") > 0)
+
+    def pick(value) -> Column:
+        out = value(rules[-1])
+        for i in range(len(rules) - 2, -1, -1):
+            out = F.when(F.col("__rule") == i, value(rules[i])).otherwise(out)
+        return out
+
+    return rows.select(
+        *keys, "trigger_no",
+        pick(lambda r: F.lit(f"{r.name}_DETECTION")).alias("rule_name"), pick(lambda r: F.lit(r.limit)).alias("threshold"),
+        pick(lambda r: F.col(r.value)).alias("actual_value"),
+        F.when(F.col("__level") == 2, F.lit("critical")).otherwise(F.lit("high")).alias("severity"),
+        pick(lambda r: r.description()).alias("description"),
+    )
+
+
 def rule_only_verdict(df: DataFrame) -> DataFrame:
     """FUS7: verdict columns when no model is available."""
     return df.withColumns(

@@ -17,7 +17,7 @@ from packetloom.operators.explain import (
 )
 from packetloom.operators.fusion import fuse, model_side
 from packetloom.operators.records import detection_output
-from packetloom.operators.rules import apply_rules, rule_only_verdict, trigger_table
+from packetloom.operators.rules import apply_rules, fired_rules, rule_only_verdict, trigger_table
 from packetloom.plans.registry import query, rounded, sql_text
 from packetloom.sources.adapters import adapter, oracle_cte
 
@@ -64,7 +64,7 @@ for _rule in RULES:
 @query("rule_triggers", f"{oracle_cte('rate_features')} " + " UNION ALL ".join(trigger_sql(r) for r in RULES))
 def rule_triggers(spark, sf_dir):
     """RUL10: one row per fired rule."""
-    return rounded(trigger_table(apply_rules(adapter(spark, sf_dir, "rate_features")), KEYS).drop("trigger_no"))
+    return rounded(fired_rules(adapter(spark, sf_dir, "rate_features"), KEYS).drop("trigger_no"))
 
 
 PER_SEC = "SELECT *, 'per_sec' AS udp_rate_unit, 'sec' AS ntp_rate_unit FROM rate_features"

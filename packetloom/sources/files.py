@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +16,10 @@ from packetloom import constants as K
 from packetloom.functions.labels import file_name
 
 EXTRA = "__extra"
+BLANKS = " \t\n\x0b\f\r"
 MAX_HEADERS = 1_000
+# Stands for no text of a CSV file, so that Spark reads empty fields as empty.
+ABSENT = "\x00"
 
 
 def with_source_file(df: DataFrame, path: Column | None = None) -> DataFrame:
@@ -57,32 +63,40 @@ def csv_headers(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(_read_header, "path string, header string")
 
 
-def _read_group(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
+def _read_group(spark: SparkSession, paths: list[str], columns: list[str], multi_line: bool) -> DataFrame:
     """All columns as text. Short rows fill with null; rows with more fields
-    than the header are malformed and dropped."""
+    than the header, even empty ones, are malformed and dropped."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, EXTRA]])
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(paths)
-    tagged = raw.select(*[F.col(f"`{c}`") for c in raw.columns], F.col("_metadata.file_name").alias("source_file"))
-    return tagged.where(F.col(EXTRA).isNull()).drop(EXTRA)
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", multi_line)
+    # An empty field differs from a missing one until the extra field is judged.
+    raw = reader.option("nullValue", ABSENT).csv(paths)
+    fields = [F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns]
+    return raw.where(F.col(EXTRA).isNull()).select(*fields, F.col("_metadata.file_name").alias("source_file"))
 
 
 def _unique(names: list[str]) -> list[str]:
     seen: dict[str, int] = {}
     out = []
     for i, name in enumerate(names):
-        name = name.strip().strip('"') or f"Unnamed: {i}"
+        name = name.strip() or f"Unnamed: {i}"
         k = seen.get(name, 0)
         seen[name] = k + 1
         out.append(name if k == 0 else f"{name}.{k}")
     return out
 
 
-def read_flow_csv(spark: SparkSession, path: str) -> DataFrame:
+def _header_names(header: str) -> list[str]:
+    """Column names of a header line, quoted ones included."""
+    return _unique(next(csv.reader([header], skipinitialspace=True), []))
+
+
+def read_flow_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """SRC1, SRC2, SET1: every CSV below a folder as one table of text columns.
 
     Files are grouped by header line; each group is one scan and differing
     columns union by name. Only the header table (one row per file) reaches
-    the driver, as any file listing does.
+    the driver, as any file listing does. ``multi_line`` keeps records with
+    line breaks inside quotes whole; each file is then one task's work.
     """
     rows = csv_headers(spark, path).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     groups = rows.orderBy("header").limit(MAX_HEADERS + 1).collect()
@@ -92,7 +106,7 @@ def read_flow_csv(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"more than {MAX_HEADERS} different CSV headers below {path}")
     out = None
     for group in groups:
-        frame = _read_group(spark, list(group["paths"]), _unique(group["header"].split(",")))
+        frame = _read_group(spark, list(group["paths"]), _header_names(group["header"]), multi_line)
         out = frame if out is None else out.unionByName(frame, allowMissingColumns=True)
     return out
 
@@ -102,21 +116,38 @@ def decode_csv_messages(df: DataFrame, body: str, columns: list[str], keep: list
 
     The first line names the file behind a fixed prefix, the second is the
     CSV header. Messages without prefix or content are dropped, and so are
-    blank lines and lines with too many fields.
+    blank lines and records with too many fields. A message is parsed as one
+    document, so quoted line breaks stay inside their record; ``line_no``
+    counts records from the header, which is 0.
     """
     keep = list(keep or [])
-    schema = ", ".join(f"`{c}` STRING" for c in [*columns, EXTRA])
-    text = F.regexp_replace(F.col(body), r"^\s+|\s+$", "")
-    parts = F.split(text, "\n", 2)
-    message = df.select(*keep, parts.alias("__p")).where(
-        (F.size("__p") == 2) & F.startswith(F.trim(F.col("__p")[0]), F.lit(K.CSV_ENVELOPE_PREFIX))
-    )
-    lines = message.select(
-        *keep,
-        F.trim(F.substr(F.trim(F.col("__p")[0]), F.lit(len(K.CSV_ENVELOPE_PREFIX) + 1))).alias("file_path"),
-        F.posexplode(F.split(F.col("__p")[1], "\r?\n")).alias("line_no", "__line"),
-    ).where((F.col("line_no") > 0) & (F.trim("__line") != ""))
-    row = lines.withColumn("__row", F.from_csv("__line", schema))
-    return row.where(F.col(f"__row.{EXTRA}").isNull()).select(
-        *keep, "file_path", "line_no", *[F.col(f"__row.`{c}`").alias(c) for c in columns]
-    )
+    names = [*keep, "file_path", "line_no", *columns]
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(2**31 - 1)
+        for batch in batches:
+            at, paths, numbers, rows = [], [], [], []
+            for i, text in enumerate(batch.column("__body").to_pylist()):
+                head, line_break, rest = (text or "").strip(BLANKS).partition("\n")
+                head = head.strip(" ")
+                if not line_break or not head.startswith(K.CSV_ENVELOPE_PREFIX):
+                    continue
+                for number, record in enumerate(csv.reader(io.StringIO(rest, newline=""))):
+                    blank = not record or (len(record) == 1 and not record[0].strip(" "))
+                    if number == 0 or blank or len(record) > len(columns):
+                        continue
+                    at.append(i)
+                    paths.append(head[len(K.CSV_ENVELOPE_PREFIX) :].strip(" "))
+                    numbers.append(number)
+                    rows.append([*(field or None for field in record), *[None] * (len(columns) - len(record))])
+            taken = pa.array(at, pa.int64())
+            fields = [pa.array([r[k] for r in rows], pa.string()) for k in range(len(columns))]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(taken) for c in keep), pa.array(paths, pa.string()), pa.array(numbers, pa.int32()), *fields],
+                names,
+            )
+
+    work = df.select(*keep, F.col(body).cast("string").alias("__body"))
+    fixed = [T.StructField("file_path", T.StringType()), T.StructField("line_no", T.IntegerType())]
+    texts = [T.StructField(c, T.StringType()) for c in columns]
+    return work.mapInArrow(decode, T.StructType([*(work.schema[c] for c in keep), *fixed, *texts]))

@@ -179,6 +179,19 @@ def test_csv_folder(spark, tmp_path):
     assert got == {("a.csv", "1", "BENIGN", None), ("a.csv", "3", None, None), ("b.csv", None, "UDP", "10")}
 
 
+def test_quoted_headers_breaks_and_extra_fields(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,"b,c",d\n1,2,3\n4,,\n5,6,7,\n8,"x\ny",9\n')
+    df = files.read_flow_csv(spark, str(tmp_path), multi_line=True)
+    assert df.columns == ["a", "b,c", "d", "source_file"]
+    assert {tuple(r)[:3] for r in df.collect()} == {("1", "2", "3"), ("4", None, None), ("8", "x\ny", "9")}
+
+
+def test_quoted_breaks_in_envelopes(spark):
+    body = 'CSV_CONTENT:/o/a.csv\nx,y\n1,"q\nr"\n2,3,\n4,""\n'
+    df = files.decode_csv_messages(spark.createDataFrame([(7, body)], "id bigint, body string"), "body", ["x", "y"], ["id"])
+    assert [tuple(r) for r in df.collect()] == [(7, "/o/a.csv", 1, "1", "q\nr"), (7, "/o/a.csv", 3, "4", None)]
+
+
 def test_csv_folder_without_files(spark, tmp_path):
     (tmp_path / "readme.txt").write_text("x")
     with pytest.raises(FileNotFoundError):
