@@ -22,7 +22,6 @@ from pyspark.storagelevel import StorageLevel
 from packetloom.functions.labels import is_attack_label
 from packetloom.operators import evaluate, prep, sampling
 from packetloom.operators.sizing import dense_codes, small
-from packetloom.session import ensure_checkpoint_dir
 
 # --- Fixed values: default model sizes ---
 FOREST = {"numTrees": 200, "maxDepth": 20}
@@ -249,18 +248,12 @@ def prepared(df: DataFrame, profile: prep.Profile, keep: list[str]) -> DataFrame
 def dense_labels(df: DataFrame, label: str, out: str = "y") -> tuple[DataFrame, DataFrame]:
     """(labelled rows with codes 0..k-1, label table) for text and numeric labels alike."""
     labelled = df.where(F.col(label).isNotNull())
-    codes = pinned_codes(labelled.select(F.col(label).alias("value")).distinct())
+    codes = prep.pinned(dense_codes(labelled.select(F.col(label).alias("value")).distinct(), [], "value"))
     mapping = codes.select(F.col("value").cast("string").alias("label"), "code")
     key = codes.select(F.col("value").alias(label), F.col("code").alias(out))
     return labelled.join(small(key), label), mapping
 
 
-def pinned_codes(values: DataFrame) -> DataFrame:
-    """Dense codes of distinct values, computed once."""
-    ensure_checkpoint_dir(values.sparkSession)
-    return dense_codes(values, [], "value").checkpoint()
-
-
 def _assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(df)
 

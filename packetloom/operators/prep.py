@@ -130,6 +130,12 @@ def fit_profile(df: DataFrame, exact_categories: bool = True) -> Profile:
     return profile
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def category_value(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(MISSING))
 
@@ -139,8 +145,7 @@ def fit_categories(df: DataFrame, columns: list[str]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(c).alias("column"), category_value(_q(c)).alias("value")) for c in columns])
     values = df.select(F.inline(cells)).distinct()
     # Read once: every column's codes come from the pinned dictionary.
-    ensure_checkpoint_dir(df.sparkSession)
-    return dense_codes(values, ["column"], "value").checkpoint()
+    return pinned(dense_codes(values, ["column"], "value"))
 
 
 def apply_categories(df: DataFrame, categories: DataFrame, columns: list[str]) -> DataFrame:

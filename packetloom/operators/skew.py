@@ -1,87 +1,35 @@
-"""Splitting hot groups: time slices for ordered work inside one key."""
+"""Ordered work inside groups of any size, by time slices."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-HOT_ROWS = 2_000_000
-SLICE_ROWS = 10_000
-MAX_SLICES = 1_000_000
-MAX_HOT_GROUPS = 10_000
-
-
-def hot_groups(df: DataFrame, keys: list[str], order_us: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys holding more than ``hot_rows`` rows, with their time slice width.
-
-    One map-side-combined count over the key columns only. At most
-    ``MAX_HOT_GROUPS`` rows come back, which bounds the broadcast; a key beyond
-    the largest 10,000 holds less than 1/10,000 of all rows, so one task may
-    sort it. ``width`` aims at about ``SLICE_ROWS`` rows per slice (fewer,
-    wider slices for very large keys) so that bursts inside a key also spread.
-    """
-    slice_rows = min(SLICE_ROWS, max(1, hot_rows // 4))
-    slices = F.greatest(
-        F.lit(1), F.least(F.lit(MAX_SLICES), F.floor(F.col("__n") / F.lit(slice_rows)))
-    ).cast("bigint")
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"), F.min(order_us).alias("__t0"), F.max(order_us).alias("__t1"))
-        .where(F.col("__n") > hot_rows)
-        .orderBy(F.desc("__n"), *keys)
-        .limit(MAX_HOT_GROUPS)
-        .withColumn("__slices", slices)
-        .select(*keys, "__t0", F.expr("greatest(1L, (__t1 - __t0) div __slices + 1L)").alias("__width"))
-    )
-
-
-def slice_no(order_us: str) -> Column:
-    """Slice number of a row joined to its hot group."""
-    return F.expr(f"({order_us} - __t0) div __width")
-
-
-def split_hot(df: DataFrame, keys: list[str], hot: DataFrame, order_us: str) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of hot keys with ``__slice``).
-
-    The hot table is bounded by ``MAX_HOT_GROUPS``, hence the broadcasts. With
-    no hot key at run time the second side is an empty relation that adaptive
-    execution drops. The anti join also compares the slice columns (always true
-    inside a key) so that both sides read the very same broadcast.
-    """
-    h = hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], "__t0", "__width")
-    same = (F.col(order_us) >= F.col("__t0")) & (F.col("__width") > 0)
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"__h_{k}"))
-    cold = df.join(F.broadcast(h), same, "left_anti")
-    warm = df.join(F.broadcast(h), same, "inner").drop(*[f"__h_{k}" for k in keys])
-    return cold, warm.withColumn("__slice", slice_no(order_us)).drop("__t0", "__width")
+# Time one task sorts at once per group.
+SLICE_US = 10_000_000
 
 
 def lag_in_groups(
-    df: DataFrame, keys: list[str], order_us: str, tiebreak: list[str], out: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], order_us: str, tiebreak: list[str], out: str, slice_us: int = SLICE_US
 ) -> DataFrame:
-    """Previous value of ``order_us`` inside each group, safe for hot groups.
+    """Previous value of ``order_us`` inside each group.
 
-    Ordinary groups use one lag. Hot groups lag inside time slices; the first
-    row of a slice then takes the last value of the nearest earlier slice, a
-    small table of one row per slice.
+    Every group is cut into time slices. Rows lag inside a slice; the first row
+    of a slice takes the last value of the nearest earlier one, from a table of
+    one row per group and slice. No group is sorted as a whole, and the width
+    does not change a result. Null keys are a group.
     """
-    hot = hot_groups(df, keys, order_us, hot_rows)
-    cold, warm = split_hot(df, keys, hot, order_us)
-    order = [F.col(order_us), *[F.col(c) for c in tiebreak]]
-    cold = cold.withColumn(out, F.lag(order_us).over(W.partitionBy(*keys).orderBy(*order)))
-
+    work = df.withColumn("__slice", F.expr(f"{order_us} div {int(slice_us)}L"))
     slice_keys = [*keys, "__slice"]
+    order = [F.col(order_us), *[F.col(c) for c in tiebreak]]
+    names = {c: f"__k{i}" for i, c in enumerate(slice_keys)}
+    ends = work.groupBy(*[F.col(c).alias(k) for c, k in names.items()]).agg(F.max(order_us).alias("__end"))
+    groups = W.partitionBy(*[names[c] for c in keys]).orderBy(names["__slice"])
+    ends = ends.select(*names.values(), F.lag("__end").over(groups).alias("__before"))
+    same = F.lit(True)
+    for c, k in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(k))
     inside = F.lag(order_us).over(W.partitionBy(*slice_keys).orderBy(*order))
-    ends = warm.groupBy(*slice_keys).agg(F.max(order_us).alias("__end"))
-    ends = ends.select(
-        *slice_keys, F.lag("__end").over(W.partitionBy(*keys).orderBy("__slice")).alias("__before")
-    )
-    warm = (
-        warm.withColumn(out, inside)
-        .join(ends, slice_keys, "left")
-        .withColumn(out, F.coalesce(F.col(out), F.col("__before")))
-        .drop("__slice", "__before")
-    )
-    return cold.unionByName(warm)
+    lagged = work.withColumn(out, inside).join(ends, same, "left")
+    return lagged.withColumn(out, F.coalesce(F.col(out), F.col("__before"))).select(*df.columns, out)

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from packetloom import schemas
 from packetloom.functions.labels import file_stem, label_from_filename
 from packetloom.operators import evaluate, events as log, prep
+from packetloom.operators.models import train_pipeline
 from packetloom.plans.event_queries import D
 from packetloom.plans.eval_queries import C, FILE_SCORES
 from packetloom.plans.flow_queries import ALL, flow_cte, shown, shown_sql
 from packetloom.plans.registry import query, rounded
-from packetloom.plans.stream_queries import _drain, _scratch, _stream
+from packetloom.plans.prep_queries import SHOWN
+from packetloom.plans.stream_queries import MODEL_FEATURES, SMALL, _drain, _scratch, _stream, trained
+from packetloom.plans.training import evaluate_folder, train_from_captures
 from packetloom.sources import files, pcap, sinks
 from packetloom.sources.adapters import adapter, oracle_cte, table
 from packetloom.streaming import streams
@@ -104,6 +107,40 @@ def pcap_packets(spark, sf_dir):
     return df.select(named, F.unix_micros("ts").alias("us"), *PACKET_COLS.split(", "), "tcp_win")
 
 
+def _named_captures(spark, sf_dir, root):
+    """One capture file per capture of the table, named by its id."""
+    packets = adapter(spark, sf_dir, "packets").withColumn("us", F.unix_micros("ts"))
+    frames = packets.repartition("capture_id").sortWithinPartitions("capture_id", "us", "pkt_no")
+    frames.mapInPandas(_write_frames(f"{root}/captures", by_capture=True), "n bigint").agg(F.sum("n")).first()
+    return f"{root}/captures"
+
+
+@query(
+    "train_captures",
+    f"{flow_cte()} SELECT 3 AS classes, ceil(count(*) * 0.2)::BIGINT AS test_rows, TRUE AS metrics_bounded FROM flows",
+)
+def train_captures(spark, sf_dir):
+    """SRC5, JON1, ML18: captures and a label manifest to a fitted ensemble."""
+    path = _named_captures(spark, sf_dir, _scratch(spark))
+    manifest = spark.createDataFrame([("cap1.pcap", "SYN"), ("cap2", "UDP")], "file string, label string")
+    features = ["flow_duration", "flow_iat_mean", "packet_length_mean", "syn_flag_count", "destination_port"]
+    return trained(spark, train_from_captures(spark, path, manifest, features, models="rf", params=SMALL))
+
+
+@query(
+    "evaluate_csv_folder",
+    f"{oracle_cte('cic_rows')} SELECT label AS y_true, count(*) AS n FROM cic_rows GROUP BY 1",
+)
+def evaluate_csv_folder(spark, sf_dir):
+    """SRC1, SRC8, ML16, AGG3, SNK4: a CSV folder scored and evaluated in one plan."""
+    root = _scratch(spark)
+    rows = adapter(spark, sf_dir, "cic_rows")
+    model = train_pipeline(rows, "label", SHOWN[:-1], MODEL_FEATURES, models="rf", params=SMALL)
+    sinks.write_predictions(rows.withColumnRenamed("label", " Label "), f"{root}/csv", "csv")
+    counts = evaluate_folder(spark, f"{root}/csv", model, out=f"{root}/metrics")
+    return counts.groupBy("y_true").agg(F.sum("n").alias("n"))
+
+
 # hdr_len of a written TCP frame is always 20 and of UDP 8, as in the table.
 STREAMED = ALL
 
@@ -115,10 +152,7 @@ def stream_capture_flows(spark, sf_dir):
     Each capture of the table becomes one file whose name carries its id.
     """
     root = _scratch(spark)
-    packets = adapter(spark, sf_dir, "packets").withColumn("us", F.unix_micros("ts"))
-    frames = packets.repartition("capture_id").sortWithinPartitions("capture_id", "us", "pkt_no")
-    frames.mapInPandas(_write_frames(f"{root}/captures", by_capture=True), "n bigint").agg(F.sum("n")).first()
-    found = streams.capture_stream(spark, f"{root}/captures")
+    found = streams.capture_stream(spark, _named_captures(spark, sf_dir, root))
     streams.start_capture_flows(found, f"{root}/flows", f"{root}/state", available_now=True).awaitTermination()
     flows = spark.read.parquet(f"{root}/flows").withColumn("capture_id", file_stem(F.col("capture_id")))
     return shown(flows, STREAMED)

@@ -188,7 +188,7 @@ def _raw_rows(spark, sf_dir):
     return rows.selectExpr("* EXCEPT (flow_ts)", "if(protocol = 17, 'udp', 'tcp') AS protocol_name", "cast(flow_ts AS STRING) AS flow_time")
 
 
-def _trained(spark, ensemble):
+def trained(spark, ensemble):
     shares = [v for k, v in ensemble.metrics.items() if k not in ("test_rows", "support")]
     bounded = len(shares) >= 7 and all(0 <= v <= 1 for v in shares)
     return spark.createDataFrame(
@@ -199,25 +199,25 @@ def _trained(spark, ensemble):
 @query("train_random_forest", TRAINED)
 def train_random_forest(spark, sf_dir):
     """ML9: random forest over numbers, a category and a time."""
-    return _trained(spark, _train(spark, sf_dir, "rf", MIXED_FEATURES))
+    return trained(spark, _train(spark, sf_dir, "rf", MIXED_FEATURES))
 
 
 @query("train_gbt", TRAINED)
 def train_gbt(spark, sf_dir):
     """ML10: boosted trees, one against the rest."""
-    return _trained(spark, _train(spark, sf_dir, "xgboost"))
+    return trained(spark, _train(spark, sf_dir, "xgboost"))
 
 
 @query("train_extra_trees", TRAINED)
 def train_extra_trees(spark, sf_dir):
     """ML11: extra trees approximation."""
-    return _trained(spark, _train(spark, sf_dir, "et"))
+    return trained(spark, _train(spark, sf_dir, "et"))
 
 
 @query("train_stacking", TRAINED)
 def train_stacking(spark, sf_dir):
     """ML14, ML18: stacking over out-of-fold probabilities."""
-    return _trained(spark, _train(spark, sf_dir, "rf,et", stacking=True, k_best=4))
+    return trained(spark, _train(spark, sf_dir, "rf,et", stacking=True, k_best=4))
 
 
 SCORED_FLAGS = "TRUE AS known_label, TRUE AS bounded, TRUE AS same_after_reload"
@@ -248,4 +248,4 @@ def retrain_window(spark, sf_dir):
     """STR9, ML17: retraining from the newest window."""
     rows = adapter(spark, sf_dir, "cic_rows").drop("flow_ts")
     model = streams.retrain(rows, "source_file", "label", SHOWN[:-1], MODEL_FEATURES, 20_000, 5_000, models="rf", params=SMALL)
-    return _trained(spark, model)
+    return trained(spark, model)

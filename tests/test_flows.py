@@ -85,10 +85,14 @@ def test_flows_need_one_exchange_for_packets_and_one_for_slices(spark, sf_dir):
     assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Sort [") == 2
 
 
-def test_hot_groups_are_bounded(spark):
-    df = spark.range(100).selectExpr("id % 3 AS k", "id AS us")
-    hot = skew.hot_groups(df, ["k"], "us", 33).collect()
-    assert [r["k"] for r in hot] == [0]
+@pytest.mark.parametrize("slice_us", [1, 7, 10**9])
+def test_lag_crosses_slices(spark, slice_us):
+    df = spark.range(200).selectExpr("if(id % 3 = 0, NULL, id % 3) AS k", "id * id % 90 AS us", "id")
+    want, last = {}, {}
+    for r in sorted(df.collect(), key=lambda r: (r["us"], r["id"])):
+        want[r["id"]], last[r["k"]] = last.get(r["k"]), r["us"]
+    got = skew.lag_in_groups(df, ["k"], "us", ["id"], "before", slice_us).collect()
+    assert {r["id"]: r["before"] for r in got} == want
 
 
 def test_year_long_gap_in_a_hot_flow(spark):
