@@ -70,7 +70,8 @@ def _read_group(spark: SparkSession, paths: list[str], columns: list[str], multi
     reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", multi_line)
     # An empty field differs from a missing one until the extra field is judged.
     raw = reader.option("nullValue", ABSENT).csv(paths)
-    fields = [F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns]
+    # A column of the file's own under this name gives way.
+    fields = [F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns if c != "source_file"]
     return raw.where(F.col(EXTRA).isNull()).select(*fields, F.col("_metadata.file_name").alias("source_file"))
 
 
