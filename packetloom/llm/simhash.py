@@ -1,8 +1,8 @@
 """SimHash near-duplicates through a forest of vantage-point trees.
 
-Only distinct fingerprints are compared. The 64 bits fall into three bands; a
-pair within four bits differs by at most one bit in some band. One tree per
-band partitions the fingerprints by the Hamming distance to vantage points
+Only distinct fingerprints are compared. The 64 bits fall into three bands (or
+five); a pair within four bits (eight) differs by at most one bit in some band.
+One tree per band partitions the fingerprints by the Hamming distance to vantage points
 inside the band. A fingerprint lives in one leaf; as a query it also visits
 every leaf that the triangle inequality cannot rule out at radius one, so the
 pairs across a boundary are found in the neighbour shard. Shards go on
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,13 @@ from packetloom.llm.common import doc_bytes, pinned
 from packetloom.llm.components import connected_components
 
 SHINGLE, SEED, MAX_DISTANCE = 4, 42, 4
-BANDS = ((0, 21), (21, 21), (42, 22))
+# Bands of the forest for fingerprints of links within MAX_DISTANCE.
+BANDS = 3
+# Near duplicates by similarity: SimHashes over distinct word pairs are close
+# whenever word shingles are similar; the forest then has narrower bands.
+SIMILARITY, SIMILAR_SHINGLE, PAIR_WORDS, PAIR_DISTANCE, PAIR_BANDS = 0.8, 5, 2, 8, 5
+# Texts of a close group that one task compares with another such block.
+BLOCK_TEXTS = 1024
 # Distinct fingerprints that a tree is fitted on (bounded; every one is indexed).
 FIT_ROWS = 8192
 SHARD_ROWS = 16_384
@@ -35,32 +42,44 @@ SLICE_PAIRS = 1 << 30
 HASHES_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: bytes, words: int = SHINGLE) -> int:
-    """64-bit SimHash of word shingles; ASCII letters count in lower case; no words: 0."""
+def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles, ASCII letters in lower case, a bounded number at a time."""
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return
     joined = b" ".join(tokens)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     stops = np.cumsum(sizes + 1) - 1
     starts = stops - sizes
     n = max(1, len(tokens) - words + 1)
     begins, ends = starts[:n], stops[min(words, len(tokens)) - 1 :]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, HASHES_AT_ONCE):
         spans = zip(begins[at : at + HASHES_AT_ONCE].tolist(), ends[at : at + HASHES_AT_ONCE].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+        yield np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct shingle hashes."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, words)]))
+
+
+def fingerprint(text: bytes, words: int = SHINGLE, distinct: bool = False) -> int:
+    """64-bit SimHash of the word shingles, repeats included unless ``distinct``; no words: 0."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for hashes in (shingle_set(text, words),) if distinct else shingle_hashes(text, words):
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = SHINGLE, distinct: bool = False) -> DataFrame:
     """doc_id, row (tells repeated rows apart) and fp (the 64 bits as a signed number) of each row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
+            fps = np.array([fingerprint(t, words, distinct) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row"), pa.array(fps.view(np.int64))], ["doc_id", "row", "fp"]
             )
@@ -145,7 +164,7 @@ def _joining_links(index: np.ndarray, query: np.ndarray, mask: np.uint64, reach:
     return links
 
 
-def near_links(fps: DataFrame, within: int = MAX_DISTANCE) -> DataFrame:
+def near_links(fps: DataFrame, within: int = MAX_DISTANCE, bands: int = BANDS) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that span the graph of pairs within ``within`` bits.
 
     Every pair within the distance is compared; a shard reports only links that
@@ -154,12 +173,13 @@ def near_links(fps: DataFrame, within: int = MAX_DISTANCE) -> DataFrame:
     """
     total = fps.count()
     depth = max(0, math.ceil(math.log2(max(1, total) / SHARD_ROWS)))
-    reach = within // len(BANDS)
+    edges = [64 * i // bands for i in range(bands + 1)]
+    reach = within // bands
     share = min(1.0, FIT_ROWS / max(1, total))
     # A bounded sample fits the vantage points; all fingerprints are placed.
     sample = fps.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * FIT_ROWS)
     fit = np.sort(np.array([r.fp for r in sample.collect()] or [0], np.int64)).view(np.uint64)
-    trees = [VantageTree(fit, band, depth, reach) for band in BANDS]
+    trees = [VantageTree(fit, (a, b - a), depth, reach) for a, b in pairwise(edges)]
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -226,7 +246,110 @@ def simhash_groups(docs: DataFrame, within: int = MAX_DISTANCE, words: int = SHI
     )
 
 
-def drop_near_duplicates(docs: DataFrame, within: int = MAX_DISTANCE, words: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that name their class (smallest doc_id, then first row), all columns kept."""
-    stays = simhash_groups(docs, within, words).filter("row = component_row").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(stays, "__row", "left_semi").drop("__row")
+def similar_links(texts: DataFrame, similarity: float) -> DataFrame:
+    """Spanning links (a, b) of texts with at least this Jaccard similarity inside each close group.
+
+    ``texts`` has part, id and shingles (sorted distinct hashes). Groups are cut
+    into blocks and each pair of blocks is one task, so a group of any size
+    spreads out and every pair in it is compared exactly.
+    """
+    sizes = texts.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).cast("int").alias("blocks"))
+    placed = texts.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pairs = placed.select("part", "id", "shingles", "block", other).select(
+        "part", "id", "shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    )
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        pdf = pdf.sort_values("id")
+        index = pdf[pdf["block"] == i]
+        ids = index["id"].to_numpy()
+        sets = [np.asarray(s, np.int64) for s in index["shingles"]]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        every = np.concatenate([np.empty(0, np.int64), *sets])
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        roots: dict[int, int] = {}
+        links = []
+        queries = pdf[pdf["block"] == j]
+        for me, mine in zip(queries["id"].tolist(), queries["shingles"], strict=True):
+            mine = np.asarray(mine, np.int64)
+            low = np.searchsorted(every, mine, "left")
+            many = np.searchsorted(every, mine, "right") - low
+            at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            shared = np.bincount(owner[at], minlength=len(sets))
+            near = (shared > 0) & (shared >= similarity * (sizes + len(mine) - shared) - 1e-9)
+            for k in np.flatnonzero(near & (ids < me) if i == j else near).tolist():
+                a, b = _root(roots, me), _root(roots, int(ids[k]))
+                if a != b:
+                    roots[max(a, b)] = min(a, b)
+                    links.append((me, int(ids[k])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return pairs.groupBy("part", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+
+
+def _root(roots: dict[int, int], x: int) -> int:
+    while (up := roots.get(x, x)) != x:
+        roots[x] = roots.get(up, up)
+        x = up
+    return x
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_SHINGLE) -> DataFrame:
+    """Near-duplicate classes by word shingles: doc_id, row, kept_row for every row that has company, kept ones included.
+
+    Candidates are the groups that SimHashes over distinct word pairs form
+    within ``PAIR_DISTANCE`` bits, found by the vantage-point forest. Inside
+    them two texts are linked if their sets of ``words``-word shingles have a
+    Jaccard similarity of at least ``similarity``; links are followed. Equal
+    sets are one class from the start, so copies are never compared. kept_row
+    is the row with the smallest doc_id (then first row) of the class. Texts
+    without words equal each other.
+    """
+    rows = pinned(fingerprints(docs, PAIR_WORDS, distinct=True))
+    prints = pinned(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
+    near = connected_components(near_links(prints.select("fp"), PAIR_DISTANCE, PAIR_BANDS))
+    close = prints.join(near, F.col("fp") == F.col("node"), "left").filter("n > 1 OR component IS NOT NULL").select(
+        "fp", F.coalesce("component", "fp").alias("part")
+    )
+    members = rows.join(close, "fp").select("row", "part")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+            marks = [xxhash.xxh3_128_digest(f.tobytes()) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("doc_id", "row", "part")), pa.array(marks, pa.binary()),
+                 pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))],
+                ["doc_id", "row", "part", "mark", "shingles"],
+            )
+
+    marked = doc_bytes(docs).withColumn("row", F.monotonically_increasing_id()).join(members, "row")
+    schema = "doc_id bigint, row bigint, part bigint, mark binary, shingles array<bigint>"
+    texts = pinned(marked.select("doc_id", "row", "part", "text").mapInArrow(sets, schema))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
+    # One row per different set and task before the shuffle.
+    classes = pinned(
+        texts.groupBy("part", "mark").agg(F.min(order).alias("best"), F.first("shingles").alias("shingles"))
+        .withColumn("id", F.col("best.row"))
+    )
+    joined = connected_components(similar_links(classes.select("part", "id", "shingles"), similarity))
+    named = classes.select("part", "mark", "best", "id").join(joined, F.col("id") == F.col("node"), "left").withColumn(
+        "component", F.coalesce("component", "id")
+    )
+    least = named.groupBy("component").agg(F.min("best").alias("kept"))
+    kept = pinned(named.join(least, "component").select("part", "mark", F.col("kept.row").alias("kept_row")))
+    return texts.select("doc_id", "row", "part", "mark").join(kept, ["part", "mark"]).select("doc_id", "row", "kept_row")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_SHINGLE) -> DataFrame:
+    """The rows of ``docs`` without those that ``similar_groups`` puts behind another row; all columns kept.
+
+    Nulls, empty texts, repeated rows and clashing columns are treated as there
+    and never crash; an empty table gives no rows.
+    """
+    gone = similar_groups(docs, similarity, words).filter("row != kept_row").select(F.col("row").alias("__row"))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")

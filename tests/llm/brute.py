@@ -47,7 +47,23 @@ def simhash(text: str, words: int = 4) -> int:
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
+def shingles(text: str, words: int) -> set[str]:
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    found = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def similar(ids: list[int], texts: list[str], words: int, least: float) -> list[int]:
+    """Smallest id that links of this Jaccard similarity reach, per text."""
+    sets = [shingles(t, words) for t in texts]
+    return _classes(ids, lambda i, j: sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9)
+
+
 def components(ids: list[int], prints: list[int], within: int) -> list[int]:
+    return _classes(ids, lambda i, j: (prints[i] ^ prints[j]).bit_count() <= within)
+
+
+def _classes(ids: list[int], linked) -> list[int]:
     root = list(range(len(ids)))
 
     def find(x: int) -> int:
@@ -57,7 +73,7 @@ def components(ids: list[int], prints: list[int], within: int) -> list[int]:
 
     for i in range(len(ids)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= within:
+            if linked(i, j):
                 root[find(i)] = find(j)
     least: dict[int, int] = {}
     for i, d in enumerate(ids):
