@@ -21,6 +21,8 @@ from packetloom.session import ensure_checkpoint_dir
 
 MISSING = "__missing__"
 HISTOGRAM_BUCKETS = 4096
+# Share of the rows on either side of the middle that the first bounds aim at.
+MIDDLE_SHARE = 0.002
 
 
 def _q(name: str) -> Column:
@@ -216,26 +218,44 @@ def fit_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """ML2: exact medians of all columns at once, 0 for empty columns.
 
     ``median()`` would keep every distinct value of a column in one task.
-    Instead each pass counts equal-width buckets of the interval that still
-    holds the middle ranks, for all open columns in one aggregate, and brings
-    back the one or two buckets of interest per column. An interval shrinks
-    by up to 4,096 per pass, so a few passes settle it exactly.
+    Instead one pass of flat aggregates brings approximate bounds of the middle
+    ranks, a second counts the values below and between them, and histograms of
+    what lies between (a few thousandths of the rows) settle the rest: each
+    such pass counts equal-width buckets for all open columns and brings back
+    the one or two buckets of interest per column.
     """
+    values = [null_if_not_finite(_q(c).cast("double")) for c in columns]
+    around = F.array(F.lit(0.5 - MIDDLE_SHARE), F.lit(0.5 + MIDDLE_SHARE))
     aggs = []
-    for i, c in enumerate(columns):
-        v = null_if_not_finite(_q(c).cast("double"))
-        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+    for i, v in enumerate(values):
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
+                 F.percentile_approx(v, around, F.lit(int(10 / MIDDLE_SHARE))).alias(f"p{i}")]
     first = df.agg(*aggs).first()
     result: dict[str, float] = {}
-    open_cols: dict[str, tuple[float, float, int, int]] = {}  # lo, hi, lower rank, upper rank inside [lo, hi]
+    bounds: dict[int, tuple[float, float]] = {}
     for i, c in enumerate(columns):
-        n, lo, hi = first[f"n{i}"], first[f"lo{i}"], first[f"hi{i}"]
-        if n == 0:
+        if first[f"n{i}"] == 0:
             result[c] = 0.0
-        elif lo == hi:
-            result[c] = lo
+        elif first[f"lo{i}"] == first[f"hi{i}"]:
+            result[c] = first[f"lo{i}"]
+        else:
+            bounds[i] = tuple(first[f"p{i}"])
+    open_cols: dict[str, tuple[float, float, int, int]] = {}  # lo, hi, lower rank, upper rank inside [lo, hi]
+    counts = []
+    for i, (low, high) in bounds.items():
+        inside = F.when(values[i].between(low, high), values[i])
+        counts += [F.count_if(values[i] < low).alias(f"b{i}"), F.count(inside).alias(f"c{i}"),
+                   F.min(inside).alias(f"lo{i}"), F.max(inside).alias(f"hi{i}")]
+    second = df.agg(*counts).first() if counts else None
+    for i in bounds:
+        n, below, between = first[f"n{i}"], second[f"b{i}"], second[f"c{i}"]
+        k1, k2 = (n - 1) // 2, n // 2
+        if not (below <= k1 and k2 < below + between):
+            open_cols[columns[i]] = (first[f"lo{i}"], first[f"hi{i}"], k1, k2)
+        elif second[f"lo{i}"] == second[f"hi{i}"]:
+            result[columns[i]] = second[f"lo{i}"]
         else:
-            open_cols[c] = (lo, hi, (n - 1) // 2, n // 2)
+            open_cols[columns[i]] = (second[f"lo{i}"], second[f"hi{i}"], k1 - below, k2 - below)
     while open_cols:
         open_cols = _narrow(df, open_cols, result)
     return {c: result[c] for c in columns}
