@@ -15,11 +15,9 @@ from pyspark.sql import types as T
 from packetloom import constants as K
 from packetloom.functions.labels import file_name
 
-EXTRA = "__extra"
+CORRUPT = "__record"
 BLANKS = " \t\n\x0b\f\r"
 MAX_HEADERS = 1_000
-# Stands for no text of a CSV file, so that Spark reads empty fields as empty.
-ABSENT = "\x00"
 
 
 def with_source_file(df: DataFrame, path: Column | None = None) -> DataFrame:
@@ -66,13 +64,16 @@ def csv_headers(spark: SparkSession, path: str) -> DataFrame:
 def _read_group(spark: SparkSession, paths: list[str], columns: list[str], multi_line: bool) -> DataFrame:
     """All columns as text. Short rows fill with null; rows with more fields
     than the header, even empty ones, are malformed and dropped."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, EXTRA]])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]])
     reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", multi_line)
-    # An empty field differs from a missing one until the extra field is judged.
-    raw = reader.option("nullValue", ABSENT).csv(paths)
+    # Records of another width come with their text; pruned columns would hide the width.
+    raw = reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(paths)
+    unquoted = F.regexp_replace(CORRUPT, '"[^"]*"', "")
+    commas = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit("")))
     # A column of the file's own under this name gives way.
-    fields = [F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns if c != "source_file"]
-    return raw.where(F.col(EXTRA).isNull()).select(*fields, F.col("_metadata.file_name").alias("source_file"))
+    fields = [F.col(f"`{c}`") for c in columns if c != "source_file"]
+    kept = raw.where(F.col(CORRUPT).isNull() | (commas < len(columns)))
+    return kept.select(*fields, F.col("_metadata.file_name").alias("source_file"))
 
 
 def _unique(names: list[str]) -> list[str]:
@@ -112,6 +113,63 @@ def read_flow_csv(spark: SparkSession, path: str, multi_line: bool = False) -> D
     return out
 
 
+PROGRESS = "path string, consumed bigint"
+
+
+def grown_files(spark: SparkSession, path: str, progress: DataFrame) -> DataFrame:
+    """STR1: (path, start, size) of CSV files with bytes beyond what ``progress`` (path, consumed) says.
+
+    Spark's file streams never look at a known file again; this listing finds
+    the ones that were appended to since, and new ones (start 0).
+    """
+    found = _scan(spark, path, "binaryFile").load(path).select("path", F.col("length").alias("size"))
+    known = progress.groupBy("path").agg(F.max("consumed").alias("start"))
+    joined = found.join(known, "path", "left").withColumn("start", F.coalesce("start", F.lit(0)).cast("bigint"))
+    return joined.where(F.col("size") > F.col("start")).select("path", "start", "size")
+
+
+def read_appended(grown: DataFrame, columns: list[str], max_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
+    """STR1: (rows, progress) of the appended parts of files (path, start, size).
+
+    Whole lines only: what a writer has not finished waits for the next call,
+    and so does what exceeds ``max_bytes`` of a file, so a cycle stays bounded.
+    A file's first line is its header; rows with too many fields are dropped.
+    Both results derive from the same listing; store ``progress`` after the rows.
+    """
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                filesystem, inner = fs.FileSystem.from_uri(row["path"])
+                with filesystem.open_input_file(inner) as stream:
+                    want = min(row["size"] - row["start"], max_bytes)
+                    data = stream.read_at(want, row["start"])
+                    # A line longer than the bound is read to its end.
+                    while b"\n" not in data and row["start"] + len(data) < row["size"]:
+                        data += stream.read_at(min(max_bytes, row["size"] - row["start"] - len(data)), row["start"] + len(data))
+                yield row["path"], row["start"], data[: data.rfind(b"\n") + 1]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(2**31 - 1)
+        for path, start, data in parts(batches):
+            text = io.StringIO(data.decode("utf-8-sig" if start == 0 else "utf-8", "replace"), newline="")
+            records = [r for r in csv.reader(text) if r and len(r) <= len(columns)][1 if start == 0 else 0 :]
+            fields = [pa.array([(r[k] or None) if k < len(r) else None for r in records], pa.string()) for k in range(len(columns))]
+            name = pa.array([path.rpartition("/")[2]] * len(records), pa.string())
+            yield pa.RecordBatch.from_arrays([*fields, name], [*columns, "source_file"])
+
+    def progress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, start, data in parts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([start + len(data)], pa.int64())], ["path", "consumed"])
+
+    spread = max(grown.sparkSession.sparkContext.defaultParallelism, 1)
+    work = grown.select("path", "start", "size").repartition(spread * 4, "path")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "source_file"]])
+    return work.mapInArrow(rows, schema), work.mapInArrow(progress, PROGRESS)
+
+
 def decode_csv_messages(df: DataFrame, body: str, columns: list[str], keep: list[str] | None = None) -> DataFrame:
     """SRC6: rows of CSV text wrapped in messages; works on batch and stream.
 

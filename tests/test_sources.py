@@ -192,6 +192,33 @@ def test_quoted_breaks_in_envelopes(spark):
     assert [tuple(r) for r in df.collect()] == [(7, "/o/a.csv", 1, "1", "q\nr"), (7, "/o/a.csv", 3, "4", None)]
 
 
+def test_growing_files_are_read_on(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    target = tmp_path / "in" / "a.csv"
+    target.write_text("x,y\n1,2\n3,")
+    done = spark.createDataFrame([], files.PROGRESS)
+
+    def cycle(known, **options):
+        grown = files.grown_files(spark, str(tmp_path / "in"), known)
+        rows, progress = files.read_appended(grown, ["x", "y"], **options)
+        got = sorted((r["x"], r["y"]) for r in rows.collect())
+        return got, known.unionByName(spark.createDataFrame(progress.collect(), files.PROGRESS))
+
+    got, done = cycle(done)
+    assert got == [("1", "2")]
+    with target.open("a") as out:
+        out.write("4\n5,6,7\n8,\n")
+    (tmp_path / "in" / "b.csv").write_text("x,y\n9,9\n")
+    got, done = cycle(done)
+    assert got == [("3", "4"), ("8", None), ("9", "9")]
+    assert cycle(done)[0] == []
+    with target.open("a") as out:
+        out.write("10,1\n11,1\n12,1\n")
+    got, done = cycle(done, max_bytes=11)
+    assert got == [("10", "1"), ("11", "1")]
+    assert cycle(done)[0] == [("12", "1")]
+
+
 def test_csv_folder_without_files(spark, tmp_path):
     (tmp_path / "readme.txt").write_text("x")
     with pytest.raises(FileNotFoundError):
