@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import doc_bytes, held_out
+from packetloom.llm.common import doc_bytes, held_out, pinned
 
 # Labelled rows per class that a fit may take (drawn by a hash of the id).
 FIT_ROWS = 10_000
@@ -267,8 +267,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicModel:
             F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))
         ).first()
         return ToxicModel(bias=math.log((counts[1] + 0.5) / (counts[0] - counts[1] + 0.5)))
-    rows = _fit_texts(docs, ids)
-    # Bounded by the fit rows, like ``ids``.
+    # Bounded by the fit rows, like ``ids``; read three times below, so kept.
+    rows = pinned(_fit_texts(docs, ids))
     lexicon = learn_lexicon(rows.join(F.broadcast(_one_per_family(rows)), "doc_id"))
     data = _pattern_rows(rows, lexicon, "toxic int").collect()
     if len({r.toxic for r in data}) < 2:
@@ -277,18 +277,33 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     return ToxicModel(lexicon, weights[:-1].tolist(), float(weights[-1]))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last weight is the bias."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 100) -> np.ndarray:
+    """Ridge logistic regression; the last weight is the bias.
+
+    Newton steps are halved until the penalised loss falls, so that separable
+    rows, where plain steps run away, converge as well.
+    """
     x = np.hstack((x, np.ones((len(x), 1))))
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-6
+    penalty[-1] = 1e-3
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float(np.sum(np.logaddexp(0, z) - y * z) + 0.5 * np.sum(penalty * v * v))
+
+    now = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        size = 1.0
+        while (after := loss(w + size * step)) > now and size > 1e-6:
+            size /= 2
+        if now - after < 1e-9 * max(1.0, now):
             break
+        w, now = w + size * step, after
+    if not np.isfinite(w).all():
+        raise ValueError("the pattern weights did not converge")
     return w
 
 

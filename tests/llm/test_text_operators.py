@@ -306,6 +306,18 @@ def test_toxicity_on_held_out_rows(llm_spark, tables):
     assert (test.predicted == test.toxic).mean() > 0.97
 
 
+@pytest.mark.parametrize("scale", [0.01, 1.0, 30.0])
+def test_separable_rows_do_not_break_the_fit(scale):
+    rng = np.random.default_rng(2)
+    y = (rng.random(3000) < 0.1).astype(float)
+    x = np.zeros((3000, toxicity.FEATURES))
+    x[:, 0] = y * rng.uniform(1, 4, 3000) * scale
+    x[:, 8] = x[:, 0]
+    w = toxicity._logistic(x, y)
+    p = 1 / (1 + np.exp(-(np.hstack((x, np.ones((3000, 1)))) @ w)))
+    assert np.isfinite(w).all() and (scale < 1 or ((p > 0.5) == (y == 1)).all())
+
+
 def test_scores_depend_on_the_text_only(llm_spark, tables):
     model = toxicity.ToxicModel({"w:idiot": 5.0}, [1.0] * 10, -2.0)
     rows = [(1, "you idiot"), (2, "you idiot"), (3, None), (4, "")]
