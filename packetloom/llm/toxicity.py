@@ -30,7 +30,7 @@ from packetloom.llm.common import doc_bytes, held_out, pinned
 FIT_ROWS = 10_000
 LEXICON_TERMS = 4_000
 # A term needs this many toxic texts, or this share of them if that is more.
-LEAST_SUPPORT, LEAST_SHARE, LEAST_LOG_ODDS = 3, 0.003, 3.0
+LEAST_SUPPORT, LEAST_SHARE, LEAST_LOG_ODDS = 5, 0.003, 3.0
 PREFIXES = (4, 5, 6)
 TOKEN = re.compile(r"[^\W_]+|[.!?;:\n]")
 
