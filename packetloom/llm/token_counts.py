@@ -26,30 +26,26 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _counters: dict[str, Counter] = {}
 
 
-class Counter:
-    """Token count of a pre-token, remembered."""
+class Counter(dict):
+    """Token count of a pre-token, remembered from its first sight."""
 
     def __init__(self, name: str):
         import public_tokenizers
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.model = Tokenizer.from_file(public_tokenizers.path(name))
         self.model.encode_special_tokens = True
         self.pattern = regex.compile(PRE_TOKEN)
-        self.known: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self.model.encode(word, add_special_tokens=False).ids)
+        return n
 
     def counts(self, words: list[str]) -> list[int]:
-        known = self.known
-        missing = [w for w in dict.fromkeys(words) if w not in known]
-        if missing:
-            if len(known) + len(missing) > CACHE_WORDS:
-                known.clear()
-                missing = list(dict.fromkeys(words))
-            for at in range(0, len(missing), 4096):
-                part = missing[at : at + 4096]
-                for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[w] = len(e.ids)
-        return [known[w] for w in words]
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        return list(map(self.__getitem__, words))
 
     @classmethod
     def of(cls, name: str) -> Counter:
@@ -183,13 +179,7 @@ def edited_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         for batch in batches:
             out: list[list[int]] = [[] for _ in range(5)]
             for raw, edits in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True):
-                tree = TokenTree(raw.decode("utf-8", "replace"), counter)
-                before, pretokens = tree.total, sum(map(len, tree.leaves))
-                applied = chosen_edits(edits)
-                # From the end, so that earlier positions stay as they were.
-                for begin, end, new in reversed(applied):
-                    tree.edit(begin, end, new)
-                for column, value in zip(out, (before, len(applied), tree.total, tree.encoded, pretokens), strict=True):
+                for column, value in zip(out, counted(raw.decode("utf-8", "replace"), edits, counter), strict=True):
                     column.append(value)
             names = ["n_tokens", "n_edits", "n_tokens_after", "n_reencoded", "n_pretokens"]
             yield pa.RecordBatch.from_arrays(
@@ -203,6 +193,21 @@ def edited_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return rows.mapInArrow(count, schema)
 
 
+def counted(text: str, edits: list[dict] | None, counter: Counter) -> tuple[int, int, int, int, int]:
+    """(tokens, edits applied, tokens after them, pre-tokens encoded anew, pre-tokens) of a text."""
+    applied = chosen_edits(edits)
+    if not applied:
+        words = counter.pattern.findall(text)
+        total = sum(counter.counts(words))
+        return total, 0, total, 0, len(words)
+    tree = TokenTree(text, counter)
+    before, pretokens = tree.total, sum(map(len, tree.leaves))
+    # From the end, so that earlier positions stay as they were.
+    for begin, end, new in reversed(applied):
+        tree.edit(begin, end, new)
+    return before, len(applied), tree.total, tree.encoded, pretokens
+
+
 def chosen_edits(edits: list[dict] | None) -> list[tuple[int, int, str]]:
     """Edits without overlaps, by place."""
     plain = [((e["begin"] or 0), (e["end"] or 0), e["new"] or "") for e in edits or [] if e is not None]
