@@ -170,20 +170,24 @@ def _order_shards(rows: DataFrame, width: int) -> DataFrame:
 def _order_crowded(rows: DataFrame, width: int) -> DataFrame:
     """The same for keys with too many fragments for one task, without gathering a key.
 
-    Fragments of a key are aligned on the first place of its gram. Grams at
-    fixed distances from there are counted by (key, distance, gram): a window
-    over one that occurs once is unique. The windows left are named by a
-    128-bit hash and counted by name, with partial aggregation throughout.
+    Fragments of a key are aligned on its gram, on every place of it where a
+    fragment has it more than once. Grams at fixed distances from there are
+    counted by (key, distance, gram): a window over one that occurs once is
+    unique. The windows left are named by a 128-bit hash and counted by name,
+    with partial aggregation throughout.
     """
 
     def samples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
             for key, h, body in zip(pdf["key"], pdf["h"], pdf["body"], strict=True):
-                at = _anchor(body, key)
-                first = at % TRIM_EVERY
-                for p in range(first, len(body) - TRIM_GRAM + 1, TRIM_EVERY):
-                    out.append((key, h, p - at, xxhash.xxh3_64_intdigest(body[p : p + TRIM_GRAM]) - 2**63))
+                found = set()
+                for at in _anchors(body, key).tolist():
+                    # No window over the gram reaches farther.
+                    low = at - min(at, width) // TRIM_EVERY * TRIM_EVERY
+                    for p in range(low, min(len(body) - TRIM_GRAM, at + width) + 1, TRIM_EVERY):
+                        found.add((p - at, xxhash.xxh3_64_intdigest(body[p : p + TRIM_GRAM]) - 2**63))
+                out += [(key, h, far, gram) for far, gram in found]
             yield pd.DataFrame(out, columns=["key", "h", "far", "gram"])
 
     grams = rows.mapInPandas(samples, "key bigint, h bigint, far int, gram bigint")
@@ -198,7 +202,8 @@ def _order_crowded(rows: DataFrame, width: int) -> DataFrame:
                 *(pdf[c] for c in ("key", "h", "row", "start", "body", "own", "tied")), strict=True
             ):
                 free = np.ones(len(body) - width + 1, bool)
-                at = _anchor(body, key)
+                at = int(_anchors(body, key)[0])
+                # A tied fragment's windows may hang on any place of the gram: none of them is struck out.
                 for far in () if own is None or tied else own:
                     p = at + int(far)
                     free[max(0, p + TRIM_GRAM - width) : p + 1] = False
@@ -230,9 +235,9 @@ def _order_crowded(rows: DataFrame, width: int) -> DataFrame:
     return per.mapInPandas(runs, FOUND)
 
 
-def _anchor(body: bytes, key: int) -> int:
-    """First place of the fragment's smallest gram."""
-    return int(np.argmax(gram_hashes(body) == np.uint64(key + 2**63)))
+def _anchors(body: bytes, key: int) -> np.ndarray:
+    """Places of the fragment's smallest gram."""
+    return np.flatnonzero(gram_hashes(body) == np.uint64(key + 2**63))
 
 
 def _number_runs(numbers: np.ndarray) -> list[int]:

@@ -216,6 +216,21 @@ def test_repeats_against_brute_force(llm_spark, keep, crowd):
     assert [mine[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_crowded_repeats_beside_a_second_gram(llm_spark, keep):
+    """A copy of a run, with its frequent line once more further left within the reach of a window."""
+    found = {}
+    for seed in range(12):
+        rng = random.Random(seed)
+        s, line, x, y = ("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (200, 60, 300, 100))
+        found[seed] = [s + line + x, line + y + s + line + x]
+    texts = [t for pair in found.values() for t in pair]
+    docs = made(llm_spark, list(enumerate(texts)), parts=1)
+    mine = {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in
+            lpf_dedup.remove_repeats(docs, keep=keep, shard_fragments=1).collect()}
+    assert [mine[i] for i in range(len(texts))] == brute.repeats_removed([t.encode() for t in texts], 400, keep)
+
+
 def test_repeats_query_against_brute_force(llm_spark, sf_dir, tables):
     import hashlib
 
