@@ -1,12 +1,16 @@
 """SimHash near-duplicates through a forest of vantage-point trees.
 
-Only distinct fingerprints are compared. The 64 bits fall into three bands (or
-five); a pair within four bits (eight) differs by at most one bit in some band.
+Only distinct fingerprints are compared. The 64 bits fall into three bands; a
+pair within four bits differs by at most one bit in some band.
 One tree per band partitions the fingerprints by the Hamming distance to vantage points
 inside the band. A fingerprint lives in one leaf; as a query it also visits
 every leaf that the triangle inequality cannot rule out at radius one, so the
 pairs across a boundary are found in the neighbour shard. Shards go on
 splitting inside their task and check the full 64 bits at the bottom.
+
+Near duplicates by similarity take another way, since no radius of a SimHash
+finds them all: a prefix filter over shingles, rare ones first, and the exact
+similarity of each pair that it leaves.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.llm.common import doc_bytes, pinned
@@ -28,11 +32,12 @@ from packetloom.llm.components import connected_components
 SHINGLE, SEED, MAX_DISTANCE = 4, 42, 4
 # Bands of the forest for fingerprints of links within MAX_DISTANCE.
 BANDS = 3
-# Near duplicates by similarity: SimHashes over distinct word pairs are close
-# whenever word shingles are similar; the forest then has narrower bands.
-SIMILARITY, SIMILAR_SHINGLE, PAIR_WORDS, PAIR_DISTANCE, PAIR_BANDS = 0.8, 5, 2, 8, 5
-# Texts of a close group that one task compares with another such block.
+# Near duplicates by similarity of word shingles.
+SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
+# Texts under one shingle that meet another such block at a time.
 BLOCK_TEXTS = 1024
+# Texts of the sample that tells frequent shingles, the least count there, and the shingles kept (all bounded).
+RARITY_TEXTS, OFTEN, OFTEN_SHINGLES = 4096, 3, 100_000
 # Distinct fingerprints that a tree is fitted on (bounded; every one is indexed).
 FIT_ROWS = 8192
 SHARD_ROWS = 16_384
@@ -64,22 +69,22 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, words)]))
 
 
-def fingerprint(text: bytes, words: int = SHINGLE, distinct: bool = False) -> int:
-    """64-bit SimHash of the word shingles, repeats included unless ``distinct``; no words: 0."""
+def fingerprint(text: bytes, words: int = SHINGLE) -> int:
+    """64-bit SimHash of the word shingles, repeats included; no words: 0."""
     n, ones = 0, np.zeros(64, np.int64)
-    for hashes in (shingle_set(text, words),) if distinct else shingle_hashes(text, words):
+    for hashes in shingle_hashes(text, words):
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
         n += len(hashes)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE, distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """doc_id, row (tells repeated rows apart) and fp (the 64 bits as a signed number) of each row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, words, distinct) for t in batch.column("text").to_pylist()], np.uint64)
+            fps = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row"), pa.array(fps.view(np.int64))], ["doc_id", "row", "fp"]
             )
@@ -246,103 +251,184 @@ def simhash_groups(docs: DataFrame, within: int = MAX_DISTANCE, words: int = SHI
     )
 
 
-def similar_links(texts: DataFrame, similarity: float) -> DataFrame:
-    """Spanning links (a, b) of texts with at least this Jaccard similarity inside each close group.
+def _by_rarity(found: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Shingles in one order for all texts: rare ones first, then those in ``often`` (sorted) by their count."""
+    if not len(often):
+        return found
+    at = np.minimum(np.searchsorted(often, found), len(often) - 1)
+    return found[np.argsort(np.where(often[at] == found, counts[at], 0), kind="stable")]
+
+
+def _often(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted shingles, counts) that stand in several texts of a bounded sample.
 
-    ``texts`` has part, id and shingles (sorted distinct hashes). Groups are cut
-    into blocks and each pair of blocks is one task, so a group of any size
-    spreads out and every pair in it is compared exactly.
+    They only decide the order of shingles, so that frequent ones come last;
+    any order gives the same links.
     """
-    sizes = texts.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).cast("int").alias("blocks"))
-    placed = texts.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = placed.select("part", "id", "shingles", "block", other).select(
-        "part", "id", "shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
+    total = docs.count()
+    share = min(1.0, RARITY_TEXTS / max(1, total))
+    drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) < int(share * (1 << 20))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        pdf = pdf.sort_values("id")
-        index = pdf[pdf["block"] == i]
-        ids = index["id"].to_numpy()
-        sets = [np.asarray(s, np.int64) for s in index["shingles"]]
-        sizes = np.array([len(s) for s in sets], np.int64)
-        every = np.concatenate([np.empty(0, np.int64), *sets])
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        order = np.argsort(every, kind="stable")
-        every, owner = every[order], owner[order]
-        roots: dict[int, int] = {}
-        links = []
-        queries = pdf[pdf["block"] == j]
-        for me, mine in zip(queries["id"].tolist(), queries["shingles"], strict=True):
-            mine = np.asarray(mine, np.int64)
-            low = np.searchsorted(every, mine, "left")
-            many = np.searchsorted(every, mine, "right") - low
-            at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-            shared = np.bincount(owner[at], minlength=len(sets))
-            near = (shared > 0) & (shared >= similarity * (sizes + len(mine) - shared) - 1e-9)
-            for k in np.flatnonzero(near & (ids < me) if i == j else near).tolist():
-                a, b = _root(roots, me), _root(roots, int(ids[k]))
-                if a != b:
-                    roots[max(a, b)] = min(a, b)
-                    links.append((me, int(ids[k])))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return pairs.groupBy("part", "i", "j").applyInPandas(compare, "a bigint, b bigint")
-
-
-def _root(roots: dict[int, int], x: int) -> int:
-    while (up := roots.get(x, x)) != x:
-        roots[x] = roots.get(up, up)
-        x = up
-    return x
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], ["shingle"])
 
+    sample = doc_bytes(docs).withColumn("drawn", drawn).filter("drawn").select("text")
+    rows = (
+        sample.mapInArrow(read, "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") >= OFTEN).orderBy(F.col("n").desc(), "shingle").limit(OFTEN_SHINGLES).collect()
+    )
+    found = np.array([r.shingle for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], np.array([r.n for r in rows], np.int64)[order]
 
-def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_SHINGLE) -> DataFrame:
-    """Near-duplicate classes by word shingles: doc_id, row, kept_row for every row that has company, kept ones included.
 
-    Candidates are the groups that SimHashes over distinct word pairs form
-    within ``PAIR_DISTANCE`` bits, found by the vantage-point forest. Inside
-    them two texts are linked if their sets of ``words``-word shingles have a
-    Jaccard similarity of at least ``similarity``; links are followed. Equal
-    sets are one class from the start, so copies are never compared. kept_row
-    is the row with the smallest doc_id (then first row) of the class. Texts
-    without words equal each other.
+def _prefixes(docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """doc_id, row, mark (names the shingle set), size and prefix (the rarest shingles) of each row.
+
+    Two sets of this similarity share one of their prefixes' shingles: the
+    other shingles are fewer than what they must have in common.
     """
-    rows = pinned(fingerprints(docs, PAIR_WORDS, distinct=True))
-    prints = pinned(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
-    near = connected_components(near_links(prints.select("fp"), PAIR_DISTANCE, PAIR_BANDS))
-    close = prints.join(near, F.col("fp") == F.col("node"), "left").filter("n > 1 OR component IS NOT NULL").select(
-        "fp", F.coalesce("component", "fp").alias("part")
-    )
-    members = rows.join(close, "fp").select("row", "part")
+    often, counts = _often(docs, words)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
-            marks = [xxhash.xxh3_128_digest(f.tobytes()) for f in found]
+            marks, sizes, prefixes = [], [], []
+            for text in batch.column("text").to_pylist():
+                found = shingle_set(text, words)
+                marks.append(xxhash.xxh3_128_digest(found.tobytes()))
+                sizes.append(len(found))
+                n = len(found) - math.ceil(similarity * len(found) - 1e-6) + 1 if len(found) else 0
+                prefixes.append(_by_rarity(found, often, counts)[:n].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "row", "part")), pa.array(marks, pa.binary()),
-                 pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))],
-                ["doc_id", "row", "part", "mark", "shingles"],
+                [batch.column("doc_id"), batch.column("row"), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64()),
+                 pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "row", "mark", "size", "prefix"],
             )
 
-    marked = doc_bytes(docs).withColumn("row", F.monotonically_increasing_id()).join(members, "row")
-    schema = "doc_id bigint, row bigint, part bigint, mark binary, shingles array<bigint>"
-    texts = pinned(marked.select("doc_id", "row", "part", "text").mapInArrow(sets, schema))
+    rows = doc_bytes(docs).withColumn("row", F.monotonically_increasing_id())
+    return rows.mapInArrow(read, "doc_id bigint, row bigint, mark binary, size bigint, prefix array<bigint>")
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs (a, b) of row numbers of ``docs`` with at least this Jaccard similarity, each compared exactly."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.list_(pa.int64()))], ["row", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(shared > 0 and shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            kept = pa.array(near, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in ("a", "b")], ["a", "b"])
+
+    named = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    rows = doc_bytes(docs).withColumn("row", F.monotonically_increasing_id()).join(named, "row").select("row", "text")
+    found = pinned(rows.mapInArrow(sets, "row bigint, shingles array<bigint>"))
+    both = pairs.join(found.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(
+        found.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b"
+    )
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
+
+
+def _enough(shared: str, m: str, n: str, similarity: float) -> Column:
+    """Whether sets of m and n shingles with so many shared ones in their prefixes can have the similarity.
+
+    Up to the end of the prefix that ends first all that is shared has been
+    counted; after it only the rest of that set can be.
+    """
+    rest = F.ceil(F.greatest(m, n) * similarity - 1e-6) - 1
+    alike = F.least(m, n) >= F.greatest(m, n) * similarity - 1e-6
+    return alike & (F.col(shared) + rest >= (F.col(m) + F.col(n)) * (similarity / (1 + similarity)) - 1e-6)
+
+
+def _candidates(met: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different parts that can have the similarity, for rows (shingle, texts, id, size, part).
+
+    ``met`` has every prefix shingle that two parts share. All pairs of texts
+    under a shingle meet; those with many texts are cut into blocks and each
+    pair of blocks is a group of its own.
+    """
+    blocks = F.ceil(F.col("texts") / BLOCK_TEXTS).cast("int")
+    dealt = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    side = ("shingle", "i", "j", "id", "size", "part")
+    left = dealt.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    right = dealt.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block"))))
+    x, y = left.select(*side).alias("x"), right.select(*side).alias("y")
+    pairs = x.join(
+        y,
+        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+        & ((F.col("x.i") < F.col("x.j")) | (F.col("x.id") < F.col("y.id"))) & (F.col("x.part") != F.col("y.part"))
+        & (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * similarity - 1e-6),
+    )
+    mine = F.col("x.id") < F.col("y.id")
+    named = pairs.select(
+        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"),
+        F.when(mine, F.col("x.size")).otherwise(F.col("y.size")).alias("m"),
+        F.when(mine, F.col("y.size")).otherwise(F.col("x.size")).alias("n"),
+    )
+    counted = named.groupBy("a", "b", "m", "n").agg(F.count(F.lit(1)).alias("shared"))
+    return counted.filter(_enough("shared", "m", "n", similarity)).select("a", "b")
+
+
+def _parts(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """``ids`` with the component of each under the links, as part."""
+    joined = connected_components(links)
+    return ids.join(joined, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).drop(
+        "node", "component"
+    )
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_SHINGLE) -> DataFrame:
+    """Near-duplicate classes by word shingles: doc_id, row, kept_row for every row that has company, kept ones included.
+
+    Two texts are linked if their sets of ``words``-word shingles have a Jaccard
+    similarity of at least ``similarity``; links are followed. Candidates are
+    all texts that share a shingle of their prefixes, which no pair of that
+    similarity escapes. Equal sets are one class from the start, so copies are
+    never compared; each text is then compared with the first text that it
+    shares most with, and only pairs which that has not joined meet each other.
+    kept_row is the row with the smallest doc_id (then first row) of the class.
+    Texts without words equal each other.
+    """
+    texts = pinned(_prefixes(docs, similarity, words))
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
     # One row per different set and task before the shuffle.
     classes = pinned(
-        texts.groupBy("part", "mark").agg(F.min(order).alias("best"), F.first("shingles").alias("shingles"))
-        .withColumn("id", F.col("best.row"))
+        texts.groupBy("mark").agg(
+            F.min(order).alias("best"), F.first("size").alias("size"), F.first("prefix").alias("prefix"),
+            F.count(F.lit(1)).alias("copies"),
+        ).withColumn("id", F.col("best.row"))
     )
-    joined = connected_components(similar_links(classes.select("part", "id", "shingles"), similarity))
-    named = classes.select("part", "mark", "best", "id").join(joined, F.col("id") == F.col("node"), "left").withColumn(
-        "component", F.coalesce("component", "id")
+    shingle = Window.partitionBy("shingle")
+    met = pinned(
+        classes.select("id", "size", F.explode("prefix").alias("shingle"))
+        .withColumn("texts", F.count(F.lit(1)).over(shingle))
+        .withColumn("least", F.min(F.struct("id", "size")).over(shingle))
+        .filter("texts > 1")
     )
-    least = named.groupBy("component").agg(F.min("best").alias("kept"))
-    kept = pinned(named.join(least, "component").select("part", "mark", F.col("kept.row").alias("kept_row")))
-    return texts.select("doc_id", "row", "part", "mark").join(kept, ["part", "mark"]).select("doc_id", "row", "kept_row")
+    # First the text before each that most of its shingles name: one comparison per text joins what is plainly one family.
+    named = met.filter("least.id < id").groupBy("id", "size", "least").agg(F.count(F.lit(1)).alias("n"))
+    near = named.filter(_enough("n", "size", "least.size", similarity))
+    stars = near.groupBy("id").agg(F.max(F.struct("n", (-F.col("least.id")).alias("back"))).alias("most"))
+    stars = pinned(stars.select(F.col("id").alias("b"), (-F.col("most.back")).alias("a")))
+    links = pinned(_similar(docs, stars, similarity, words))
+    parts = pinned(_parts(met.select("id").distinct(), links))
+    known = met.join(parts, "id")
+    apart = known.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("shingle")
+    pairs = pinned(_candidates(known.join(apart, "shingle"), similarity))
+    links = links.union(pinned(_similar(docs, pairs, similarity, words)))
+    named = _parts(classes.select("mark", "best", "copies", "id"), links)
+    least = named.groupBy("part").agg(F.min("best").alias("kept"), F.sum("copies").alias("copies")).filter("copies > 1")
+    kept = pinned(named.join(least.drop("copies"), "part").select("mark", F.col("kept.row").alias("kept_row")))
+    return texts.select("doc_id", "row", "mark").join(kept, "mark").select("doc_id", "row", "kept_row")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_SHINGLE) -> DataFrame:

@@ -180,6 +180,32 @@ def test_similar_texts_against_brute_force(llm_spark, monkeypatch, block):
     assert sum(m != i for i, m in enumerate(mine)) >= 0.95 * gone > 50
 
 
+@pytest.mark.parametrize("often", [3, 10**9])
+def test_similar_texts_with_edits_in_one_place(llm_spark, monkeypatch, often):
+    """Truncated, extended and block-edited copies around the limit: all that brute force finds, nothing else."""
+    monkeypatch.setattr(simhash, "OFTEN", often)
+    rng = random.Random(8)
+    frequent = " ".join(f"notice{i}" for i in range(12))
+
+    def words(n):
+        return ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(n)]
+
+    texts = []
+    for _ in range(30):
+        n = rng.randint(30, 500)
+        # One pair each, so that no link stands in for another.
+        for share in (0.1, 0.14, 0.18, 0.22):
+            base, k = words(n), int(share * n)
+            at = rng.randint(0, n - k)
+            copies = base[: n - k], base[k:], base + words(k), base[:at] + words(k // 2) + base[at + k // 2 :]
+            texts += [" ".join(base), " ".join(rng.choice(copies)), " ".join([*words(n), frequent])]
+    want = brute.similar(list(range(len(texts))), texts, 5, 0.8)
+    docs = made(llm_spark, list(enumerate(texts)), parts=1)
+    found = {r.row: r.kept_row for r in simhash.similar_groups(docs).collect()}
+    assert [found.get(i, i) for i in range(len(texts))] == want
+    assert 20 < sum(w != i for i, w in enumerate(want)) < 120
+
+
 def test_simhash_odd_rows(odd_docs, no_docs):
     rows = simhash.simhash_groups(odd_docs).collect()
     assert len(rows) == odd_docs.count()
