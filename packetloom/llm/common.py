@@ -6,7 +6,7 @@ import json
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.session import ensure_checkpoint_dir, prepare
@@ -83,3 +83,34 @@ def packed(value: object) -> bytes:
 
 def unpacked(blob: bytes) -> object:
     return json.loads(zlib.decompress(blob))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``df`` with ``pos`` (0, 1, ... per key, by ``order``) and ``size`` (rows of the key), whatever the share of one key.
+
+    Rows are dealt out by ranges of (keys, order) and sorted inside them; a
+    row's number is its place in its range plus the rows of its key in earlier
+    ranges, which a table of one row per range and key tells. Keys may be null.
+    Rows alike in all of these are interchangeable. Columns ``__*`` are taken.
+    """
+    # Keys and order travel as columns: a range exchange over expressions would compute them again for its sample.
+    tags = [f"__o{i}" for i in range(len(order))]
+    named = df.select("*", *(c.alias(t) for c, t in zip(order, tags, strict=True)))
+    sort = [F.col(c).asc_nulls_first() for c in [*keys, *tags]]
+    # The bits of a row's hash split rows that are alike in keys and order over ranges.
+    spread = F.xxhash64(F.rand(7)).alias("__spread")
+    dealt = named.select("*", spread).repartitionByRange(*sort, F.col("__spread")).sortWithinPartitions(*sort)
+    # The checkpoint holds ranges and places fixed: a repeated task can't deal rows out anew.
+    rows = pinned(dealt.select(*df.columns, F.monotonically_increasing_id().alias("__at")).withColumn(
+        "__range", F.shiftrightunsigned("__at", 33)
+    ))
+    held = rows.groupBy("__range", *keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    by_key = Window.partitionBy(*keys)
+    before = by_key.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    match = ["__range", *keys]
+    base = held.select(
+        *(F.col(c).alias(f"__b{i}") for i, c in enumerate(match)), "__first", F.sum("__n").over(by_key).alias("size"),
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"__b{i}")) for i, c in enumerate(match)]
+    return rows.join(base, same).select(*df.columns, (F.col("__at") - F.col("__first") + F.col("__before")).alias("pos"), "size")

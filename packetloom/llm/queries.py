@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.llm import (
+    byte_conv,
     decontaminate,
     exact_dedup,
     line_dedup,
     lpf_dedup,
+    merkle,
     packing,
+    resample,
     secret_scan,
     simhash,
+    sql,
     token_counts,
     toxicity,
     url_reputation,
@@ -96,11 +100,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark = llm_session(spark)
+    docs = table(spark, sf_dir, "documents")
+    return byte_conv.quality_scores(docs, byte_conv.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_manifest(table(llm_session(spark), sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark = llm_session(spark)
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_packing, op3_decontamination, op4_simhash, op5_exact_dedup, op6_secrets, op7_suffix_dedup,
-        op8_url_filter, op9_token_counts, op10_toxicity,
+        op8_url_filter, op9_token_counts, op10_toxicity, op11_quality, op12_merkle, op13_resample,
     )
 }
 
@@ -160,4 +179,6 @@ for _name, _text in {
 }.items():
     _URL_SQL = _URL_SQL.replace(_name, _text)
 
-ORACLES: dict[str, str] = {"op5_exact_dedup": _EXACT_SQL, "op8_url_filter": _URL_SQL}
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": _EXACT_SQL, "op8_url_filter": _URL_SQL, "op12_merkle": sql.MERKLE, "op13_resample": sql.RESAMPLE,
+}
