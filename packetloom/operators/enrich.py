@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import ipaddress
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom import constants as K
-from packetloom.functions.ip import is_public_ip, normalize_ip, v4_number
+from packetloom.functions.ip import is_public_ip, normalize_ip, v4_number, v6_hex
 from packetloom.functions.labels import file_name, file_stem
 from packetloom.operators.sizing import small
 
@@ -71,21 +75,134 @@ def geo_enrich(events: DataFrame, ip_col: str, ranges: DataFrame, attributes: li
     ).drop("ip_lo")
 
 
+def _near(single: DataFrame, single_ts: str, copied: DataFrame, copied_ts: str, width: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides keyed by (trace, time bucket) and the condition of the join.
+
+    The single side lies in one bucket of the window's length, the copied one
+    in the three around its own, so every pair within the window meets once and
+    a row of the single side is never doubled.
+    """
+    one = single.withColumnRenamed("trace_id", "__trace").withColumn("__b", F.expr(f"floor(unix_micros({single_ts}) / {width}D)"))
+    here = f"floor(unix_micros({copied_ts}) / {width}D)"
+    many = copied.withColumnRenamed("trace_id", "__copied").withColumn("__cb", F.explode(F.expr(f"sequence({here} - 1L, {here} + 1L)")))
+    low, high = (F.expr(f"{single_ts} {sign} INTERVAL {width} MICROSECONDS") for sign in "-+")
+    near = (F.col("__trace") == F.col("__copied")) & (F.col("__b") == F.col("__cb")) & F.col(copied_ts).between(low, high)
+    return one, many, near
+
+
+def prefix_blocks(ranges: DataFrame, attributes: list[str]) -> DataFrame:
+    """(bits, prefix, width, low, attributes) of address ranges given as texts ``ip_lo`` and ``ip_hi``, both families.
+
+    A range falls into blocks of whole prefixes, 254 at most. Addresses are 32
+    hex digits, IPv4 in its mapped form; ``prefix`` is the block's first
+    address. Ranges that are no addresses, of two families or the wrong way
+    round are dropped. Only the range table runs through this.
+    """
+    mapped = 0xFFFF << 32
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for i, (low, high) in enumerate(zip(pdf["ip_lo"], pdf["ip_hi"], strict=True)):
+                try:
+                    a, z = ipaddress.ip_address(low), ipaddress.ip_address(high)
+                    blocks = list(ipaddress.summarize_address_range(a, z))
+                except (ValueError, TypeError):
+                    continue
+                shift, lift = (96, mapped) if a.version == 4 else (0, 0)
+                width, first = f"{int(z) - int(a):032x}", f"{int(a) + lift:032x}"
+                out += [(i, b.prefixlen + shift, f"{int(b.network_address) + lift:032x}", width, first) for b in blocks]
+            at = [o[0] for o in out]
+            cut = pd.DataFrame([o[1:] for o in out], columns=["bits", "prefix", "width", "low"])
+            yield pd.concat([cut, pdf[attributes].iloc[at].reset_index(drop=True)], axis=1)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranges.select(*attributes).schema)
+    return ranges.select("ip_lo", "ip_hi", *attributes).mapInPandas(
+        split, f"bits int, prefix string, width string, low string, {kinds}"
+    )
+
+
+def _first_of_block(digits: Column, bits: Column) -> Column:
+    """The first address of the block of ``bits`` bits that holds an address of 32 hex digits."""
+    whole, part = F.shiftright(bits, 2), bits % 4
+    digit = F.conv(F.substring(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    masked = F.when(part > 0, F.lower(F.hex(digit - digit % F.pow(F.lit(2), 4 - part).cast("int")))).otherwise(F.lit(""))
+    return F.rpad(F.concat(F.substring(digits, F.lit(1), whole), masked), 32, "0")
+
+
+def geo_enrich_any(events: DataFrame, ip_col: str, ranges: DataFrame, attributes: list[str]) -> DataFrame:
+    """JON4 for both address families and nested or overlapping ranges (text ``ip_lo`` to ``ip_hi``).
+
+    The narrowest range that holds an address counts, of equal ones the lowest.
+    Each distinct public address asks once per prefix length that the table has
+    (128 at most), by equi-joins on the block's first address, so neither side
+    is broadcast or sorted whole; what many addresses share, such as a short
+    prefix, is one row on the table's side.
+    """
+    blocks = prefix_blocks(ranges, attributes)
+    lengths = sorted(r[0] for r in blocks.select("bits").distinct().collect())  # 129 at most
+    address = events.withColumn("geo_ip", normalize_ip(F.col(ip_col)))
+    digits = F.when(
+        F.contains("geo_ip", F.lit(":")), v6_hex(F.col("geo_ip"))
+    ).otherwise(F.concat(F.lit("0" * 20 + "ffff"), F.lpad(F.lower(F.hex(v4_number(F.col("geo_ip")))), 8, "0")))
+    asked = address.select("geo_ip").where(F.col("geo_ip").isNotNull()).distinct().where(is_public_ip(F.col("geo_ip")))
+    asked = asked.withColumn("__digits", digits).withColumn("bits", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")))
+    asked = asked.withColumn("prefix", _first_of_block(F.col("__digits"), F.col("bits")))
+    found = asked.join(blocks, ["bits", "prefix"]).groupBy("geo_ip").agg(
+        F.min(F.struct("width", "low", *attributes)).alias("__hit")
+    ).withColumn("__known", F.lit(True))
+    joined = address.join(found, "geo_ip", "left").withColumns({a: F.col("__hit")[a] for a in attributes})
+    reason = (
+        F.when(F.col("geo_ip").isNull(), F.lit("missing_or_invalid_ip"))
+        .when(~is_public_ip(F.col("geo_ip")), F.lit("non_public_ip"))
+        .when(F.col("__known").isNull(), F.lit("not_found"))
+    )
+    return joined.withColumns(
+        {"geo_provider": F.lit(K.GEO_PROVIDER), "geo_resolved": F.col("__known").isNotNull(), "geo_reason": reason}
+    ).drop("__hit", "__known")
+
+
 def merge_with_scans(detections: DataFrame, scans: DataFrame, window_seconds: int, how: str = "inner") -> DataFrame:
-    """JON3: detections and scans of one trace at most ``window_seconds`` apart.
+    """JON3: detections and scans of one trace at most ``window_seconds`` apart; inner, left, right or full.
 
     Time buckets of the window length join the trace as equi keys, so even a
-    trace holding most rows spreads over many tasks. A scan is copied into
-    three neighbouring buckets.
+    trace holding most rows spreads over many tasks. The side that an outer
+    join preserves is never copied; ``full`` adds the scans without a partner
+    to the left join. Rows without a trace or time have no partner.
+    """
+    if how not in ("inner", "left", "right", "full"):
+        raise ValueError(f"unknown join: {how}")
+    width = window_seconds * 1_000_000
+    names = [*detections.columns, *(c for c in scans.columns if c != "trace_id")]
+    if how == "right":
+        one, many, near = _near(scans, "scan_ts", detections, "ts", width)
+    else:
+        one, many, near = _near(detections, "ts", scans, "scan_ts", width)
+    joined = one.join(many, near, "inner" if how == "inner" else "left").withColumnRenamed("__trace", "trace_id").select(*names)
+    if how != "full":
+        return joined
+    one, many, near = _near(scans, "scan_ts", detections, "ts", width)
+    alone = one.join(many, near, "left_anti").withColumnRenamed("__trace", "trace_id")
+    return joined.unionByName(alone.drop("__b"), allowMissingColumns=True).select(*names)
+
+
+def merge_scan_streams(detections: DataFrame, scans: DataFrame, window_seconds: int, delay: str, how: str = "inner") -> DataFrame:
+    """JON3 on two streams: pairs of one trace within the window; inner, left or right.
+
+    Both sides carry a watermark of ``delay``; with the window they bound how
+    long a row can wait for a partner, and state beyond that is dropped. The
+    time bucket is part of the key, so a trace of most rows spreads over tasks.
+    Rows of the preserved side without a partner come out once no partner can
+    come any more; rows without a time are dropped.
     """
+    if how not in ("inner", "left", "right"):
+        raise ValueError(f"unknown stream join: {how}")
     width = window_seconds * 1_000_000
-    left = detections.withColumn("__b", F.expr(f"floor(unix_micros(ts) / {width}D)"))
-    right = scans.withColumn("__sb", F.explode(F.expr(
-        f"sequence(floor(unix_micros(scan_ts) / {width}D) - 1L, floor(unix_micros(scan_ts) / {width}D) + 1L)"
-    ))).withColumnRenamed("trace_id", "__trace")
-    near = F.abs(F.unix_micros("ts") - F.unix_micros("scan_ts")) <= F.lit(width)
-    same = (left["trace_id"] == right["__trace"]) & (F.col("__b") == F.col("__sb"))
-    return left.join(right, same & near, how).drop("__b", "__sb", "__trace")
+    names = [*detections.columns, *(c for c in scans.columns if c != "trace_id")]
+    sides = (detections.withWatermark("ts", delay).where("ts IS NOT NULL"), "ts", scans.withWatermark("scan_ts", delay).where("scan_ts IS NOT NULL"), "scan_ts")
+    one, many, near = _near(*(sides[2:] + sides[:2] if how == "right" else sides), width)
+    joined = one.join(many, near, "inner" if how == "inner" else "leftOuter")
+    return joined.withColumnRenamed("__trace", "trace_id").select(*names)
 
 
 def unprocessed(files: DataFrame, done: DataFrame, key: str = "path") -> DataFrame:

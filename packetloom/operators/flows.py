@@ -66,7 +66,7 @@ def with_flow_key(packets: DataFrame) -> DataFrame:
     )
 
 
-def _masked(keyed: DataFrame) -> DataFrame:
+def flow_measures(keyed: DataFrame) -> DataFrame:
     """Direction-masked measures, so that every aggregate stays a flat column."""
     flag = lambda name: f"(proto = 6 AND (tcp_flags & {K.TCP_FLAGS[name]}) != 0)"
     fwd_payload = "is_fwd AND proto = 6"
@@ -238,7 +238,12 @@ def _stitched(slices: DataFrame, own_flow_iat: bool) -> DataFrame:
             "min_by(bwd_win, if(bwd_first IS NULL, NULL, __slice)) AS bwd_win",
         )
     )
-    return merged.selectExpr("*", *[c for name in LENGTHS + IAT for c in _moments(name)])
+    return merged
+
+
+def flow_records(merged: DataFrame) -> DataFrame:
+    """FLW1-16 from one row of merged sums and moments per flow."""
+    return _records(merged.selectExpr("*", *[c for name in LENGTHS + IAT for c in _moments(name)]))
 
 
 def _records(agg: DataFrame) -> DataFrame:
@@ -323,7 +328,7 @@ def build_flows(packets: DataFrame, iat_scope: str = "flow", slice_us: int = SLI
         raise ValueError(f"unknown iat_scope: {iat_scope}")
     keyed = with_flow_key(packets).withColumn("__slice", F.expr(f"ts_us div {int(slice_us)}L"))
     own = iat_scope == "flow"
-    return _records(_stitched(_slices(_masked(keyed), own), own))
+    return flow_records(_stitched(_slices(flow_measures(keyed), own), own))
 
 
 def flow_totals(packets: DataFrame) -> DataFrame:
@@ -331,7 +336,7 @@ def flow_totals(packets: DataFrame) -> DataFrame:
 
     No window and no sort; the map-side combine makes it immune to hot flows.
     """
-    rows = _masked(with_flow_key(packets))
+    rows = flow_measures(with_flow_key(packets))
     agg = rows.groupBy(*FLOW_KEY).agg(*_exprs(*COMMON, *[c for name in LENGTHS for c in _partial(name)]))
     absent = [f"{name}_{s}" for name in IAT for s in ("c", "sum", "max", "min", "mean", "std")]
     agg = agg.selectExpr(

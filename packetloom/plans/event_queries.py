@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from packetloom import constants as K
@@ -291,6 +293,59 @@ def hub_interval_join(spark, sf_dir):
     return out.select("event_uid", "trace_id", "source", F.unix_micros("scan_ts").alias("scan_us"), "total_probes", "open_port_count")
 
 
+KINDS = {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "full": "FULL JOIN"}
+# A third of the scans has no detection near it, and many detections no scan.
+KIND_SQL = " UNION ALL ".join(
+    f"SELECT '{how}' AS kind, event_uid, coalesce(d.trace_id, t.trace_id) AS trace_id, epoch_us(ts) AS us, epoch_us(scan_ts) AS scan_us, "
+    f"total_probes FROM detections d {join} t ON d.trace_id = t.trace_id AND abs(epoch_us(ts) - epoch_us(scan_ts)) <= 172800000000"
+    for how, join in KINDS.items()
+)
+
+
+def moved_scans(spark, sf_dir):
+    return _scans(spark, sf_dir).withColumn("scan_ts", F.expr("scan_ts + IF(bigint(substr(trace_id, 4)) % 3 = 0, INTERVAL 900 DAYS, INTERVAL 0 DAYS)"))
+
+
+MOVED = "t AS (SELECT s.* REPLACE (CASE WHEN substr(trace_id, 4)::BIGINT % 3 = 0 THEN scan_ts + INTERVAL 900 DAYS ELSE scan_ts END AS scan_ts) FROM s)"
+
+
+@query("hub_join_kinds", f"{HUB}, {MOVED} {KIND_SQL}")
+def hub_join_kinds(spark, sf_dir):
+    """JON3 with every kind of join."""
+    detections = adapter(spark, sf_dir, "detections").select("event_uid", "trace_id", "ts")
+    scans = moved_scans(spark, sf_dir).select("trace_id", "scan_ts", "total_probes")
+    parts = [enrich.merge_with_scans(detections, scans, 172800, how).select(F.lit(how).alias("kind"), "*") for how in KINDS]
+    out = reduce(lambda a, b: a.unionByName(b), parts)
+    return out.select(
+        "kind", "event_uid", "trace_id", F.unix_micros("ts").alias("us"), F.unix_micros("scan_ts").alias("scan_us"), "total_probes"
+    )
+
+
+# Nested and overlapping ranges: regions of several nations, nations, suppliers inside nations; and IPv4 ones.
+RANGES_V6 = """
+SELECT printf('2a00:%04x:0000:0000:0000:0000:0000:0000', n_nationkey * 4) AS ip_lo, printf('2a00:%04x:ffff:ffff:ffff:ffff:ffff:ffff', n_nationkey * 4 + 1) AS ip_hi,
+  n_name AS owner, 1 AS tier FROM {nation}
+UNION ALL SELECT printf('2a00:%04x:0000:0000:0000:0000:0000:0000', r_regionkey * 20), printf('2a00:%04x:7fff:ffff:ffff:ffff:ffff:ffff', r_regionkey * 20 + 27), r_name, 2 FROM {region}
+UNION ALL SELECT printf('2a00:%04x:%04x:0000:0000:0000:0000:0000', s_nationkey * 4, s_suppkey), printf('2a00:%04x:%04x:00ff:ffff:ffff:ffff:fffd', s_nationkey * 4, s_suppkey), s_name, 0 FROM {supplier}
+"""
+ADDRESS_V6 = "printf('2a00:%04x:%04x:%04x:0000:0000:0000:%04x', user_id % 130, event_id % 120, event_id % 300, 65530 + event_id % 6)"
+
+
+@query(
+    "geo_range_join_v6",
+    f"WITH r AS ({RANGES_V6.replace('{', '').replace('}', '')}), a AS (SELECT event_id, {ADDRESS_V6} AS ip FROM events), "
+    "h AS (SELECT event_id, owner, row_number() OVER (PARTITION BY event_id ORDER BY tier, ip_lo) AS n FROM a JOIN r ON replace(ip, ':', '') "
+    "BETWEEN replace(ip_lo, ':', '') AND replace(ip_hi, ':', '')) SELECT a.event_id, owner, owner IS NOT NULL AS geo_resolved, "
+    "CASE WHEN owner IS NULL THEN 'not_found' END AS geo_reason FROM a LEFT JOIN h ON a.event_id = h.event_id AND n = 1",
+)
+def geo_range_join_v6(spark, sf_dir):
+    """JON4: IPv6 look-up in nested and overlapping ranges, the narrowest one counts."""
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region", "supplier")}
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", f"{ADDRESS_V6} AS ip")
+    out = enrich.geo_enrich_any(events, "ip", spark.sql(RANGES_V6, **tables), ["owner"])
+    return out.select("event_id", "owner", "geo_resolved", "geo_reason")
+
+
 @query(
     "unprocessed_files",
     oracle_cte("cic_rows", "manifest") + " SELECT DISTINCT source_file AS path FROM cic_rows WHERE source_file NOT IN (SELECT file FROM manifest)",

@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import csv
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom import schemas
-from packetloom.operators import events as log
+from packetloom.operators import enrich, events as log
 from packetloom.operators.models import Ensemble, train_pipeline
 from packetloom.plans.flow_queries import DAY, KEY, rate_sql
-from packetloom.plans.event_queries import D
+from packetloom.plans.event_queries import D, HUB, MOVED, moved_scans
 from packetloom.plans.prep_queries import SHOWN
 from packetloom.plans.registry import query, rounded
 from packetloom.session import ensure_checkpoint_dir
 from packetloom.sources import sinks
 from packetloom.sources.adapters import ADAPTER_SQL, adapter, oracle_cte
-from packetloom.streaming import streams
+from packetloom.sources.growing_csv import open_path, read_growing_csv
+from packetloom.streaming import ordered_sessions, streams
 
 
 def _scratch(spark) -> str:
@@ -105,6 +110,123 @@ def flow_sessions(spark, sf_dir):
     return _sessions_shown(streams.flow_sessions(adapter(spark, sf_dir, "packets"), 6 * 3600))
 
 
+GAPS = ["flow", "fwd", "bwd"]
+GAP_SQL = f"""{SESSION_SQL[:SESSION_SQL.index("SELECT " + KEY + ", min(us)")]},
+g AS (SELECT *, us - lag(us) OVER w AS flow_gap, CASE WHEN fwd THEN us - lag(us) OVER d END AS fwd_gap,
+  CASE WHEN NOT fwd THEN us - lag(us) OVER d END AS bwd_gap,
+  CASE WHEN proto = 6 AND row_number() OVER d = 1 THEN tcp_win END AS win
+  FROM s WINDOW w AS (PARTITION BY {KEY}, session ORDER BY us, pkt_no), d AS (PARTITION BY {KEY}, session, fwd ORDER BY us, pkt_no))
+SELECT {KEY.replace("lo_ip", "lo_ip AS source_ip").replace("lo_port", "lo_port AS source_port").replace("hi_ip", "hi_ip AS destination_ip").replace("hi_port", "hi_port AS destination_port").replace("proto", "proto AS protocol")},
+  min(us) AS first_us, max(us) - min(us) AS flow_duration, count(*) FILTER (fwd) AS total_fwd_packets,
+  {", ".join(f"coalesce(round(avg({d}_gap), 4), 0)::DOUBLE AS {d}_iat_mean, coalesce(round(stddev_pop({d}_gap), 2), 0)::DOUBLE AS {d}_iat_std, coalesce(max({d}_gap), 0)::DOUBLE AS {d}_iat_max, coalesce(min({d}_gap), 0)::DOUBLE AS {d}_iat_min" for d in GAPS)},
+  coalesce(max(win) FILTER (fwd), 0)::BIGINT AS init_win_bytes_forward, coalesce(max(win) FILTER (NOT fwd), 0)::BIGINT AS init_win_bytes_backward,
+  count(*) FILTER (proto = 6 AND (tcp_flags & 16) <> 0) AS ack_flag_count, round(stddev_pop(pkt_len), 4) AS packet_length_std
+FROM g GROUP BY {KEY}, session"""
+
+
+def _gaps_shown(records):
+    names = [f"{d}_iat_{s}" for d in GAPS for s in ("mean", "std", "max", "min")]
+    return records.select(
+        "capture_id", "source_ip", "source_port", "destination_ip", "destination_port", "protocol",
+        F.unix_micros("timestamp").alias("first_us"), "flow_duration", "total_fwd_packets",
+        *[F.round(n, 2 if n.endswith("std") else 4).alias(n) for n in names],
+        "init_win_bytes_forward", "init_win_bytes_backward", "ack_flag_count", F.round("packet_length_std", 4).alias("packet_length_std"),
+    )
+
+
+@query("stream_session_records", GAP_SQL)
+def stream_session_records(spark, sf_dir):
+    """STR4: whole flow records of sessions on the stream, ordered gaps included."""
+    root = _scratch(spark)
+    packets = _closed(spark, _adapted(spark, sf_dir, "packets", "events"), "ts", root)
+    with ordered_sessions.rocksdb_state(spark):
+        out = _drain(spark, ordered_sessions.ordered_session_stream(packets, 6 * 3600, "1 hour"), root)
+    return _gaps_shown(out.where(F.unix_seconds("timestamp") < LAST - DAY))
+
+
+@query("session_records", GAP_SQL)
+def session_records(spark, sf_dir):
+    """STR4: batch twin of the session records."""
+    return _gaps_shown(ordered_sessions.ordered_sessions(adapter(spark, sf_dir, "packets"), 6 * 3600))
+
+
+@query(
+    "stream_hub_join",
+    f"{HUB}, {MOVED} SELECT event_uid, d.trace_id, epoch_us(ts) AS us, epoch_us(scan_ts) AS scan_us, total_probes FROM detections d LEFT JOIN t "
+    "ON d.trace_id = t.trace_id AND abs(epoch_us(ts) - epoch_us(scan_ts)) <= 172800000000",
+)
+def stream_hub_join(spark, sf_dir):
+    """JON3 on streams: detections with the scans near them, those without one as well."""
+    root = _scratch(spark)
+    moved_scans(spark, sf_dir).select("trace_id", "scan_ts", "total_probes").write.parquet(f"{root}/scans")
+    schema = spark.read.parquet(f"{root}/scans").schema
+    scans = _closed(spark, spark.readStream.schema(schema).parquet(f"{root}/scans"), "scan_ts", f"{root}/a")
+    detections = _adapted(spark, sf_dir, "detections", "events").select("event_uid", "trace_id", "ts")
+    joined = enrich.merge_scan_streams(_closed(spark, detections, "ts", f"{root}/b"), scans, 172800, "1 hour", "left")
+    out = _drain(spark, joined, root).where("event_uid IS NOT NULL")
+    return out.select("event_uid", "trace_id", F.unix_micros("ts").alias("us"), F.unix_micros("scan_ts").alias("scan_us"), "total_probes")
+
+
+GROWN = ["row_id", "dst_port", "label", "flow_bytes_s_raw", "packet_length_mean"]
+
+
+@query(
+    "stream_growing_csv",
+    f"{oracle_cte('cic_rows')} SELECT source_file, row_id, dst_port, label, nullif(flow_bytes_s_raw, '') AS flow_bytes_s_raw, "
+    "round(packet_length_mean, 4)::DOUBLE AS packet_length_mean FROM cic_rows",
+)
+def stream_growing_csv(spark, sf_dir):
+    """STR1: files that are appended to and one that is rotated between triggers; every row arrives once."""
+    root = _scratch(spark)
+    rows = adapter(spark, sf_dir, "cic_rows").select("source_file", *[F.col(c).cast("string").alias(c) for c in GROWN])
+    phase = F.pmod(F.crc32("row_id"), F.lit(3))
+    rotated = F.col("source_file") == "part3.csv"
+    for k in range(3):
+        # At the last step one file starts anew; the others keep what they held.
+        write_growing(rows.where((phase <= k) & (~rotated | (phase == k) | F.lit(k < 2))).withColumn("__phase", phase), f"{root}/in")
+        grown = read_growing_csv(spark, f"{root}/in", GROWN)
+        streams.write_stream(grown, f"{root}/out", f"{root}/checkpoint", available_now=True).awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    return out.select(
+        "source_file", F.col("row_id").cast("bigint"), F.col("dst_port").cast("int"), "label", "flow_bytes_s_raw",
+        F.round(F.col("packet_length_mean").cast("double"), 4).alias("packet_length_mean"),
+    )
+
+
+def write_growing(rows, folder):
+    """Stands in for writers: one CSV file per source_file, in order of (__phase, row_id), swapped in whole.
+
+    A file that only got more rows keeps its beginning byte by byte. Half of
+    the files have their columns in another order.
+    """
+    names = [c for c in rows.columns if c not in ("source_file", "__phase")]
+
+    def write(batches):
+        target, sink, part = None, None, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for name in pc.unique(table["source_file"]).to_pylist():
+                order = names if zlib.crc32(name.encode()) % 2 else names[::-1]
+                if name != target:
+                    if sink:
+                        sink.close()
+                        filesystem.move(part, f"{inner}/{target}")
+                    target, (filesystem, inner) = name, open_path(folder)
+                    filesystem.create_dir(inner, recursive=True)
+                    part = f"{inner}/.{name}.{uuid.uuid4().hex}"
+                    sink = filesystem.open_output_stream(part)
+                    sink.write((",".join(order) + "\n").encode())
+                mine = table.filter(pc.equal(table["source_file"], name)).select(order)
+                csv.write_csv(mine, sink, csv.WriteOptions(include_header=False, quoting_style="needed"))
+        if sink:
+            sink.close()
+            filesystem.move(part, f"{inner}/{target}")
+        yield pa.RecordBatch.from_arrays([pa.array([target], pa.string())], ["file"])
+
+    dealt = rows.repartition("source_file").sortWithinPartitions("source_file", "__phase", F.col("row_id").cast("bigint"))
+    dealt.mapInArrow(write, "file string").count()
+
+
 @query(
     "stream_summary",
     f"{D} SELECT prediction_label, source, count(*) AS n, count(*) FILTER (is_attack) AS attacks, max(us) AS last_us FROM e GROUP BY ALL",
