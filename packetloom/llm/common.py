@@ -47,6 +47,15 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def rows_by_place(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
+    """``docs`` semi- or anti-joined to ``places`` (row: place in the scan); a caller's column of any name stays."""
+    name = "__row"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    numbers = places.select(F.col("row").alias(name))
+    return docs.withColumn(name, F.monotonically_increasing_id()).join(numbers, name, how).drop(name)
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds == 0
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import doc_bytes, mix64
+from packetloom.llm.common import doc_bytes, mix64, rows_by_place
 
 Q = 8
 EDIT_RATE = 0.08
@@ -230,6 +230,10 @@ def _search(handed, q: int, rate: float):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without any match, all columns kept."""
-    clean = find_contamination(docs, benchmark, **options).filter(F.size("matches") == 0).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(clean, "__row", "left_semi").drop("__row")
+    """The rows of ``docs`` without any match, all columns kept, whatever their names.
+
+    Null and empty texts hold no item and stay, long texts are searched whole;
+    rows repeated under one doc_id are judged each by its own text. An empty
+    ``docs`` gives no rows, an empty ``benchmark`` drops none.
+    """
+    return rows_by_place(docs, find_contamination(docs, benchmark, **options).filter(F.size("matches") == 0), "left_semi")

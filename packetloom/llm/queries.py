@@ -78,7 +78,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lpf_dedup.remove_repeats(table(llm_session(spark), sf_dir, "documents")).drop("kept")
+    found = lpf_dedup.remove_repeats(table(llm_session(spark), sf_dir, "documents"))
+    # The text that is left; what a cut leaves of a character shows as U+FFFD.
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("changed"), text.alias("text")
+    )
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import doc_bytes, pinned
+from packetloom.llm.common import doc_bytes, pinned, rows_by_place
 from packetloom.llm.components import connected_components
 
 SHINGLE, SEED, MAX_DISTANCE = 4, 42, 4
@@ -437,5 +437,4 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words:
     Nulls, empty texts, repeated rows and clashing columns are treated as there
     and never crash; an empty table gives no rows.
     """
-    gone = similar_groups(docs, similarity, words).filter("row != kept_row").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+    return rows_by_place(docs, similar_groups(docs, similarity, words).filter("row != kept_row"), "left_anti")

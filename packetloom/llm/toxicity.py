@@ -173,7 +173,7 @@ def _fit_ids(labels: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _fit_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows to learn from: toxic, text, three min-hashes of five-word shingles."""
+    """The rows to learn from, one per id: toxic, text, three min-hashes of five-word shingles."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,8 +188,10 @@ def _fit_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 ["doc_id", "toxic", "text", "m0", "m1", "m2"],
             )
 
-    # At most about 2 x FIT_ROWS ids: a proven bound for the broadcast.
-    rows = doc_bytes(docs).join(F.broadcast(ids), "doc_id")
+    # At most about 2 x FIT_ROWS ids: a proven bound for the broadcast, and for the rows, however often an id stands there.
+    rows = doc_bytes(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(
+        F.max("toxic").alias("toxic"), F.min("text").alias("text")
+    )
     return rows.mapInArrow(hashed, "doc_id bigint, toxic int, text binary, m0 bigint, m1 bigint, m2 bigint")
 
 
@@ -329,7 +331,12 @@ def toxicity_scores(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """The rows of ``docs`` that score under one half, all columns kept, in one pass over the texts."""
+    """The rows of ``docs`` that score under one half, all columns kept whatever their names, in one pass over the texts.
+
+    Null and empty texts have no patterns and go by the bias alone; long texts
+    are read whole; repeated rows and equal texts fare alike. An empty table
+    gives no rows.
+    """
     names = {c: f"__{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *(F.col(c).alias(n) for c, n in names.items())

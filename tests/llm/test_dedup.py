@@ -262,7 +262,10 @@ def test_repeats_query_against_brute_force(llm_spark, sf_dir, tables):
 
     rows = tables("documents").select("doc_id", "text").collect()
     want = brute.repeats_removed([r.text.encode() for r in rows], 400)
-    want = {(r.doc_id, len(r.text.encode()), n, s, hashlib.sha256(k).hexdigest()) for r, (n, s, k) in zip(rows, want, strict=True)}
+    want = {
+        (r.doc_id, len(r.text.encode()), n, s, hashlib.sha256(k).hexdigest(), n > 0, k.decode("utf-8", "replace"))
+        for r, (n, s, k) in zip(rows, want, strict=True)
+    }
     assert {tuple(r) for r in queries.op7_suffix_dedup(llm_spark, sf_dir).collect()} == want
 
 

@@ -17,6 +17,17 @@ pipeline = importlib.import_module("corpus_pipeline")
 from packetloom.llm import decontaminate, line_dedup, packing, toxicity  # noqa: E402
 
 
+def test_toxicity_stage_rejects_toxic_documents(llm_spark):
+    """On a table with enough toxic labels the stage drops most of them and hardly anything else."""
+    folder = Path("/root/testdata/sf0.1")
+    docs, labels = (llm_spark.read.parquet(str(folder / f"{n}.parquet")) for n in ("documents", "labels"))
+    left = {r.doc_id for r in dict(pipeline.STAGES)["toxicity"](llm_spark, docs, str(folder)).select("doc_id").collect()}
+    known = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    toxic, clean = ({d for d, t in known.items() if t == value} for value in (1, 0))
+    gone = toxic - left
+    assert gone and len(gone) > 0.9 * len(toxic) and len(clean - left) < 0.01 * len(clean)
+
+
 def test_stages_against_brute_force(llm_spark, sf_dir, tables, tmp_path):
     stages = dict(pipeline.STAGES)
     docs = tables("documents")

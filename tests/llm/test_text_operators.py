@@ -11,7 +11,7 @@ import pytest
 import regex
 from tokenizers import Tokenizer
 
-from packetloom.llm import decontaminate, packing, queries, secret_scan, token_counts, toxicity, url_reputation
+from packetloom.llm import decontaminate, packing, queries, secret_scan, simhash, token_counts, toxicity, url_reputation
 
 
 def made(spark, rows, schema="doc_id bigint, text string"):
@@ -318,6 +318,71 @@ def test_separable_rows_do_not_break_the_fit(scale):
     assert np.isfinite(w).all() and (scale < 1 or ((p > 0.5) == (y == 1)).all())
 
 
+def plain_patterns(text, lexicon):
+    """The features by the definition of a clause, without states: scopes are looked up in the words before."""
+    sums, clauses, hits = [0.0] * 8, [0.0], 0
+    words = []
+    for word in toxicity.TOKEN.findall(text):
+        if word in ".!?;:\n":
+            words, clauses = [], [*clauses, 0.0]
+            continue
+        low = word.lower()
+        terms = [f"w:{low}"] + [f"p:{low[:n]}" for n in toxicity.PREFIXES if len(low) > n]
+        odds = max((lexicon[t] for t in terms if t in lexicon), default=None)
+        kind = (
+            "insult" if odds is not None else "threat" if low in toxicity.THREATS else "not" if low in toxicity.NEGATIONS
+            else "said" if low in toxicity.REPORTS else "you" if low in toxicity.TARGETS else ""
+        )
+        if kind in ("insult", "threat"):
+            if "not" in words[-toxicity.NEGATION_SCOPE :]:
+                pattern, share = 2, 0.5
+            elif "said" in words:
+                pattern, share = 3, 0.5
+            elif "you" in words[-toxicity.TARGET_SCOPE :]:
+                pattern, share = 1, 1.5
+            else:
+                pattern, share = 0, 1.0
+            weight = odds if kind == "insult" else 1.0
+            sums[pattern + 4 * (kind == "threat")] += weight
+            clauses[-1] += weight * share
+            hits += 1
+        words.append(kind)
+    return [np.log1p(s) for s in sums] + [np.log1p(max(clauses)), np.log1p(hits)]
+
+
+def test_toxicity_query_against_a_plain_scorer(llm_spark, sf_dir, tables):
+    docs, labels = tables("documents"), tables("labels")
+    model = toxicity.fit_toxicity(docs, labels)
+    lexicon = model.lexicon | {"w:the": 1.25, "p:verl": 0.5}
+    rng = random.Random(8)
+    words = [*sorted(toxicity.THREATS | toxicity.NEGATIONS | toxicity.REPORTS | toxicity.TARGETS), "the", "verlassen", "x", ".", ";", "\n"]
+    texts = [r.text for r in docs.collect()] + [" ".join(rng.choices(words, k=rng.randrange(40))) for _ in range(400)]
+    grammar = toxicity.Grammar(lexicon)
+    for text in texts:
+        assert np.allclose(grammar.features(text), plain_patterns(text, lexicon))
+    for r in queries.op10_toxicity(llm_spark, sf_dir).join(docs.select("doc_id", "text"), "doc_id").collect():
+        z = model.bias + float(np.dot(model.weights, plain_patterns(r.text, model.lexicon)))
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-6 and r.predicted == int(r.score >= 0.5)
+        assert r.held_out == brute.held_out(r.doc_id)
+
+
+def test_fit_takes_one_row_per_id(llm_spark):
+    rows = [(i, f"plain words number {i} of a clean text") for i in range(40)] + [(100 + i, f"you idiot number {i}") for i in range(40)]
+    labels = llm_spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows], "doc_id bigint, toxic int")
+    once, often = made(llm_spark, rows), made(llm_spark, rows + rows[:3] * 500)
+    assert toxicity.fit_toxicity(once, labels) == toxicity.fit_toxicity(often, labels)
+
+
+@pytest.mark.parametrize("name", ["__row", "__ROW"])
+def test_filters_keep_a_column_of_any_name(llm_spark, name):
+    rows = [(i, f"text number {i} with a few words of its own {i * 7}", i * 10) for i in range(20)]
+    docs = made(llm_spark, rows, f"doc_id bigint, text string, {name} bigint")
+    benchmark = llm_spark.createDataFrame([(1, "text number 3 with a few words of its own 21")], "item_id bigint, text string")
+    left = decontaminate.drop_contaminated(docs, benchmark)
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == [r for r in rows if r[0] != 3]
+    assert sorted(map(tuple, simhash.drop_near_duplicates(docs).collect())) == rows
+
+
 def test_scores_depend_on_the_text_only(llm_spark, tables):
     model = toxicity.ToxicModel({"w:idiot": 5.0}, [1.0] * 10, -2.0)
     rows = [(1, "you idiot"), (2, "you idiot"), (3, None), (4, "")]
