@@ -220,6 +220,7 @@ CSV_ENVELOPE_PREFIX = "CSV_CONTENT:"
 # --- Fixed values: TCP flag masks -----------------------------------------
 TCP_FLAGS = {"fin": 1, "syn": 2, "rst": 4, "psh": 8, "ack": 16, "urg": 32, "ece": 64, "cwe": 128}
 
+# --- Fixed values: special-purpose address registries ----------------------
 # Address blocks that are not globally reachable (IANA special registries, IPv4).
 NON_PUBLIC_V4 = [
     "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12",

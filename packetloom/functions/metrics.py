@@ -86,9 +86,11 @@ def dynamic_metrics_from_map(
 ) -> DataFrame:
     """Metrics of a free-form record column, the record preferred to the features."""
     source = F.coalesce(F.col(record), F.col(features)) if features else F.col(record)
-    # One pass over the keys; only the values looked up are parsed.
-    work = df.withColumn("__metric_map", F.transform_keys(source, lambda k, _: normalize_key(k)))
-    values = {key: finite(F.col("__metric_map")[key]) for key in METRIC_KEYS}
+    # Keys that name no metric go first, so each value left is parsed once, whatever the number of look-ups.
+    named = F.map_filter(F.transform_keys(source, lambda k, _: normalize_key(k)), lambda k, _: k.isin(METRIC_KEYS))
+    work = df.withColumn("__metric_map", F.transform_values(named, lambda _, v: finite(v)))
+    # Unlike a subscript, this look-up is not copied into every expression that uses it.
+    values = {key: F.try_element_at("__metric_map", F.lit(key)) for key in METRIC_KEYS}
     return _staged(work, values, udp_per_minute).drop("__metric_map")
 
 

@@ -6,8 +6,6 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Model
 from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
     LogisticRegression,
     LogisticRegressionModel,
     RandomForestClassificationModel,
@@ -22,6 +20,7 @@ from pyspark.storagelevel import StorageLevel
 from packetloom.functions.labels import is_attack_label
 from packetloom.operators import evaluate, prep, sampling
 from packetloom.operators.sizing import dense_codes, small
+from packetloom.operators.trees import TreeModel, fit_boosted, fit_extra_trees
 
 # --- Fixed values: default model sizes ---
 FOREST = {"numTrees": 200, "maxDepth": 20}
@@ -50,57 +49,35 @@ def model_names(names: str | list[str]) -> list[str]:
 
 @dataclass
 class BaseModel:
-    """A fitted base model that turns a vector column into class probabilities.
-
-    Boosted trees are binary in Spark, so they hold one model per class whose
-    positive scores are normalised over the classes.
-    """
+    """A fitted base model that turns a vector column into class probabilities."""
 
     name: str
     classes: int
-    models: list[Model]
+    models: list[Model | TreeModel]
 
     def probabilities(self, df: DataFrame, features: str, out: str) -> DataFrame:
-        if self.name != "gbt":
-            model = self.models[0]
-            scored = model.setFeaturesCol(features).setProbabilityCol("__prob").setRawPredictionCol("").setPredictionCol("")
-            done = scored.transform(df).withColumn(out, vector_to_array("__prob"))
-            return done.drop("__prob")
-        parts = []
-        for i, model in enumerate(self.models):
-            scorer = model.setFeaturesCol(features).setProbabilityCol("__prob").setRawPredictionCol("").setPredictionCol("")
-            df = scorer.transform(df).withColumn(f"__c{i}", vector_to_array("__prob")[1]).drop("__prob")
-            parts.append(F.col(f"__c{i}"))
-        if self.classes == 2:
-            value = F.array(F.lit(1.0) - parts[0], parts[0])
-        else:
-            total = sum(parts[1:], parts[0])
-            value = F.array(*[F.try_divide(p, total) for p in parts])
-        return df.withColumn(out, value).drop(*[f"__c{i}" for i in range(len(self.models))])
+        model = self.models[0]
+        if isinstance(model, TreeModel):
+            return model.probabilities(df, features, out)
+        scored = model.setFeaturesCol(features).setProbabilityCol("__prob").setRawPredictionCol("").setPredictionCol("")
+        return scored.transform(df).withColumn(out, vector_to_array("__prob")).drop("__prob")
 
 
 def train_base(name: str, df: DataFrame, classes: int, seed: int = 42, **overrides) -> BaseModel:
-    """ML9-11: one base model on columns features / y / weight.
-
-    Extra trees: whole rows without bootstrap and random feature subsets;
-    random split thresholds do not exist in Spark's trees.
-    """
-    common = {"featuresCol": "features", "labelCol": "y", "seed": seed}
-    if name in ("random_forest", "extra_trees"):
-        params = {**FOREST, **overrides}
+    """ML9-11: one base model on columns features / y / weight (and row_key, by which boosting takes part of the rows)."""
+    if name == "random_forest":
         estimator = RandomForestClassifier(
-            **common, weightCol="weight", bootstrap=name == "random_forest", featureSubsetStrategy="sqrt", **params
+            featuresCol="features", labelCol="y", seed=seed, weightCol="weight", featureSubsetStrategy="sqrt", **{**FOREST, **overrides}
         )
         return BaseModel(name, classes, [estimator.fit(df)])
-    if name != "gbt":
-        raise ValueError(f"unsupported model: {name}")
-    params = {**BOOSTED, **overrides}
-    targets = [1] if classes == 2 else range(classes)
-    fitted = []
-    for code in targets:
-        one = df.withColumn("__is", (F.col("y") == code).cast("double"))
-        fitted.append(GBTClassifier(featuresCol="features", labelCol="__is", seed=seed, **params).fit(one))
-    return BaseModel(name, classes, fitted)
+    if name == "extra_trees":
+        size = {**FOREST, **overrides}
+        return BaseModel(name, classes, [fit_extra_trees(df, classes, seed, size["numTrees"], size["maxDepth"])])
+    if name == "gbt":
+        size = {**BOOSTED, **overrides}
+        model = fit_boosted(df, classes, seed, size["maxIter"], size["maxDepth"], size["stepSize"], size["subsamplingRate"])
+        return BaseModel(name, classes, [model])
+    raise ValueError(f"unsupported model: {name}")
 
 
 def _argmax(p: Column) -> Column:
@@ -226,7 +203,7 @@ class Ensemble:
             profile.categories = spark.read.parquet(f"{path}/categories")
         bases = []
         for i, part in enumerate(head["bases"]):
-            kind = GBTClassificationModel if part["name"] == "gbt" else RandomForestClassificationModel
+            kind = RandomForestClassificationModel if part["name"] == "random_forest" else TreeModel
             models = [kind.load(f"{path}/models/{i}-{k}") for k in range(part["models"])]
             bases.append(BaseModel(part["name"], head["classes"], models))
         meta = LogisticRegressionModel.load(f"{path}/meta") if head["stacked"] else None

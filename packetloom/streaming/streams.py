@@ -110,8 +110,10 @@ def _session_records(sums: DataFrame) -> DataFrame:
     n = "(total_fwd_packets + total_backward_packets)"
     total = "(total_length_of_fwd_packets + total_length_of_bwd_packets)"
     spread = (
-        f"double(cast({n} AS DECIMAL(12,0)) * cast(len_sq AS DECIMAL(26,0)) "
-        f"- cast({total} AS DECIMAL(19,0)) * cast({total} AS DECIMAL(19,0)))"
+        f"coalesce(double(try_cast({n} AS DECIMAL(12,0)) * try_cast(len_sq AS DECIMAL(26,0)) "
+        f"- try_cast({total} AS DECIMAL(19,0)) * try_cast({total} AS DECIMAL(19,0))), "
+        # Sums beyond the decimal range fall back to doubles.
+        f"greatest(double({n}) * double(len_sq) - double({total}) * double({total}), 0D))"
     )
     counts = [c for c in SESSION_SUMS if c != "len_sq"]
     return sums.selectExpr(
