@@ -375,9 +375,10 @@ def test_fit_takes_one_row_per_id(llm_spark):
 
 @pytest.mark.parametrize("name", ["__row", "__ROW"])
 def test_filters_keep_a_column_of_any_name(llm_spark, name):
-    rows = [(i, f"text number {i} with a few words of its own {i * 7}", i * 10) for i in range(20)]
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(12)), i * 10) for i in range(20)]
     docs = made(llm_spark, rows, f"doc_id bigint, text string, {name} bigint")
-    benchmark = llm_spark.createDataFrame([(1, "text number 3 with a few words of its own 21")], "item_id bigint, text string")
+    benchmark = llm_spark.createDataFrame([(1, rows[3][1])], "item_id bigint, text string")
     left = decontaminate.drop_contaminated(docs, benchmark)
     assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == [r for r in rows if r[0] != 3]
     assert sorted(map(tuple, simhash.drop_near_duplicates(docs).collect())) == rows
