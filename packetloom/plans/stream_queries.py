@@ -22,7 +22,7 @@ from packetloom.session import ensure_checkpoint_dir
 from packetloom.sources import sinks
 from packetloom.sources.adapters import ADAPTER_SQL, adapter, oracle_cte
 from packetloom.sources.growing_csv import open_path, read_growing_csv
-from packetloom.streaming import ordered_sessions, streams
+from packetloom.streaming import model_versions, ordered_sessions, streams
 
 
 def _scratch(spark) -> str:
@@ -363,6 +363,39 @@ def batch_scoring(spark, sf_dir):
     )
 
 
+# Sizes in eleven steps, all of which a forest's bins tell apart: SQL knows the label that the first model must give,
+# and that the second training run, whose labels are exchanged, must give the other one.
+STEP, HALF = 100, 5
+EXCHANGED = (
+    f"{oracle_cte('cic_rows')}, m AS (SELECT row_id, CASE WHEN row_id % 2 = 0 THEN 1 ELSE 2 END AS version, "
+    f"floor(coalesce(packet_length_mean, 0) / {STEP}) > {HALF} AS large FROM cic_rows) "
+    "SELECT row_id, version AS model_version, CASE WHEN large = (version = 1) THEN 'SYN' ELSE 'BENIGN' END AS prediction_label, "
+    "large = (version = 1) AS is_attack FROM m"
+)
+
+
+@query("stream_model_scoring", EXCHANGED)
+def stream_model_scoring(spark, sf_dir):
+    """STR5, STR9: a stream scored by the newest stored ensemble, with a retraining between its two halves."""
+    root = _scratch(spark)
+    size = F.floor(F.coalesce("packet_length_mean", F.lit(0.0)) / STEP)
+    rows = adapter(spark, sf_dir, "cic_rows").select("row_id", "source_file", (size > HALF).alias("large"), size.alias("size"), "dst_port")
+    for version in (1, 2):
+        known = rows.withColumn("label", F.when(F.col("large") == F.lit(version == 1), "SYN").otherwise("BENIGN"))
+        model = streams.retrain(known, "source_file", "label", ["row_id"], ["size", "dst_port"], 5_000, models="rf", params=SMALL)
+        model_versions.publish(model, f"{root}/models")
+        arrived = rows.where(F.pmod("row_id", F.lit(2)) == version - 1).drop("large")
+        arrived.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(arrived.schema).parquet(f"{root}/in")
+        model_versions.start_versioned_scoring(
+            stream, f"{root}/models", f"{root}/out", f"{root}/checkpoint", ["row_id"], available_now=True
+        ).awaitTermination()
+    shown = "row_id bigint, model_version bigint, prediction_label string, is_attack boolean"
+    return spark.read.schema(shown).option("pathGlobFilter", "*.json").json(f"{root}/out").select(
+        "row_id", "model_version", "prediction_label", "is_attack"
+    )
+
+
 @query("retrain_window", f"{oracle_cte('cic_rows')}, f AS (SELECT source_file, least(count(*), 5000) AS n FROM cic_rows GROUP BY 1), "
        "w AS (SELECT least(sum(n), 20000) AS n FROM f) SELECT (SELECT count(DISTINCT label) FROM cic_rows) AS classes, "
        "ceil(n * 0.2)::BIGINT AS test_rows, TRUE AS metrics_bounded FROM w")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetloom.operators.models import Ensemble, train_pipeline
+from packetloom.streaming import model_versions
 
 PARAMS = {"random_forest": {"numTrees": 5, "maxDepth": 4}, "gbt": {"maxIter": 3, "maxDepth": 3}, "meta_iter": 10}
 
@@ -54,3 +55,27 @@ def test_saved_ensemble_predicts_alike(spark, rows, tmp_path):
     assert pick(model) == pick(loaded)
     with pytest.raises(Exception, match="exists"):
         model.save(str(tmp_path / "m"))
+
+
+def test_replayed_batch_keeps_its_version_and_an_uncommitted_folder_is_no_version(spark, rows, tmp_path):
+    root, notes = str(tmp_path / "models"), str(tmp_path / "notes")
+    with pytest.raises(ValueError, match="no ensemble"):
+        model_versions.version_scorer(root, notes)(rows, 0)
+    exchanged = rows.withColumn("label", F.when(F.col("label") == "quiet", "loud").otherwise("quiet"))
+    first, second = (
+        train_pipeline(r, "label", ["id"], ["size"], models="rf", params=PARAMS) for r in (rows, exchanged)
+    )
+    assert model_versions.publish(first, root) == 1
+    score = model_versions.version_scorer(root, notes)
+    pick = lambda df: {(r["id"], r["prediction_label"], r["model_version"]) for r in df.collect()}
+    before = pick(score(rows, 0))
+    assert {v for _, _, v in before} == {1}
+    # Stored, but its run died before the row that commits it.
+    second.save(f"{root}/ensembles/2-dead")
+    assert pick(score(rows, 1)) == before
+    assert model_versions.publish(second, root) == 2
+    other = {True: "quiet", False: "loud"}
+    assert pick(score(rows, 2)) == {(i, other[label == "loud"], 2) for i, label, _ in before}
+    # Replays of the earlier batches, by a restarted job as well, score as they did.
+    assert pick(score(rows, 1)) == before
+    assert pick(model_versions.version_scorer(root, notes)(rows, 0)) == before
