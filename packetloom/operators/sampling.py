@@ -2,9 +2,9 @@
 
 Row order of files has no counterpart in a distributed table, so order is the
 md5 of a seed and the key columns. The hash prefix gives evenly filled
-buckets whatever the group sizes: counts per (group, bucket) tell which
-buckets are wanted as a whole, and only the one bucket at the cut needs a
-rank. No group is ever sorted as a whole.
+buckets: counts per (group, bucket) tell which buckets are wanted as a whole,
+and only the one bucket at the cut needs a rank, or a finer count if it is
+large. No group is ever sorted as a whole.
 """
 
 from __future__ import annotations
@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from packetloom.operators.sizing import small
+from packetloom.session import ensure_checkpoint_dir
 
 # Largest n that Spark's group limit prunes before the shuffle (see session.py).
 PRUNED_N = 1_000
+# Rows of one bucket that a task may rank; larger ones are counted by more digits.
+EDGE_ROWS = 100_000
+# Hex digits counted at a time, and those of the order hash and of the row hash behind it.
+DIGITS, HASH_DIGITS, ROW_DIGITS = 4, 32, 16
 
 
 def _left_null_safe(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
@@ -34,39 +39,78 @@ def order_hash(seed: str | int, keys: list[str]) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 
+def _counted(work: DataFrame, by: list[str], digits: Column) -> DataFrame:
+    return work.groupBy(*by, digits.alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
+
+
+def _cut_buckets(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Per group the bucket ``__b`` of ``__c`` rows that holds its ``__want``-th row.
+
+    Returns the group, ``__cut`` (hash prefix of the bucket), ``__need`` (rows
+    wanted of it) and ``__size`` (its rows). A group with fewer rows has none.
+    """
+    upto = F.sum("__c").over(W.partitionBy(*by).orderBy("__b"))
+    return (
+        counts.withColumn("__upto", upto)
+        .where(F.col("__upto") >= F.col("__want"))
+        .groupBy(*by)
+        .agg(
+            F.min("__b").alias("__cut"),
+            F.min_by(F.col("__want") - F.col("__upto") + F.col("__c"), "__b").alias("__need"),
+            F.min_by("__c", "__b").alias("__size"),
+        )
+    )
+
+
+def _held(cut: DataFrame) -> DataFrame:
+    """One row per group, computed once and broadcast within the bound."""
+    ensure_checkpoint_dir(cut.sparkSession)
+    return small(cut.checkpoint())
+
+
 def mark_per_group(
-    df: DataFrame, group: list[str], keys: list[str], n: int | DataFrame, seed: str | int = 0, out: str = "taken"
+    df: DataFrame, group: list[str], keys: list[str], n: int | DataFrame, seed: str | int = 0, out: str = "taken",
+    edge_rows: int = EDGE_ROWS,
 ) -> DataFrame:
     """Flag the first ``n`` rows of every group in hash order.
 
     ``n`` is a number or a table (group columns, ``n``); a group absent from
     the table gets none. ``group=[]`` selects over the whole table. Null keys
     form a group of their own.
+
+    A bucket at the cut with more than ``edge_rows`` rows is counted again by
+    its next hash digits, so no task ranks more than that, however large a
+    group is. Rows that repeat the same keys have the same hash; a hash of the
+    whole row parts them. Only rows alike in every column (maps aside) stay
+    together, and of those any will do.
     """
-    work = df.withColumn("__h", order_hash(seed, keys)).withColumn(
-        "__b", F.conv(F.substring("__h", 1, 4), 16, 10).cast("int")
-    )
+    work = df.withColumn("__h", order_hash(seed, keys))
     by = list(group)
     if not by:
         work, by = work.withColumn("__all", F.lit(0)), ["__all"]
-    counts = work.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    counts = _counted(work, by, F.substring("__h", 1, DIGITS))
     if isinstance(n, DataFrame):
-        counts = _left_null_safe(counts, n.select(*by, F.col("n").alias("__want")), by).fillna(0, ["__want"])
+        counts = _left_null_safe(counts, n.select(*by, F.col("n").cast("bigint").alias("__want")), by).fillna(0, ["__want"])
     else:
         counts = counts.withColumn("__want", F.lit(int(n)).cast("bigint"))
-    upto = F.sum("__c").over(W.partitionBy(*by).orderBy("__b"))
-    cut = (
-        counts.withColumn("__upto", upto)
-        .where(F.col("__upto") >= F.col("__want"))
-        .groupBy(*by)
-        .agg(
-            F.min("__b").alias("__cut"),
-            F.min_by(F.col("__want") - F.col("__upto") + F.col("__c"), "__b").alias("__need"),
-        )
-    )
+    cut = _held(_cut_buckets(counts, by))
+    length, wide = DIGITS, (F.col("__size") > edge_rows) & F.col("__need").between(1, F.col("__size") - 1)
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    while length < HASH_DIGITS + ROW_DIGITS and not cut.where(wide).isEmpty():
+        if length == HASH_DIGITS:
+            work = work.withColumn("__h", F.concat("__h", F.lpad(F.hex(F.xxhash64(*plain)), ROW_DIGITS, "0")))
+        inside = _left_null_safe(work, cut.where(wide), by).where(F.col("__h").startswith(F.col("__cut")))
+        finer = F.concat("__cut", F.substring("__h", length + 1, DIGITS))
+        narrowed = _counted(inside, [*by, "__need"], finer).withColumnRenamed("__need", "__want")
+        cut = _held(cut.where(~wide).unionByName(_cut_buckets(narrowed, by)))
+        length += DIGITS
     joined = _left_null_safe(work, cut, by)
-    at_cut = F.coalesce(F.col("__b") == F.col("__cut"), F.lit(False))
-    clear = joined.where(~at_cut).withColumn(out, F.col("__cut").isNull() | (F.col("__b") < F.col("__cut")))
+    at_cut = F.coalesce(F.col("__h").startswith(F.col("__cut")) & F.col("__need").between(1, F.col("__size") - 1), F.lit(False))
+    # A whole bucket at the cut is taken or left without a rank.
+    whole = F.col("__h").startswith(F.col("__cut")) & (F.col("__need") >= F.col("__size"))
+    clear = joined.where(~at_cut).withColumn(
+        out, F.col("__cut").isNull() | whole | (~F.col("__h").startswith(F.col("__cut")) & (F.col("__h") < F.col("__cut")))
+    )
     rank = F.row_number().over(W.partitionBy(*by).orderBy("__h", *keys))
     edge = joined.where(at_cut).withColumn(out, rank <= F.col("__need"))
     return clear.unionByName(edge).select(*df.columns, out)

@@ -38,6 +38,32 @@ def test_selection_matches_full_sort(spark):
         assert {(r["g"], r["id"]) for r in marked.collect()} == want
 
 
+@pytest.mark.parametrize("edge_rows", [1, 40])
+def test_selection_narrows_large_buckets_to_the_same_rows(spark, edge_rows):
+    """Bounds far below the bucket sizes: finer digits, groups cut at different depths, null and short groups."""
+    df = spark.range(4000).selectExpr("id", "if(id % 10 < 7, 'hot', if(id % 10 = 7, NULL, concat('g', id % 3))) AS g")
+    rows = [(r["h"], r["g"], r["id"]) for r in df.withColumn("h", sampling.order_hash(5, ["id"])).collect()]
+    quota = spark.createDataFrame([("hot", 1234), (None, 17), ("g0", 0), ("g1", 10_000)], "g string, n bigint")
+    limits = {"hot": 1234, None: 17, "g0": 0, "g1": 10_000, "g2": 0}
+    want = {i for g, k in limits.items() for _, _, i in sorted((r for r in rows if r[1] == g), key=lambda r: (r[0], r[2]))[:k]}
+    got = sampling.mark_per_group(df, ["g"], ["id"], quota, 5, edge_rows=edge_rows)
+    assert {r["id"] for r in got.where("taken").collect()} == want and got.count() == 4000
+    overall = sampling.mark_per_group(df, [], ["id"], 999, 5, edge_rows=edge_rows)
+    assert {r["id"] for r in overall.where("taken").collect()} == {i for _, _, i in sorted(rows, key=lambda r: (r[0], r[2]))[:999]}
+
+
+def test_rows_that_repeat_their_keys_are_parted_by_the_whole_row(spark):
+    df = spark.range(900).selectExpr("1 AS k", "id", "map('a', id) AS m")
+    ranked = sampling.mark_per_group(df, [], ["k"], 321, 5, edge_rows=3)
+    taken = {r["id"] for r in ranked.where("taken").collect()}
+    assert len(taken) == 321 and ranked.count() == 900
+    again = sampling.mark_per_group(df.repartition(5), [], ["k"], 321, 5, edge_rows=3)
+    assert {r["id"] for r in again.where("taken").collect()} == taken
+    # Rows alike in every column stay together, and their number is still exact.
+    alike = spark.range(900).selectExpr("1 AS k")
+    assert sampling.mark_per_group(alike, [], ["k"], 321, 5, edge_rows=3).where("taken").count() == 321
+
+
 @pytest.mark.parametrize("n", [1000, 1001])
 def test_null_groups_are_selected_like_others(spark, n):
     df = spark.range(3000).selectExpr("id", "cast(NULL AS string) AS g")
