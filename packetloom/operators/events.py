@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from packetloom import constants as K
 from packetloom.functions.labels import event_severity, is_attack_label
@@ -51,18 +52,30 @@ def last_event(events: DataFrame) -> DataFrame:
     return events.orderBy(F.desc("ts"), F.desc("event_uid")).limit(1)
 
 
-def event_summary(events: DataFrame) -> DataFrame:
-    """AGG1: one row of totals, label and source maps, and the last event."""
+def event_summary(events: DataFrame, top: int | None = None) -> DataFrame:
+    """AGG1: one row of totals, label and source maps, and the last event.
+
+    With ``top`` the maps hold that many keys with the most events (ties by
+    key), and ``other_label_events`` and ``other_source_events`` say how many
+    events the rest have, so the row stays small however many sources there
+    are; ``event_counters`` has every key as a row. The top keys are found by
+    a rank that Spark prunes in every task, not by sorting all keys.
+    """
     counters = event_counters(events)
+    if top is not None:
+        rank = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("n"), F.asc("key")))
+        counters = counters.withColumn("__rank", rank).where(F.col("__rank") <= top).drop("__rank")
 
     def counts_of(kind: str) -> Column:
         pair = F.when(F.col("kind") == kind, F.struct(F.coalesce("key", F.lit("")).alias("key"), "n"))
         return F.map_from_entries(F.array_sort(F.collect_list(pair)))
 
     pick = lambda name: F.coalesce(F.max(F.when(F.col("kind") == "total", F.col(name))), F.lit(0))
+    shown = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+    others = [] if top is None else [(pick("n") - shown(k)).alias(f"other_{k}_events") for k in ("label", "source")]
     totals = counters.agg(
         pick("n").alias("total_events"), pick("attacks").alias("attack_events"),
-        counts_of("label").alias("labels"), counts_of("source").alias("sources"),
+        counts_of("label").alias("labels"), counts_of("source").alias("sources"), *others,
     )
     newest = last_event(events).select(F.struct("*").alias("last_event"), F.lit(1).alias("__one"))
     return (
@@ -72,7 +85,7 @@ def event_summary(events: DataFrame) -> DataFrame:
             "total_events", "attack_events",
             (F.col("total_events") - F.col("attack_events")).alias("benign_events"),
             safe_div(F.col("attack_events"), F.col("total_events")).alias("attack_ratio"),
-            "labels", "sources", "last_event",
+            "labels", "sources", *(["other_label_events", "other_source_events"] if others else []), "last_event",
         )
     )
 

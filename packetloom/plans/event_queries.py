@@ -36,6 +36,10 @@ def event_counters(spark, sf_dir):
     return log.event_counters(_events(spark, sf_dir))
 
 
+def _map_text(c):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+
+
 @query(
     "event_summary",
     f"""{D}, l AS (SELECT string_agg(k || '=' || n, ',' ORDER BY k) AS labels FROM (SELECT prediction_label AS k, count(*) AS n FROM e GROUP BY 1)),
@@ -47,16 +51,34 @@ SELECT count(*) AS total_events, count(*) FILTER (is_attack) AS attack_events, c
 )
 def event_summary(spark, sf_dir):
     """AGG1: one-row summary with maps and the last event."""
-    def text(c):
-        return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
-
     out = log.event_summary(_events(spark, sf_dir))
     return rounded(out.select(
-        "total_events", "attack_events", "benign_events", "attack_ratio", text("labels").alias("labels"), text("sources").alias("sources"),
+        "total_events", "attack_events", "benign_events", "attack_ratio", _map_text("labels").alias("labels"), _map_text("sources").alias("sources"),
         F.col("last_event.event_uid").alias("last_uid"), F.unix_micros("last_event.ts").alias("last_us"),
     ))
 
 
+TOP = 5
+
+
+def _top_sql(key):
+    return (
+        f"SELECT string_agg(k || '=' || n, ',' ORDER BY k) AS shown, sum(n)::BIGINT AS n FROM "
+        f"(SELECT {key} AS k, count(*) AS n FROM e GROUP BY 1 ORDER BY n DESC, k LIMIT {TOP})"
+    )
+
+
+@query(
+    "event_summary_top",
+    f"""{D}, l AS ({_top_sql("prediction_label")}), s AS ({_top_sql("right(event_uid, 2)")}), t AS (SELECT count(*) AS total_events FROM e)
+SELECT total_events, l.shown AS labels, s.shown AS sources, total_events - l.n AS other_label_events, total_events - s.n AS other_source_events FROM t, l, s""",
+)
+def event_summary_top(spark, sf_dir):
+    """AGG1: the one-row summary with a bound on its maps, over sources as many as the ends of event ids."""
+    out = log.event_summary(_events(spark, sf_dir).withColumn("source", F.expr("right(event_uid, 2)")), top=TOP)
+    return out.select("total_events", _map_text("labels").alias("labels"), _map_text("sources").alias("sources"), "other_label_events", "other_source_events")
+
+
 @query("event_recent", f"{D} SELECT event_uid, us, prediction_label, severity FROM e ORDER BY us DESC, event_uid DESC LIMIT 100")
 def event_recent(spark, sf_dir):
     """WIN2: the newest events."""
