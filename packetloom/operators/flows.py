@@ -15,11 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom import constants as K
+from packetloom.operators.skew import SLICE_US, sliced
 from packetloom.session import ensure_checkpoint_dir
 
-# Time covered by one slice. Ten seconds of one flow, or of one capture in
-# capture scope, are what a task sorts at most.
-SLICE_US = 10_000_000
 FLOW_KEY = ["capture_id", "lo_ip", "lo_port", "hi_ip", "hi_port", "proto"]
 IAT = ["flow_iat", "fwd_iat", "bwd_iat"]
 LENGTHS = ["fwd_len", "bwd_len", "all_len"]
@@ -317,17 +315,25 @@ def _records(agg: DataFrame) -> DataFrame:
     return agg.selectExpr("capture_id", *[f"{out[c]} AS {c}" for c in FLOW_COLUMNS[1:]])
 
 
-def build_flows(packets: DataFrame, iat_scope: str = "flow", slice_us: int = SLICE_US) -> DataFrame:
+def build_flows(
+    packets: DataFrame, iat_scope: str = "flow", slice_us: int = SLICE_US, slice_rows: int | None = None
+) -> DataFrame:
     """FLW0-16: one record per capture, endpoint pair and protocol.
 
     ``iat_scope="capture"`` measures the flow-wide gaps against the previous
     packet of the whole capture. ``slice_us`` sets the time one task sorts at
     once; results do not depend on it.
+
+    ``slice_rows`` bounds the packets of a slice too, for floods and captures
+    with bursts: the packets per slice are counted first, from the keys and
+    times alone, and fuller slices are cut by their load. Without it packets
+    are read once.
     """
     if iat_scope not in ("flow", "capture"):
         raise ValueError(f"unknown iat_scope: {iat_scope}")
-    keyed = with_flow_key(packets).withColumn("__slice", F.expr(f"ts_us div {int(slice_us)}L"))
     own = iat_scope == "flow"
+    keys = FLOW_KEY if own else ["capture_id"]
+    keyed = sliced(with_flow_key(packets), keys, "ts_us", slice_us, slice_rows, "pkt_no")
     return flow_records(_stitched(_slices(flow_measures(keyed), own), own))
 
 

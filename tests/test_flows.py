@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from packetloom.operators import skew
-from packetloom.operators.flows import FLOW_COLUMNS, build_flows, flow_totals
+from packetloom.operators.flows import FLOW_COLUMNS, FLOW_KEY, build_flows, flow_totals, with_flow_key
 from packetloom.sources.adapters import adapter
 
 
@@ -104,3 +104,38 @@ def test_year_long_gap_in_a_hot_flow(spark):
     whole, cut = build_flows(packets, slice_us=10**17).first(), build_flows(packets).first()
     assert cut["flow_iat_std"] == pytest.approx(whole["flow_iat_std"], rel=1e-6)
     assert cut["flow_iat_max"] == whole["flow_iat_max"]
+
+
+def burst(spark):
+    """Nine of ten packets of the capture lie inside one second, a third of those inside one microsecond."""
+    return spark.range(6000).selectExpr(
+        "if(id % 50 = 0, NULL, 'c') AS capture_id", "id AS pkt_no",
+        "timestamp_micros(1700000000000000 + if(id % 10 = 0, id * 31000, if(id % 3 = 0, 5000007, 5000000 + id * 150))) AS ts",
+        "if(id % 4 = 0, '10.0.0.1', '10.0.0.2') AS src_ip", "if(id % 4 = 0, 80, 5000) AS src_port",
+        "if(id % 4 = 0, '10.0.0.2', '10.0.0.1') AS dst_ip", "if(id % 4 = 0, 5000, 80) AS dst_port",
+        "if(id % 7 = 0, 17, 6) AS proto", "20 AS hdr_len", "int(20 + id % 100) AS pkt_len", "2 AS tcp_flags",
+        "int(id % 9999) AS tcp_win",
+    )
+
+
+@pytest.mark.parametrize("scope", ["flow", "capture"])
+@pytest.mark.parametrize("slice_us", [10**7, 12_345_678])
+def test_burst_is_cut_by_its_load(spark, scope, slice_us):
+    """No slice of a burst has twice the bound of packets, and the records stay the same."""
+    packets = burst(spark)
+    assert rows(build_flows(packets, scope, slice_us, 100)) == rows(build_flows(packets, scope, slice_us=10**17))
+    keys = FLOW_KEY if scope == "flow" else ["capture_id"]
+    cut = skew.sliced(with_flow_key(packets), keys, "ts_us", slice_us, 100, "pkt_no")
+    assert cut.count() == packets.count()
+    counts = [r["count"] for r in cut.groupBy(*keys, "__slice").count().collect()]
+    assert max(counts) < 200 and len(counts) < 500
+    whole = skew.sliced(with_flow_key(packets), keys, "ts_us", slice_us).groupBy(*keys, "__slice").count()
+    assert whole.agg({"count": "max"}).first()[0] > 1000
+
+
+@pytest.mark.parametrize("rows_of_slice", [1, 3, 10**6])
+def test_lag_in_slices_by_load(spark, rows_of_slice):
+    df = spark.range(400).selectExpr("if(id % 3 = 0, NULL, 'k') AS k", "(id * id) % 97 - 40 AS us", "id")
+    plain = skew.lag_in_groups(df, ["k"], "us", ["id"], "before", 10**17).collect()
+    cut = skew.lag_in_groups(df, ["k"], "us", ["id"], "before", 10, rows_of_slice).collect()
+    assert sorted(map(str, cut)) == sorted(map(str, plain))
