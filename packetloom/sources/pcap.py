@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from packetloom.functions.labels import file_stem
+from packetloom.operators.sizing import small
+from packetloom.session import ensure_checkpoint_dir
 
 CHUNK_BYTES = 64 * 1024 * 1024
 BLOCK_BYTES = 8 * 1024 * 1024
@@ -26,6 +28,8 @@ RESYNC_RECORDS = 16
 MAX_RECORD = 262_144
 FILE_HEADER = 24
 RECORD_HEADER = 16
+# Ranges that a walk over unproved ground passes before it is taken up by another task.
+REACH = 256
 
 # Capture magics -> (byte order, fraction units per microsecond)
 MAGICS = {
@@ -36,6 +40,9 @@ RAW_SCHEMA = (
     "path string, pkt_no bigint, ts_us bigint, src_v4 bigint, src_v6 string, src_port int, dst_v4 bigint, "
     "dst_v6 string, dst_port int, proto int, hdr_len int, pkt_len int, tcp_flags int, tcp_win int"
 )
+# Packets with the stretch they belong to, and one row without a packet per
+# stretch: where it begins (null: nowhere) and where the next one would.
+STRETCHES = "part bigint, entry bigint, next bigint"
 
 
 def _open(path: str):
@@ -78,12 +85,13 @@ def _resync(data: bytes, order: str, at_end: bool) -> int | None:
 def _walk(stream, order: str, start: int, stop: int, size: int) -> Iterator[tuple[int, bytes, list[int]]]:
     """(block offset, block, record offsets in the block) until a record at or past ``stop``.
 
-    The block grows until the next record fits. A record that reaches past the
-    file's end is cut short there, as the file is.
+    The block grows until the next record fits, and the last one ends a record
+    behind ``stop``. A record that reaches past the file's end is cut short
+    there, as the file is.
     """
-    at, block = start, BLOCK_BYTES
+    at, block = start, 0
     while at < stop:
-        data = stream.read_at(min(block, size - at), at)
+        data = stream.read_at(min(block or min(BLOCK_BYTES, stop - at + RECORD_HEADER + MAX_RECORD), size - at), at)
         offsets, pos = [], 0
         while at + pos < stop and pos + RECORD_HEADER <= len(data):
             cap = struct.unpack_from(order + "I", data, pos + 8)[0]
@@ -95,51 +103,102 @@ def _walk(stream, order: str, start: int, stop: int, size: int) -> Iterator[tupl
             if at + len(data) >= size:
                 return
             cap = struct.unpack_from(order + "I", data, 8)[0]
-            block = max(2 * block, RECORD_HEADER + cap)
+            block = max(2 * len(data), RECORD_HEADER + cap)
             continue
         yield at, data, offsets
-        at, block = at + pos, BLOCK_BYTES
+        at, block = at + pos, 0
 
 
-def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Guess the first record of each range and follow it to the next range."""
+def _stretch(stream, path: str, layout: tuple[str, int], part: int, entry: int, stop: int, size: int, others: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Packets from ``entry`` to the first record at or past ``stop`` or among ``others``, then the stretch's own row."""
+    order, unit = layout
+    at_end = entry
+    for at, data, offsets in _walk(stream, order, entry, stop, size):
+        met = np.flatnonzero(np.isin(np.asarray(offsets, dtype=np.int64) + at, others))
+        inside = offsets[: met[0]] if len(met) else offsets
+        if inside:
+            yield _decode(path, at, data, inside, order, unit).assign(part=part, entry=entry, next=None)
+        if len(met):
+            at_end = at + offsets[met[0]]
+            break
+        at_end = at + offsets[-1] + RECORD_HEADER + struct.unpack_from(order + "I", data, offsets[-1] + 8)[0]
+    yield _own_row(path, part, entry, at_end if entry < at_end <= size - RECORD_HEADER else None)
+
+
+def _own_row(path: str, part: int, entry: int | None, following: int | None) -> pd.DataFrame:
+    row = {"path": path, "part": part, "entry": entry, "next": following}
+    names = [field.split()[0] for field in f"{RAW_SCHEMA}, {STRETCHES}".split(", ")]
+    return pd.DataFrame({n: pd.Series([row.get(n)], dtype=object) for n in names})
+
+
+def _speculate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Guess the first record of each range and decode from there to the next range."""
     for batch in batches:
-        rows = []
         for path, part, lo, hi, size in batch[["path", "part", "lo", "hi", "size"]].itertuples(index=False):
             with _open(path) as stream:
                 if (layout := _layout(stream)) is None:
                     continue
-                order = layout[0]
-                first = FILE_HEADER if part == 0 else None
-                if first is None:
+                entry = FILE_HEADER
+                if part > 0:
                     probe = stream.read_at(min(4 * MAX_RECORD, size - lo), lo)
-                    found = _resync(probe, order, lo + len(probe) == size)
-                    first = lo + found if found is not None else -1
-                nxt = first
-                if first >= 0:
-                    for at, data, offsets in _walk(stream, order, first, hi, size):
-                        if offsets:
-                            cap = struct.unpack_from(order + "I", data, offsets[-1] + 8)[0]
-                            nxt = at + offsets[-1] + RECORD_HEADER + cap
-                rows.append((path, part, first, nxt))
-        yield pd.DataFrame(rows, columns=["path", "part", "first", "next"])
-
-
-def _sequential(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First record at or after every range start, from the file's beginning."""
+                    found = _resync(probe, layout[0], lo + len(probe) == size)
+                    entry = hi if found is None else lo + found
+                if entry < hi:
+                    yield from _stretch(stream, path, layout, part, entry, hi, size, np.empty(0, dtype=np.int64))
+                else:
+                    yield _own_row(path, part, None, None)
+
+
+def _read_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Decode from where a stretch ended without a guess until a guess is met."""
     for batch in batches:
-        rows = []
-        for path, size, chunk in batch[["path", "size", "chunk"]].itertuples(index=False):
+        for path, part, entry, stop, size, guesses in batch[["path", "part", "entry", "stop", "size", "guesses"]].itertuples(index=False):
             with _open(path) as stream:
-                if (layout := _layout(stream)) is None:
-                    continue
-                order, part = layout[0], 0
-                for at, _, offsets in _walk(stream, order, FILE_HEADER, size, size):
-                    for pos in offsets:
-                        while at + pos >= part * chunk:
-                            rows.append((path, part, at + pos))
-                            part += 1
-        yield pd.DataFrame(rows, columns=["path", "part", "first"])
+                others = np.asarray([] if guesses is None else guesses, dtype=np.int64)
+                yield from _stretch(stream, path, _layout(stream), part, entry, stop, size, others)
+
+
+def _off_chain(stretches: pd.DataFrame) -> pd.DataFrame:
+    """Stretches of one file that the chain of records from the file's header does not pass."""
+    following = dict(zip(stretches["entry"], stretches["next"], strict=True))
+    at, passed = FILE_HEADER, set()
+    while at in following and at not in passed:
+        passed.add(at)
+        at = following[at]
+    return stretches.loc[~stretches["entry"].isin(passed), ["path", "entry"]]
+
+
+def _cut_packets(cut: DataFrame, chunk: int) -> DataFrame:
+    """Raw packets of the ranges (path, part, lo, hi, size) of large files.
+
+    Every range is decoded once from the record that is guessed to be its
+    first. A stretch that ends where no other begins is read on, all such
+    places at once, until it meets a guess. Then each file's chain of stretches
+    from its header tells which of them hold; packets of the others go.
+    """
+    ensure_checkpoint_dir(cut.sparkSession)
+    spread = max(cut.sparkSession.sparkContext.defaultParallelism, 1) * 4
+    schema = f"{RAW_SCHEMA}, {STRETCHES}"
+    read = cut.repartition(spread, "path", "part").mapInPandas(_speculate, schema).checkpoint()
+    own = read.where("pkt_no IS NULL").select("path", "part", "entry", "next")
+    ahead = W.partitionBy("path").orderBy("part").rowsBetween(0, REACH - 1)
+    guesses = own.select("path", "part", F.collect_list("entry").over(ahead).alias("guesses"))
+    sizes = cut.where("part = 0").select("path", "size")
+    stretches = own.where("entry IS NOT NULL").select("path", "entry", "next")
+    while True:
+        ends = stretches.where("next IS NOT NULL").select("path", F.col("next").alias("entry")).distinct()
+        loose = ends.join(stretches, ["path", "entry"], "left_anti").checkpoint()
+        if loose.isEmpty():
+            break
+        part = F.expr(f"entry div {chunk}L")
+        taken = loose.withColumn("part", part).join(sizes, "path").join(guesses, ["path", "part"], "left")
+        taken = taken.withColumn("stop", F.least("size", (F.col("part") + REACH) * chunk))
+        more = taken.repartition(spread, "path", "entry").mapInPandas(_read_on, schema).checkpoint()
+        stretches = stretches.unionByName(more.where("pkt_no IS NULL").select("path", "entry", "next"))
+        read = read.unionByName(more)
+    wrong = stretches.groupBy("path").applyInPandas(_off_chain, "path string, entry bigint")
+    packets = read.where("pkt_no IS NOT NULL").join(small(wrong), ["path", "entry"], "left_anti")
+    return packets.drop("part", "entry", "next")
 
 
 def _be16(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -151,9 +210,13 @@ def _at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _v6_text(data: np.ndarray, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Address texts of the packets in ``mask``; each different address is written once."""
     out = np.full(len(at), None, dtype=object)
-    for i in np.flatnonzero(mask):
-        out[i] = socket.inet_ntop(socket.AF_INET6, data[at[i] : at[i] + 16].tobytes())
+    if mask.any():
+        raw = np.ascontiguousarray(data[at[mask][:, None] + np.arange(16)]).view("V16").ravel()
+        different, place = np.unique(raw, return_inverse=True)
+        texts = np.array([socket.inet_ntop(socket.AF_INET6, a.tobytes()) for a in different], dtype=object)
+        out[mask] = texts[place]
     return out
 
 
@@ -269,29 +332,19 @@ def _ranges(files: DataFrame, chunk: int) -> DataFrame:
 def packets_of(files: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
     """SRC5: packet rows of a table of files (path, size).
 
-    A large file is cut into ranges. The first record of an inner range is
-    guessed by parsing a chain of headers, and the guesses are proved: each
-    range must end where the next begins, starting at the file header. Files
-    that fail the proof are walked once from the front instead.
+    A large file is cut into ranges, each decoded from the record that is
+    guessed to be its first and kept if the chain of records from the file's
+    header passes it; only what that chain reads otherwise is read again. The
+    decoded ranges of large files are pinned by a checkpoint on the call.
     """
-    spark = files.sparkSession
     ranges = _ranges(files.where(F.col("size") > FILE_HEADER), chunk)
     single = ranges.where(F.col("size") <= chunk).withColumn("first", F.lit(FILE_HEADER).cast("bigint"))
     cut = ranges.where(F.col("size") > chunk)
-    spread = max(spark.sparkContext.defaultParallelism, 1)
-    schema = "path string, part bigint, first bigint, next bigint"
-    guessed = cut.repartition(spread * 4, "path", "part").mapInPandas(_index, schema)
-    ordered = W.partitionBy("path").orderBy("part")
-    follows = F.col("first") == F.coalesce(F.lag("next").over(ordered), F.lit(FILE_HEADER))
-    checked = guessed.withColumn("ok", follows)
-    broken = checked.groupBy("path").agg(F.min("ok").alias("ok")).where(~F.col("ok")).select("path")
-    proven = checked.join(broken, "path", "left_anti").select("path", "part", "first")
-    again = files.join(broken, "path", "left_semi").withColumn("chunk", F.lit(chunk).cast("bigint"))
-    walked = again.mapInPandas(_sequential, "path string, part bigint, first bigint")
-    starts = proven.unionByName(walked)
-    inner = cut.join(starts, ["path", "part"])
-    wanted = single.unionByName(inner).select("path", "part", "first", "hi", "size")
+    spread = max(files.sparkSession.sparkContext.defaultParallelism, 1)
+    wanted = single.select("path", "part", "first", "hi", "size")
     raw = wanted.repartition(spread * 4, "path", "part").mapInPandas(_packets, RAW_SCHEMA)
+    if not cut.isEmpty():
+        raw = raw.unionByName(_cut_packets(cut, chunk))
     text = lambda n: F.concat_ws(
         ".", *[F.shiftright(F.col(n), s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]
     )

@@ -101,6 +101,51 @@ def test_misleading_payload_falls_back(spark, tmp_path):
     assert len(got) == 40 and len({r[-1] for r in got}) == 40
 
 
+def test_damaged_capture_is_read_on_in_many_tasks(spark, tmp_path):
+    """Fake chains in some ranges, a broken length in another: the same rows as from one range, and stretches stay short."""
+    fake = b"".join(struct.pack("<IIII", 1700000000, 1, 20, 20) + b"z" * 20 for _ in range(200))
+    frames = []
+    for i in range(1500):
+        body = fake if i % 100 in (50, 51) else bytes([i % 251]) * (40 + i % 300)
+        frames.append((1700000000 + i, 0, ether(0x0800, ipv4("10.0.0.1", "10.0.0.2", 17, udp(7, 9, body)))))
+    whole = capture(frames)
+    (tmp_path / "odd.pcap").write_bytes(whole)
+    at = len(capture(frames[:1200])) + 8
+    (tmp_path / "broken.pcap").write_bytes(whole[:at] + struct.pack("<I", 5_000) + whole[at + 4 :])
+    want = decoded(pcap.read_pcap(spark, str(tmp_path)))
+    assert decoded(pcap.read_pcap(spark, str(tmp_path), chunk=6_000)) == want
+    assert len([r for r in want if r[5]]) > 2500
+
+
+def test_captures_are_read_once(spark, tmp_path, monkeypatch):
+    """Ranges read each byte once, apart from the probe at their start and the record behind their end."""
+    frames = [(1700000000 + i, 0, ether(0x86DD, ipv6(f"2001:db8::{i % 99}", "::2", 17, udp(7, 9, bytes(60_000))))) for i in range(500)]
+    path = tmp_path / "a.pcap"
+    path.write_bytes(capture(frames))
+    size, chunk, read = path.stat().st_size, 7 << 20, []
+
+    class Counted:
+        def __enter__(self):
+            self.data = path.read_bytes()
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+        def read_at(self, n, at):
+            read.append(min(n, size - at))
+            return self.data[at : at + n]
+
+    monkeypatch.setattr(pcap, "_open", lambda _: Counted())
+    files = spark.createDataFrame([(str(path), size)], "path string, size bigint")
+    ranges = pcap._ranges(files, chunk).toPandas()
+    rows = list(pcap._speculate(iter([ranges])))
+    assert sum(int(r["pkt_no"].notna().sum()) for r in rows) == 500 and len(ranges) > 3
+    assert sum(read) <= size + len(ranges) * 6 * pcap.MAX_RECORD
+    monkeypatch.undo()
+    assert pcap.packets_of(files, chunk).groupBy("src_ip").count().count() == 99
+
+
 def test_bad_files_do_not_end_the_read(spark, tmp_path):
     (tmp_path / "x.pcap").write_bytes(b"not a capture, but long enough to look")
     (tmp_path / "UPPER.PCAP").write_bytes(capture(FRAMES))
