@@ -14,6 +14,8 @@ from packetloom import constants as K
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 V4_PATTERN = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
+# The same without the line end that "$" lets pass.
+_V4_ONLY = rf"^{_OCTET}(?:\.{_OCTET}){{3}}\z"
 _GROUP_PATTERN = r"^[0-9a-f]{1,4}$"
 
 
@@ -112,11 +114,15 @@ def v6_text(c: Column) -> Column:
 
 
 def normalize_ip(c: Column) -> Column:
-    """Canonical address text, null when the value is no address."""
-    return _let(
+    """Canonical address text, null when the value is no address.
+
+    A plain dotted address, the usual case, is its own canonical text.
+    """
+    cleaned = _let(
         bare_address(c),
         lambda t: F.when(t.rlike(V4_PATTERN), t).when(F.contains(t, F.lit(":")), v6_text(t)),
     )
+    return F.when(c.rlike(_V4_ONLY), c).otherwise(cleaned)
 
 
 def is_public_ip(c: Column) -> Column:
@@ -153,7 +159,8 @@ def client_ip(headers: Column, fallback: Column | None = None) -> Column:
                 F.filter(parts, lambda p: p.rlike(r"(?i)^for=")), lambda p: F.regexp_replace(p, r"(?i)^for=\s*", "")
             )
         else:
-            entries = F.array(raw)
+            found.append(normalize_ip(raw))
+            continue
         valid = F.filter(F.transform(entries, normalize_ip), lambda ip: ip.isNotNull())
         found.append(F.get(valid, F.lit(0)))
     if fallback is not None:

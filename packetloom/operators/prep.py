@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -222,9 +223,19 @@ def fit_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     ranks, a second counts the values below and between them, and histograms of
     what lies between (a few thousandths of the rows) settle the rest: each
     such pass counts equal-width buckets for all open columns and brings back
-    the one or two buckets of interest per column.
+    the one or two buckets of interest per column. The columns are parsed once
+    and kept on the executors' disks for the later passes; what is lost with an
+    executor is parsed again.
     """
-    values = [null_if_not_finite(_q(c).cast("double")) for c in columns]
+    parsed = df.select(*[null_if_not_finite(_q(c).cast("double")).alias(c) for c in columns]).persist(StorageLevel.DISK_ONLY)
+    try:
+        return _medians(parsed, columns)
+    finally:
+        parsed.unpersist()
+
+
+def _medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    values = [_q(c) for c in columns]
     around = F.array(F.lit(0.5 - MIDDLE_SHARE), F.lit(0.5 + MIDDLE_SHARE))
     aggs = []
     for i, v in enumerate(values):
@@ -267,7 +278,7 @@ def _narrow(
     names = list(state)
     top = HISTOGRAM_BUCKETS - 1
     cells = [
-        F.struct(F.lit(i).alias("i"), null_if_not_finite(_q(c).cast("double")).alias("v")) for i, c in enumerate(names)
+        F.struct(F.lit(i).alias("i"), _q(c).alias("v")) for i, c in enumerate(names)
     ]
     wanted = df.sparkSession.createDataFrame(
         [(i, *state[c]) for i, c in enumerate(names)], "i int, lo double, hi double, k1 bigint, k2 bigint"

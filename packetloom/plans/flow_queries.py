@@ -154,6 +154,16 @@ def flow_build(spark, sf_dir):
 IAT_COLS = ID + GROUPS["flow_iat"][1]
 
 
+@query(
+    "flow_capture_by_load",
+    f"{flow_cte('capture')} SELECT {', '.join(shown_sql(c) for c in ALL)} FROM flows",
+)
+def flow_capture_by_load(spark, sf_dir):
+    """FLW0-16 with capture scope, each capture cut into slices of a hundred seconds, fuller ones by their load."""
+    packets = adapter(spark, sf_dir, "packets")
+    return shown(build_flows(packets, "capture", slice_us=100_000_000, slice_rows=100_000), ALL)
+
+
 @query(
     "flow_iat_capture",
     f"{flow_cte('capture')} SELECT {', '.join(shown_sql(c) for c in IAT_COLS)} FROM flows",
