@@ -33,7 +33,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, the one with the smallest doc_id.
 
-    Five-word shingles, Jaccard similarity of 0.8 or more.
+    Linked are fingerprints within four bits, found by the vantage-point forest,
+    and five-word shingle sets with a Jaccard similarity of 0.8 or more.
     """
     llm_session(spark)
     return simhash.drop_near_duplicates(docs)

@@ -8,9 +8,9 @@ every leaf that the triangle inequality cannot rule out at radius one, so the
 pairs across a boundary are found in the neighbour shard. Shards go on
 splitting inside their task and check the full 64 bits at the bottom.
 
-Near duplicates by similarity take another way, since no radius of a SimHash
-finds them all: a prefix filter over shingles, rare ones first, and the exact
-similarity of each pair that it leaves.
+No radius of a SimHash finds all texts of a similarity, so near duplicates get
+more links beside the forest's: a prefix filter over shingles, rare ones first,
+and the exact similarity of each pair that it leaves.
 """
 
 from __future__ import annotations
@@ -431,10 +431,37 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     return texts.select("doc_id", "row", "mark").join(kept, "mark").select("doc_id", "row", "kept_row")
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_SHINGLE) -> DataFrame:
-    """The rows of ``docs`` without those that ``similar_groups`` puts behind another row; all columns kept.
+def near_groups(
+    docs: DataFrame, within: int = MAX_DISTANCE, similarity: float = SIMILARITY, words: int = SIMILAR_SHINGLE
+) -> DataFrame:
+    """Near-duplicate classes of ``docs`` by both kinds of links: doc_id, row, kept_row for every row.
+
+    The vantage-point forest links fingerprints within ``within`` bits, as in
+    ``simhash_groups``; ``similar_groups`` adds the pairs of the similarity that
+    fingerprints tell apart. Links of either kind are followed. kept_row is the
+    row with the smallest doc_id (then first row) of the class.
+    """
+    forest = simhash_groups(docs, within).select("doc_id", "row", "component_row")
+    similar = similar_groups(docs, similarity, words).select("row", "kept_row")
+    rows = pinned(forest.join(similar, "row", "left").withColumn("kept_row", F.coalesce("kept_row", "row")))
+    # Classes of the forest that one class of similar texts meets are one; copies shrink to one pair first.
+    met = rows.select("kept_row", "component_row").distinct()
+    first = met.groupBy("kept_row").agg(F.min("component_row").alias("b"))
+    parts = connected_components(met.join(first, "kept_row").select(F.col("component_row").alias("a"), "b").filter("a != b"))
+    named = rows.join(parts, F.col("component_row") == F.col("node"), "left").select(
+        "doc_id", "row", F.coalesce("component", "component_row").alias("part")
+    )
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
+    least = named.groupBy("part").agg(F.min(order).alias("least"))
+    return named.join(least, "part").select("doc_id", "row", F.col("least.row").alias("kept_row"))
+
+
+def drop_near_duplicates(
+    docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_SHINGLE, within: int = MAX_DISTANCE
+) -> DataFrame:
+    """The rows of ``docs`` without those that ``near_groups`` puts behind another row; all columns kept.
 
     Nulls, empty texts, repeated rows and clashing columns are treated as there
     and never crash; an empty table gives no rows.
     """
-    return rows_by_place(docs, similar_groups(docs, similarity, words).filter("row != kept_row"), "left_anti")
+    return rows_by_place(docs, near_groups(docs, within, similarity, words).filter("row != kept_row"), "left_anti")

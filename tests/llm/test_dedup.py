@@ -206,6 +206,39 @@ def test_similar_texts_with_edits_in_one_place(llm_spark, monkeypatch, often):
     assert 20 < sum(w != i for i, w in enumerate(want)) < 120
 
 
+def test_near_groups_follow_fingerprints_and_similarity(llm_spark):
+    """Links of the forest count in the dedup stage too, alone and in chains with similar texts."""
+    rng = random.Random(11)
+
+    def words(n):
+        return ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(n)]
+
+    texts = ["", None, " \n"]
+    for _ in range(12):
+        # Fingerprints count repeats: these agree although their shingle sets hardly do.
+        phrase, tail = words(5) * 40, words(60)
+        texts += [" ".join(phrase + words(12)), " ".join(phrase + words(12)), " ".join(phrase[:60] + tail), " ".join(phrase + tail)]
+        base = words(200)
+        texts += [" ".join(base), " ".join(base[:180]), " ".join(words(50))]
+    sets, prints = [brute.shingles(t or "", 5) for t in texts], [brute.simhash(t or "") for t in texts]
+
+    def near(i, j):
+        return (prints[i] ^ prints[j]).bit_count() <= 4
+
+    def alike(i, j):
+        return sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9
+
+    ids = list(range(len(texts)))
+    want = brute._classes(ids, lambda i, j: near(i, j) or alike(i, j))
+    # Neither kind of link gives these classes alone.
+    assert want != brute._classes(ids, near) and want != brute._classes(ids, alike)
+    docs = made(llm_spark, list(enumerate(texts)), parts=1)
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    assert kept == set(want) and len(kept) < len(texts) - 20
+    found = {r.row: r.kept_row for r in simhash.near_groups(docs).collect()}
+    assert [found[i] for i in ids] == want
+
+
 def test_simhash_odd_rows(odd_docs, no_docs):
     rows = simhash.simhash_groups(odd_docs).collect()
     assert len(rows) == odd_docs.count()
