@@ -302,6 +302,22 @@ def test_repeats_query_against_brute_force(llm_spark, sf_dir, tables):
     assert {tuple(r) for r in queries.op7_suffix_dedup(llm_spark, sf_dir).collect()} == want
 
 
+@pytest.mark.parametrize("bits", [1 << 25, 2])
+def test_texts_without_repeats_stay_where_they_are(llm_spark, monkeypatch, bits):
+    """The filter of texts that travel misses none, passes few others, and when full changes no result."""
+    monkeypatch.setattr(lpf_dedup, "FILTER_BITS", bits)
+    rows = llm_spark.range(20_000).withColumnRenamed("id", "row")
+    marked = lpf_dedup._marked(rows, rows.filter("row % 37 = 0"))
+    assert marked.count() == 20_000 and marked.filter("row % 37 = 0 and not marked").count() == 0
+    assert marked.filter("marked").count() == 20_000 if bits == 2 else marked.filter("marked").count() < 600
+    assert lpf_dedup._marked(rows, rows.limit(0)).filter("marked").count() == 0
+    shared = "".join(chr(97 + i * i % 23) + str(i) for i in range(200))
+    docs = [(1, "first " + shared + " end"), (2, "lone text " * 3), (3, shared), (4, None), (5, "".join(map(str, range(300))))]
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in lpf_dedup.remove_repeats(made(llm_spark, docs)).collect()}
+    n = len(shared)
+    assert n >= 400 and out == {1: (n + 10, n, 1), 2: (30, 0, 0), 3: (n, n, 1), 4: (0, 0, 0), 5: (790, 0, 0)}
+
+
 def test_repeats_odd_rows(odd_docs, no_docs):
     rows = lpf_dedup.remove_repeats(odd_docs).collect()
     assert len(rows) == odd_docs.count()
