@@ -16,15 +16,17 @@ the next block, so memory is bounded by the block and the longest document.
 
 from __future__ import annotations
 
+import codecs
+import string
 import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -40,15 +42,18 @@ HARD_EVERY = 128
 # Shortest power of two offered as an unpadded length inside the stream.
 LEAST_POWER = 64
 CACHE_WORDS = 700_000
+# Marks that close a word are a token run of their own; none of them joins the letters before it.
+CLOSING = string.punctuation.encode()
 SENTENCE_MARKS = (".", "!", "?", "...", '."', '!"', '?"')
 _encoders: dict[str, WordIds] = {}
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> str:
     """The public byte-level alphabet: printable bytes stand for themselves, others for letters from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    rest = iter(range(256, 512))
+    known = set(plain)
+    return "".join(chr(b if b in known else next(rest)) for b in range(256))
 
 
 class WordIds(dict):
@@ -66,8 +71,8 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.model = self.tokenizer.model
-        self.letters = [_byte_letters()[b] for b in range(256)]
-        self.words: dict[str, list[int]] = {}
+        self.letters = _byte_letters()
+        self.words: dict[bytes, tuple[int, ...]] = {}
         marks = (self.tokenizer.token_to_id(m + "</w>") for m in SENTENCE_MARKS)
         self.marks = np.array([m for m in marks if m is not None], np.uint32)
         self.forget()
@@ -84,25 +89,33 @@ class WordIds(dict):
             _encoders[name] = cls(name)
         return _encoders[name]
 
-    def _plain(self, word: str) -> list[int]:
+    def _plain(self, word: bytes) -> tuple[int, ...]:
+        """Ids of a word of Latin letters in lower case."""
         found = self.words.get(word)
         if found is None:
-            mapped = "".join(map(self.letters.__getitem__, word.encode()))
-            found = self.words[word] = [t.id for t in self.model.tokenize(mapped)]
+            mapped = codecs.charmap_decode(word, "strict", self.letters)[0]
+            found = self.words[word] = tuple([t.id for t in self.model.tokenize(mapped)])
         return found
 
     def __missing__(self, piece: bytes) -> int:
-        text = piece.decode("utf-8", "replace")
-        word = text.rstrip(".,;:!?")
-        if word.isalpha() and max(word) < "ɐ" and "İ" not in word:
-            ids = self._plain(word.lower())
-            if len(word) < len(text):
-                tail = text[len(word) :]
+        stem = piece.rstrip(CLOSING)
+        word = b""
+        if stem.isalpha():
+            # ASCII letters; bytes know no others.
+            word = stem.lower()
+        elif stem:
+            text = stem.decode("utf-8", "replace")
+            if text.isalpha() and max(text) < "ɐ" and "İ" not in text:
+                word = text.lower().encode()
+        if word:
+            ids = self._plain(word)
+            if len(stem) < len(piece):
+                tail = piece[len(stem) :]
                 if tail not in self.words:
-                    self.words[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
+                    self.words[tail] = tuple(self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids)
                 ids = ids + self.words[tail]
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
         self[piece] = number = len(self.begins) - 1
         self.flat.extend(ids)
         self.begins.append(len(self.flat))
@@ -112,9 +125,12 @@ class WordIds(dict):
         """Per text the ids that the library gives, and the closing id."""
         if len(self) > CACHE_WORDS:
             self.forget()
-        pieces = [text.split() for text in texts]
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        number = np.fromiter(map(self.__getitem__, chain.from_iterable(pieces)), np.int64, int(counts.sum()))
+        # Arrow splits the texts and tells pieces apart; each different one of the batch is looked up once.
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        counts = split.value_lengths().to_numpy()
+        pieces = split.flatten().view(pa.binary()).dictionary_encode()
+        known = pieces.dictionary.to_pylist()
+        number = np.fromiter(map(self.__getitem__, known), np.int64, len(known))[pieces.indices.to_numpy()]
         begins, flat = np.array(self.begins), np.array(self.flat, np.uint32)
         sizes = begins[number + 1] - begins[number]
         stops = np.cumsum(sizes)

@@ -63,6 +63,24 @@ def test_encoder_equals_the_library(reference_tokenizer):
         assert ids.tolist() == [*reference_tokenizer.encode(text, add_special_tokens=False).ids, packing.END_ID]
 
 
+def test_closing_marks_are_encoded_once(reference_tokenizer):
+    """Any run of marks after a word is looked up as such: the library sees each run once, not each word."""
+    rng, calls = random.Random(9), []
+
+    class Counted:
+        def encode(self, text, **options):
+            calls.append(text)
+            return reference_tokenizer.encode(text, **options)
+
+    encoder = packing.WordIds(packing.TOKENIZER)
+    encoder.tokenizer = Counted()
+    marks = ["", "***", "$$$", ",%%%", "'", "&&&", "|>", '."', "!)"]
+    words = ["".join(rng.choice("abcdeéßñXÄ") for _ in range(rng.randint(1, 9))) + rng.choice(marks) for _ in range(500)]
+    text = "  " + " \n".join(words) + " "
+    assert encoder.encode([text.encode()])[0].tolist()[:-1] == reference_tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(calls) <= len(marks)
+
+
 @pytest.mark.parametrize("last", [True, False])
 def test_monotone_queue_finds_the_least_cost(last):
     rng = random.Random(4)
