@@ -172,6 +172,7 @@ def _joining_links(index: np.ndarray, query: np.ndarray, mask: np.uint64, reach:
 def near_links(fps: DataFrame, within: int = MAX_DISTANCE, bands: int = BANDS) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that span the graph of pairs within ``within`` bits.
 
+    a and b are the fingerprints, or their numbers in a column id if there is one.
     Every pair within the distance is compared; a shard reports only links that
     join groups it had not joined yet, so a dense group gives as many links as
     members, not pairs.
@@ -186,15 +187,19 @@ def near_links(fps: DataFrame, within: int = MAX_DISTANCE, bands: int = BANDS) -
     fit = np.sort(np.array([r.fp for r in sample.collect()] or [0], np.int64)).view(np.uint64)
     trees = [VantageTree(fit, (a, b - a), depth, reach) for a, b in pairwise(edges)]
 
+    names = [c for c in ("fp", "id") if c in fps.columns]
+
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             mine = pdf["fp"].to_numpy().view(np.uint64)
             for t, tree in enumerate(trees):
                 for side, far in ((0, 0), (1, tree.reach)):
                     row, leaf = tree.shards(mine, far)
-                    yield pd.DataFrame({"tree": np.int32(t), "shard": leaf, "side": np.int32(side), "fp": mine[row].view(np.int64)})
+                    carried = {c: pdf[c].to_numpy()[row] for c in names}
+                    yield pd.DataFrame({"tree": np.int32(t), "shard": leaf, "side": np.int32(side), **carried})
 
-    placed = fps.select("fp").mapInPandas(place, "tree int, shard bigint, side int, fp bigint")
+    kinds = ", ".join(f"{c} bigint" for c in names)
+    placed = fps.select(*names).mapInPandas(place, f"tree int, shard bigint, side int, {kinds}")
     sizes = placed.groupBy("tree", "shard").agg(
         F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("n_index"),
         F.sum("side").alias("n_query"),
@@ -218,7 +223,9 @@ def near_links(fps: DataFrame, within: int = MAX_DISTANCE, bands: int = BANDS) -
         query = pdf["side"].to_numpy() == 1
         mask = np.uint64(masks[int(pdf["tree"].iloc[0])])
         links = _joining_links(values[~query], values[query], mask, reach, within)
-        both = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
+        both = np.array(links, np.uint64).reshape(-1, 2)
+        order = np.argsort(values)
+        both = pdf[names[-1]].to_numpy()[order[np.searchsorted(values, both, sorter=order)]]
         return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
     found = spread.groupBy("tree", "shard", "slice").applyInPandas(search, "a bigint, b bigint")
@@ -285,7 +292,7 @@ def _often(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """doc_id, row, mark (names the shingle set), size and prefix (the rarest shingles) of each row.
+    """doc_id, row, fp (the fingerprint), mark (names the shingle set), size and prefix (the rarest shingles) of each row.
 
     Two sets of this similarity share one of their prefixes' shingles: the
     other shingles are fewer than what they must have in common.
@@ -294,21 +301,22 @@ def _prefixes(docs: DataFrame, similarity: float, words: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, sizes, prefixes = [], [], []
-            for text in batch.column("text").to_pylist():
+            texts, marks, sizes, prefixes = batch.column("text").to_pylist(), [], [], []
+            fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            for text in texts:
                 found = shingle_set(text, words)
                 marks.append(xxhash.xxh3_128_digest(found.tobytes()))
                 sizes.append(len(found))
                 n = len(found) - math.ceil(similarity * len(found) - 1e-6) + 1 if len(found) else 0
                 prefixes.append(_by_rarity(found, often, counts)[:n].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64()),
-                 pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "row", "mark", "size", "prefix"],
+                [batch.column("doc_id"), batch.column("row"), pa.array(fps), pa.array(marks, pa.binary()),
+                 pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "row", "fp", "mark", "size", "prefix"],
             )
 
     rows = doc_bytes(docs).withColumn("row", F.monotonically_increasing_id())
-    return rows.mapInArrow(read, "doc_id bigint, row bigint, mark binary, size bigint, prefix array<bigint>")
+    return rows.mapInArrow(read, "doc_id bigint, row bigint, fp bigint, mark binary, size bigint, prefix array<bigint>")
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
@@ -329,7 +337,7 @@ def _similar(docs: DataFrame, pairs: DataFrame, similarity: float, words: int) -
             kept = pa.array(near, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in ("a", "b")], ["a", "b"])
 
-    named = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    named = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     rows = doc_bytes(docs).withColumn("row", F.monotonically_increasing_id()).join(named, "row").select("row", "text")
     found = pinned(rows.mapInArrow(sets, "row bigint, shingles array<bigint>"))
     both = pairs.join(found.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(
@@ -378,38 +386,29 @@ def _candidates(met: DataFrame, similarity: float) -> DataFrame:
     return counted.filter(_enough("shared", "m", "n", similarity)).select("a", "b")
 
 
-def _parts(ids: DataFrame, links: DataFrame) -> DataFrame:
-    """``ids`` with the component of each under the links, as part."""
-    joined = connected_components(links)
-    return ids.join(joined, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).drop(
-        "node", "component"
-    )
+def _classes(docs: DataFrame, within: int | None, similarity: float, words: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(all rows with their keys, kept_row by keys of the rows that have company, the keys): see ``near_groups``.
 
-
-def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_SHINGLE) -> DataFrame:
-    """Near-duplicate classes by word shingles: doc_id, row, kept_row for every row that has company, kept ones included.
-
-    Two texts are linked if their sets of ``words``-word shingles have a Jaccard
-    similarity of at least ``similarity``; links are followed. Candidates are
-    all texts that share a shingle of their prefixes, which no pair of that
-    similarity escapes. Equal sets are one class from the start, so copies are
-    never compared; each text is then compared with the first text that it
-    shares most with, and only pairs which that has not joined meet each other.
-    kept_row is the row with the smallest doc_id (then first row) of the class.
-    Texts without words equal each other.
+    One pass reads the fingerprint and the shingles of each text, and all links
+    are between row numbers, so one search for components follows both kinds;
+    a second adds the pairs that the first has not joined.
     """
     texts = pinned(_prefixes(docs, similarity, words))
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
-    # One row per different set and task before the shuffle.
-    classes = pinned(
-        texts.groupBy("mark").agg(
-            F.min(order).alias("best"), F.first("size").alias("size"), F.first("prefix").alias("prefix"),
-            F.count(F.lit(1)).alias("copies"),
-        ).withColumn("id", F.col("best.row"))
-    )
+    keys = ["mark"] if within is None else ["mark", "fp"]
+    # One row per different set (and fingerprint) and task before the shuffle.
+    kinds = texts.groupBy(*keys).agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("copies"))
+    for key in keys:
+        kinds = kinds.withColumn(f"first_{key}", F.min("best").over(Window.partitionBy(key))["row"])
+    kinds = pinned(kinds.withColumn("id", F.col("best.row")))
+    links = kinds.select(F.col("id").alias("a"), F.explode(F.array(*(f"first_{key}" for key in keys))).alias("b")).filter("a != b")
+    if within is not None:
+        links = links.union(near_links(kinds.filter("id = first_fp").select("fp", "id"), within))
+    # Equal sets are one class from the start.
+    sets = texts.groupBy("mark").agg(F.min(order)["row"].alias("id"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     shingle = Window.partitionBy("shingle")
     met = pinned(
-        classes.select("id", "size", F.explode("prefix").alias("shingle"))
+        sets.select("id", "size", F.explode("prefix").alias("shingle"))
         .withColumn("texts", F.count(F.lit(1)).over(shingle))
         .withColumn("least", F.min(F.struct("id", "size")).over(shingle))
         .filter("texts > 1")
@@ -419,16 +418,35 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     near = named.filter(_enough("n", "size", "least.size", similarity))
     stars = near.groupBy("id").agg(F.max(F.struct("n", (-F.col("least.id")).alias("back"))).alias("most"))
     stars = pinned(stars.select(F.col("id").alias("b"), (-F.col("most.back")).alias("a")))
-    links = pinned(_similar(docs, stars, similarity, words))
-    parts = pinned(_parts(met.select("id").distinct(), links))
-    known = met.join(parts, "id")
+    parts = connected_components(links.union(_similar(docs, stars, similarity, words)))
+    known = met.join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id"))
+    known = known.drop("node", "component")
     apart = known.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("shingle")
     pairs = pinned(_candidates(known.join(apart, "shingle"), similarity))
-    links = links.union(pinned(_similar(docs, pairs, similarity, words)))
-    named = _parts(classes.select("mark", "best", "copies", "id"), links)
-    least = named.groupBy("part").agg(F.min("best").alias("kept"), F.sum("copies").alias("copies")).filter("copies > 1")
-    kept = pinned(named.join(least.drop("copies"), "part").select("mark", F.col("kept.row").alias("kept_row")))
-    return texts.select("doc_id", "row", "mark").join(kept, "mark").select("doc_id", "row", "kept_row")
+    joined = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    parts = connected_components(joined.union(_similar(docs, pairs, similarity, words)))
+    placed = kinds.join(parts, F.col("id") == F.col("node"), "left").select(
+        *keys, "best", "copies", F.coalesce("component", "id").alias("part")
+    )
+    least = placed.groupBy("part").agg(F.min("best").alias("least"), F.sum("copies").alias("copies")).filter("copies > 1")
+    kept = pinned(placed.drop("copies").join(least, "part").select(*keys, F.col("least.row").alias("kept_row")))
+    return texts.select("doc_id", "row", *keys), kept, keys
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_SHINGLE) -> DataFrame:
+    """Near-duplicate classes by word shingles: doc_id, row, kept_row for every row that has company, kept ones included.
+
+    Two texts are linked if their sets of ``words``-word shingles have a Jaccard
+    similarity of at least ``similarity``; links are followed. Candidates are
+    all texts that share a shingle of their prefixes, which no pair of that
+    similarity escapes. Equal sets are one class from the start, so copies are
+    never compared; each text is then compared with the first text that it
+    shares most with, and only pairs which that has not joined meet each other.
+    kept_row is the row with the smallest doc_id (then first row) of the class.
+    Texts without words equal each other.
+    """
+    rows, kept, keys = _classes(docs, None, similarity, words)
+    return rows.join(kept, keys).select("doc_id", "row", "kept_row")
 
 
 def near_groups(
@@ -437,23 +455,12 @@ def near_groups(
     """Near-duplicate classes of ``docs`` by both kinds of links: doc_id, row, kept_row for every row.
 
     The vantage-point forest links fingerprints within ``within`` bits, as in
-    ``simhash_groups``; ``similar_groups`` adds the pairs of the similarity that
-    fingerprints tell apart. Links of either kind are followed. kept_row is the
-    row with the smallest doc_id (then first row) of the class.
+    ``simhash_groups``; the pairs of the similarity that fingerprints tell apart
+    are added as in ``similar_groups``. Links of either kind are followed.
+    kept_row is the row with the smallest doc_id (then first row) of the class.
     """
-    forest = simhash_groups(docs, within).select("doc_id", "row", "component_row")
-    similar = similar_groups(docs, similarity, words).select("row", "kept_row")
-    rows = pinned(forest.join(similar, "row", "left").withColumn("kept_row", F.coalesce("kept_row", "row")))
-    # Classes of the forest that one class of similar texts meets are one; copies shrink to one pair first.
-    met = rows.select("kept_row", "component_row").distinct()
-    first = met.groupBy("kept_row").agg(F.min("component_row").alias("b"))
-    parts = connected_components(met.join(first, "kept_row").select(F.col("component_row").alias("a"), "b").filter("a != b"))
-    named = rows.join(parts, F.col("component_row") == F.col("node"), "left").select(
-        "doc_id", "row", F.coalesce("component", "component_row").alias("part")
-    )
-    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
-    least = named.groupBy("part").agg(F.min(order).alias("least"))
-    return named.join(least, "part").select("doc_id", "row", F.col("least.row").alias("kept_row"))
+    rows, kept, keys = _classes(docs, within, similarity, words)
+    return rows.join(kept, keys, "left").select("doc_id", "row", F.coalesce("kept_row", "row").alias("kept_row"))
 
 
 def drop_near_duplicates(
@@ -464,4 +471,5 @@ def drop_near_duplicates(
     Nulls, empty texts, repeated rows and clashing columns are treated as there
     and never crash; an empty table gives no rows.
     """
-    return rows_by_place(docs, near_groups(docs, within, similarity, words).filter("row != kept_row"), "left_anti")
+    rows, kept, keys = _classes(docs, within, similarity, words)
+    return rows_by_place(docs, rows.join(kept, keys).filter("row != kept_row"), "left_anti")

@@ -239,6 +239,29 @@ def test_near_groups_follow_fingerprints_and_similarity(llm_spark):
     assert [found[i] for i in ids] == want
 
 
+def test_near_duplicates_take_few_tasks(llm_spark):
+    """Both kinds of links meet in one graph of row numbers: each task costs files and log lines, however few its rows."""
+    rng = random.Random(12)
+    base = [[rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(120)] for _ in range(40)]
+    texts = [" ".join(w if i else w[:110]) for w in base for i in range(2)] + [" ".join(base[0][:k]) for k in range(60, 120, 6)]
+    docs, sc = made(llm_spark, list(enumerate(texts)), parts=1), llm_spark.sparkContext
+    conf = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: llm_spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        llm_spark.conf.set(k, v)
+    try:
+        sc.setJobGroup("near-tasks", "tasks of the near-duplicate stage")
+        assert simhash.drop_near_duplicates(docs).count() == 40
+        tracker = sc.statusTracker()
+        stages = {s for job in tracker.getJobIdsForGroup("near-tasks") for s in tracker.getJobInfo(job).stageIds}
+        tasks = sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+    finally:
+        for k, v in before.items():
+            llm_spark.conf.set(k, v)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks < 140 * 20
+
+
 def test_simhash_odd_rows(odd_docs, no_docs):
     rows = simhash.simhash_groups(odd_docs).collect()
     assert len(rows) == odd_docs.count()
