@@ -36,6 +36,8 @@ BANDS = 3
 SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
 # Texts under one shingle that meet another such block at a time.
 BLOCK_TEXTS = 1024
+# Shingles that a candidate pair must share within its prefixes, where they are long enough for so many.
+MEETINGS = 3
 # Texts of the sample that tells frequent shingles, the least count there, and the shingles kept (all bounded).
 RARITY_TEXTS, OFTEN, OFTEN_SHINGLES = 4096, 3, 100_000
 # Distinct fingerprints that a tree is fitted on (bounded; every one is indexed).
@@ -358,32 +360,35 @@ def _enough(shared: str, m: str, n: str, similarity: float) -> Column:
 
 
 def _candidates(met: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different parts that can have the similarity, for rows (shingle, texts, id, size, part).
-
-    ``met`` has every prefix shingle that two parts share. All pairs of texts
-    under a shingle meet; those with many texts are cut into blocks and each
-    pair of blocks is a group of its own.
+    """Pairs (a, b) of different parts that can have the similarity, for rows (shingle, at, texts, id, size, part).
+
+    ``met`` has every prefix shingle that two parts share, ``at`` is its place in
+    the prefix. All pairs of texts under a shingle meet; those with many texts are
+    cut into blocks and each pair of blocks is a group of its own. Sets that
+    must have s shingles in common have k of them among their first size - s + k
+    ones: of the set that ends there first, s - k are left. So a pair meets
+    under rare shingles only, and a group of texts under the limit makes few rows.
     """
     blocks = F.ceil(F.col("texts") / BLOCK_TEXTS).cast("int")
     dealt = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    side = ("shingle", "i", "j", "id", "size", "part")
+    side = ("shingle", "at", "i", "j", "id", "size", "part")
     left = dealt.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1)))
     right = dealt.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block"))))
     x, y = left.select(*side).alias("x"), right.select(*side).alias("y")
+    m, n = F.col("x.size"), F.col("y.size")
+    common = F.ceil((m + n) * (similarity / (1 + similarity)) - 1e-6)
+    # No prefix is longer than size - similarity * size + 1.
+    needed = F.least(F.lit(MEETINGS), common - F.ceil(F.greatest(m, n) * similarity - 1e-6) + 1)
     pairs = x.join(
         y,
         (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
         & ((F.col("x.i") < F.col("x.j")) | (F.col("x.id") < F.col("y.id"))) & (F.col("x.part") != F.col("y.part"))
-        & (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * similarity - 1e-6),
-    )
-    mine = F.col("x.id") < F.col("y.id")
-    named = pairs.select(
-        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"),
-        F.when(mine, F.col("x.size")).otherwise(F.col("y.size")).alias("m"),
-        F.when(mine, F.col("y.size")).otherwise(F.col("x.size")).alias("n"),
+        & (F.least(m, n) >= F.greatest(m, n) * similarity - 1e-6)
+        & (F.col("x.at") < m - common + needed) & (F.col("y.at") < n - common + needed),
     )
-    counted = named.groupBy("a", "b", "m", "n").agg(F.count(F.lit(1)).alias("shared"))
-    return counted.filter(_enough("shared", "m", "n", similarity)).select("a", "b")
+    named = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), needed.alias("needed"))
+    counted = named.groupBy("a", "b", "needed").agg(F.count(F.lit(1)).alias("shared"))
+    return counted.filter("shared >= needed").select("a", "b")
 
 
 def _classes(docs: DataFrame, within: int | None, similarity: float, words: int) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -408,7 +413,7 @@ def _classes(docs: DataFrame, within: int | None, similarity: float, words: int)
     sets = texts.groupBy("mark").agg(F.min(order)["row"].alias("id"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     shingle = Window.partitionBy("shingle")
     met = pinned(
-        sets.select("id", "size", F.explode("prefix").alias("shingle"))
+        sets.select("id", "size", F.posexplode("prefix").alias("at", "shingle"))
         .withColumn("texts", F.count(F.lit(1)).over(shingle))
         .withColumn("least", F.min(F.struct("id", "size")).over(shingle))
         .filter("texts > 1")

@@ -206,6 +206,34 @@ def test_similar_texts_with_edits_in_one_place(llm_spark, monkeypatch, often):
     assert 20 < sum(w != i for i, w in enumerate(want)) < 120
 
 
+def test_large_groups_below_the_limit_meet_under_rare_shingles(llm_spark):
+    """A big family whose members are just too different: few rows of pairs are made, and similar pairs stay."""
+    size, family = 100, 60
+    rng = random.Random(13)
+    # Sets of 100 that share 89 have 3 of them among their first 14: here only frequent shingles behind are alike.
+    rows = [(f, 12 + f, family, i, size, i) for i in range(family) for f in range(9)]
+    want = {(i, i + 1) for i in range(family, family + 20, 2)}
+    for i, j in want:
+        kept = sorted(rng.sample(range(21), 14))
+        rows += [(1000 * i + k, k, 2, i, size, i) for k in kept] + [(1000 * i + k, at, 2, j, size, j) for at, k in enumerate(kept)]
+    met = llm_spark.createDataFrame(rows, "shingle bigint, at int, texts bigint, id bigint, size bigint, part bigint")
+
+    def joined(plan):
+        found = [joined(plan.children().apply(k)) for k in range(plan.children().size())]
+        own = plan.metrics().apply("numOutputRows").value() if plan.nodeName().endswith("Join") else 0
+        return max([own, *found])
+
+    llm_spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = simhash._candidates(met, 0.8)
+        assert {tuple(r) for r in pairs.collect()} == want
+        made_rows = joined(pairs._jdf.queryExecution().executedPlan())
+    finally:
+        llm_spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # Two of nine shingles count, and those of the ten pairs.
+    assert 0 < made_rows < 3 * family * (family - 1) // 2
+
+
 def test_near_groups_follow_fingerprints_and_similarity(llm_spark):
     """Links of the forest count in the dedup stage too, alone and in chains with similar texts."""
     rng = random.Random(11)
