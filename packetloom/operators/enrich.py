@@ -14,6 +14,11 @@ from packetloom.functions.ip import is_public_ip, normalize_ip, v4_number, v6_he
 from packetloom.functions.labels import file_name, file_stem
 from packetloom.operators.sizing import small
 
+# IPv4 addresses in their mapped form, as numbers of 128 bits.
+MAPPED = 0xFFFF << 32
+# Blocks of ranges that a task gathers before it hands them on.
+BLOCK_ROWS = 50_000
+
 
 def manifest_labels(
     rows: DataFrame, path_col: str, manifest: DataFrame, default: str = "BENIGN", out: str = "label"
@@ -90,34 +95,79 @@ def _near(single: DataFrame, single_ts: str, copied: DataFrame, copied_ts: str,
     return one, many, near
 
 
+def _aligned(low: str, high: str) -> tuple[int, int, list[tuple[int, int]]] | None:
+    """First address, width and (bits, first address) of the whole-prefix blocks of a range, as numbers of 128 bits.
+
+    None for what is no address, of two families or the wrong way round.
+    """
+    try:
+        a, z = ipaddress.ip_address(low), ipaddress.ip_address(high)
+        if a.version != z.version or a > z:
+            return None
+    except (ValueError, TypeError):
+        return None
+    lift = MAPPED if a.version == 4 else 0
+    at, end, blocks = int(a) + lift, int(z) + lift, []
+    first, width = at, end - at
+    while at <= end:
+        # The largest block that begins here: by the zeros the address ends in and by what is left of the range.
+        size = min((at & -at).bit_length() - 1 if at else 128, (end - at + 1).bit_length() - 1)
+        blocks.append((128 - size, at))
+        at += 1 << size
+    return first, width, blocks
+
+
+def _spread(ranges: DataFrame) -> DataFrame:
+    """A range table is small before its ranges are cut, and would be cut by the one task that reads its file."""
+    return ranges.repartition(ranges.sparkSession.sparkContext.defaultParallelism)
+
+
+def prefix_lengths(ranges: DataFrame) -> list[int]:
+    """The lengths of all blocks of ``prefix_blocks``, ascending; 129 at most."""
+
+    def lengths(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: set[int] = set()
+        for pdf in frames:
+            for low, high in zip(pdf["ip_lo"], pdf["ip_hi"], strict=True):
+                cut = _aligned(low, high)
+                met.update(bits for bits, _ in cut[2]) if cut else None
+        yield pd.DataFrame({"bits": sorted(met)}, dtype="int32")
+
+    found = _spread(ranges.select("ip_lo", "ip_hi")).mapInPandas(lengths, "bits int")
+    return sorted(r[0] for r in found.distinct().collect())
+
+
 def prefix_blocks(ranges: DataFrame, attributes: list[str]) -> DataFrame:
     """(bits, prefix, width, low, attributes) of address ranges given as texts ``ip_lo`` and ``ip_hi``, both families.
 
     A range falls into blocks of whole prefixes, 254 at most. Addresses are 32
     hex digits, IPv4 in its mapped form; ``prefix`` is the block's first
     address. Ranges that are no addresses, of two families or the wrong way
-    round are dropped. Only the range table runs through this.
+    round are dropped. Only the range table runs through this, and a task holds
+    about ``BLOCK_ROWS`` blocks at a time.
     """
-    mapped = 0xFFFF << 32
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = []
+
+            def frame(at: list[int], out: list[tuple], pdf: pd.DataFrame = pdf) -> pd.DataFrame:
+                cut = pd.DataFrame(out, columns=["bits", "prefix", "width", "low"])
+                return pd.concat([cut, pdf[attributes].iloc[at].reset_index(drop=True)], axis=1)
+
+            at, out = [], []
             for i, (low, high) in enumerate(zip(pdf["ip_lo"], pdf["ip_hi"], strict=True)):
-                try:
-                    a, z = ipaddress.ip_address(low), ipaddress.ip_address(high)
-                    blocks = list(ipaddress.summarize_address_range(a, z))
-                except (ValueError, TypeError):
+                if (cut := _aligned(low, high)) is None:
                     continue
-                shift, lift = (96, mapped) if a.version == 4 else (0, 0)
-                width, first = f"{int(z) - int(a):032x}", f"{int(a) + lift:032x}"
-                out += [(i, b.prefixlen + shift, f"{int(b.network_address) + lift:032x}", width, first) for b in blocks]
-            at = [o[0] for o in out]
-            cut = pd.DataFrame([o[1:] for o in out], columns=["bits", "prefix", "width", "low"])
-            yield pd.concat([cut, pdf[attributes].iloc[at].reset_index(drop=True)], axis=1)
+                first, width = f"{cut[0]:032x}", f"{cut[1]:032x}"
+                out += [(bits, f"{prefix:032x}", width, first) for bits, prefix in cut[2]]
+                at += [i] * len(cut[2])
+                if len(out) >= BLOCK_ROWS:
+                    yield frame(at, out)
+                    at, out = [], []
+            yield frame(at, out)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranges.select(*attributes).schema)
-    return ranges.select("ip_lo", "ip_hi", *attributes).mapInPandas(
+    return _spread(ranges.select("ip_lo", "ip_hi", *attributes)).mapInPandas(
         split, f"bits int, prefix string, width string, low string, {kinds}"
     )
 
@@ -134,32 +184,42 @@ def geo_enrich_any(events: DataFrame, ip_col: str, ranges: DataFrame, attributes
     """JON4 for both address families and nested or overlapping ranges (text ``ip_lo`` to ``ip_hi``).
 
     The narrowest range that holds an address counts, of equal ones the lowest.
-    Each distinct public address asks once per prefix length that the table has
-    (128 at most), by equi-joins on the block's first address, so neither side
-    is broadcast or sorted whole; what many addresses share, such as a short
-    prefix, is one row on the table's side.
+    Each distinct text is read once, and each distinct public address asks once
+    per prefix length that the table has (128 at most), by equi-joins on the
+    block's first address, so neither side is broadcast or sorted whole; what
+    many addresses share, such as a short prefix, is one row on the table's
+    side. The planner judges the blocks by the table they are cut from, a
+    hundredth of their size, and addresses by their compressed size, so hints
+    keep it from broadcasting either through the driver.
     """
-    blocks = prefix_blocks(ranges, attributes)
-    lengths = sorted(r[0] for r in blocks.select("bits").distinct().collect())  # 129 at most
-    address = events.withColumn("geo_ip", normalize_ip(F.col(ip_col)))
+    lengths = prefix_lengths(ranges)
+    blocks = prefix_blocks(ranges, attributes).hint("merge")
+    address = events.withColumn("__raw", F.col(ip_col))
     digits = F.when(
         F.contains("geo_ip", F.lit(":")), v6_hex(F.col("geo_ip"))
     ).otherwise(F.concat(F.lit("0" * 20 + "ffff"), F.lpad(F.lower(F.hex(v4_number(F.col("geo_ip")))), 8, "0")))
-    asked = address.select("geo_ip").where(F.col("geo_ip").isNotNull()).distinct().where(is_public_ip(F.col("geo_ip")))
+    # Exploded, as filters on what is read would else run below the distinct, on every event and several times.
+    texts = address.select("__raw").where(F.col("__raw").isNotNull()).distinct().select(
+        "__raw", F.explode(F.array(normalize_ip(F.col("__raw")))).alias("geo_ip")
+    )
+    asked = texts.select("geo_ip").where(F.col("geo_ip").isNotNull()).distinct().where(is_public_ip(F.col("geo_ip")))
     asked = asked.withColumn("__digits", digits).withColumn("bits", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")))
     asked = asked.withColumn("prefix", _first_of_block(F.col("__digits"), F.col("bits")))
     found = asked.join(blocks, ["bits", "prefix"]).groupBy("geo_ip").agg(
         F.min(F.struct("width", "low", *attributes)).alias("__hit")
     ).withColumn("__known", F.lit(True))
-    joined = address.join(found, "geo_ip", "left").withColumns({a: F.col("__hit")[a] for a in attributes})
+    known = texts.withColumn("__public", is_public_ip(F.col("geo_ip"))).join(found.hint("merge"), "geo_ip", "left")
+    joined = address.drop("geo_ip").join(known.hint("merge"), "__raw", "left").select(
+        "geo_ip", *[c for c in events.columns if c != "geo_ip"], "__public", "__hit", "__known"
+    ).withColumns({a: F.col("__hit")[a] for a in attributes})
     reason = (
         F.when(F.col("geo_ip").isNull(), F.lit("missing_or_invalid_ip"))
-        .when(~is_public_ip(F.col("geo_ip")), F.lit("non_public_ip"))
+        .when(~F.col("__public"), F.lit("non_public_ip"))
         .when(F.col("__known").isNull(), F.lit("not_found"))
     )
     return joined.withColumns(
         {"geo_provider": F.lit(K.GEO_PROVIDER), "geo_resolved": F.col("__known").isNotNull(), "geo_reason": reason}
-    ).drop("__hit", "__known")
+    ).drop("__public", "__hit", "__known")
 
 
 def merge_with_scans(detections: DataFrame, scans: DataFrame, window_seconds: int, how: str = "inner") -> DataFrame:

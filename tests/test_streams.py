@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import random
 import warnings
 
@@ -170,6 +171,40 @@ def test_narrowest_range_of_either_family(spark):
     assert enrich.geo_enrich_any(events, "ip", ranges.limit(0), ["owner"]).where("geo_resolved").count() == 0
 
 
+def test_blocks_of_ranges_are_whole_prefixes_whatever_the_frame(spark, monkeypatch):
+    rng = random.Random(4)
+    pairs = [("0.0.0.0", "255.255.255.255"), ("::", "f" * 4 + ":ffff" * 7), ("::", "::"), ("1.2.3.4", "1::"), ("9.0.0.9", "9.0.0.1"), ("x", "::")]
+    for kind, size in ((ipaddress.IPv4Address, 32), (ipaddress.IPv6Address, 128)):
+        ends = [sorted(rng.getrandbits(rng.randrange(1, size + 1)) for _ in "ab") for _ in range(12)]
+        pairs += [tuple(str(kind(e)) for e in pair) for pair in ends]
+    want = set()
+    for low, high in pairs[:3] + pairs[6:]:
+        a, z = ipaddress.ip_address(low), ipaddress.ip_address(high)
+        lift, more = (0xFFFF << 32, 96) if a.version == 4 else (0, 0)
+        for b in ipaddress.summarize_address_range(a, z):
+            want.add((b.prefixlen + more, f"{int(b.network_address) + lift:032x}", f"{int(z) - int(a):032x}", f"{int(a) + lift:032x}", f"{low}-{high}"))
+    ranges = spark.createDataFrame([(a, z, f"{a}-{z}") for a, z in pairs], "ip_lo string, ip_hi string, owner string")
+    for most in (enrich.BLOCK_ROWS, 3):
+        monkeypatch.setattr(enrich, "BLOCK_ROWS", most)
+        got = [tuple(r) for r in enrich.prefix_blocks(ranges, ["owner"]).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert enrich.prefix_lengths(ranges) == sorted({w[0] for w in want})
+
+
+def test_blocks_are_not_broadcast_for_the_size_of_their_ranges(spark):
+    # Each range makes 71 blocks, so the planner sees a seventieth of what it would broadcast.
+    ranges = spark.range(40).selectExpr(
+        "printf('2a00:%04x:0:0:0:0:0:0', id) AS ip_lo", "printf('2a00:%04x:0:ff:ffff:ffff:ffff:fffd', id) AS ip_hi", "id AS owner"
+    )
+    # One address in several spellings, and others in none.
+    events = spark.range(200).selectExpr("id", "if(id % 2 = 0, printf('2A00:%x::5', id % 50), concat('[2a00:', hex(id % 50), '::5]:', id)) AS ip")
+    out = enrich.geo_enrich_any(events, "ip", ranges, ["owner"])
+    assert out.columns == ["geo_ip", "id", "ip", "owner", "geo_provider", "geo_resolved", "geo_reason"]
+    rows = out.collect()
+    assert len(rows) == 200 and all(r.owner == (r.id % 50 if r.id % 50 < 40 else None) and r.geo_ip == f"2a00:{r.id % 50:x}::5".replace(":0::", "::") for r in rows)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_core_queries_do_not_need_the_corpus_ones(monkeypatch):
     def fails(name):
         raise ImportError(name)
