@@ -25,6 +25,7 @@ from packetloom.operators.trees import TreeModel, fit_boosted, fit_extra_trees
 # --- Fixed values: default model sizes ---
 FOREST = {"numTrees": 200, "maxDepth": 20}
 BOOSTED = {"maxIter": 200, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8}
+FOLDS, FOLD = 5, "__fold"
 MODEL_NAMES = ["random_forest", "gbt", "extra_trees"]
 ALIASES = {
     "rf": "random_forest", "randomforest": "random_forest", "random_forest": "random_forest",
@@ -239,20 +240,24 @@ def fit_bases(train: DataFrame, names: list[str], classes: int, seed: int, param
     return [train_base(name, train, classes, seed, **params.get(name, {})) for name in names]
 
 
+def fold_of(keys: list[str], folds: int, seed: int) -> Column:
+    return F.pmod(F.conv(F.substring(sampling.order_hash(f"{seed}-fold", keys), 1, 8), 16, 10).cast("bigint"), F.lit(folds))
+
+
 def fit_stacking(
-    train: DataFrame, names: list[str], classes: int, keys: list[str], folds: int = 5, seed: int = 42, params: dict | None = None
+    train: DataFrame, names: list[str], classes: int, keys: list[str], folds: int = FOLDS, seed: int = 42, params: dict | None = None
 ) -> Model:
     """ML14: balanced logistic meta-model on out-of-fold probabilities.
 
     Folds come from the row hash, so every row is predicted by models that
-    never saw it.
+    never saw it. A column ``FOLD`` of ``train`` stands for that hash. The
+    probabilities are predicted once, into the shuffle that deals them evenly.
     """
     params = params or {}
-    fold = F.pmod(F.conv(F.substring(sampling.order_hash(f"{seed}-fold", keys), 1, 8), 16, 10).cast("bigint"), F.lit(folds))
-    parted = train.withColumn("__fold", fold)
+    parted = train if FOLD in train.columns else train.withColumn(FOLD, fold_of(keys, folds, seed))
     pieces = None
     for k in range(folds):
-        rest, held = parted.where(F.col("__fold") != k), parted.where(F.col("__fold") == k)
+        rest, held = parted.where(F.col(FOLD) != k).drop(FOLD), parted.where(F.col(FOLD) == k)
         cols = []
         for base in fit_bases(rest, names, classes, seed, params):
             held = base.probabilities(held, "features", f"__p_{base.name}")
@@ -262,7 +267,8 @@ def fit_stacking(
     meta = LogisticRegression(
         featuresCol="meta", labelCol="y", weightCol="weight", maxIter=params.get("meta_iter", 100), family="multinomial"
     )
-    return meta.fit(pieces)
+    # Every step of the fit is a task per partition, and each fold has as many as the table.
+    return meta.fit(pieces.repartition(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def train_pipeline(
@@ -282,8 +288,8 @@ def train_pipeline(
     ``features`` are raw columns: numbers, numeric text, times or categories;
     their preparation is fitted on the training rows and kept. Labels of any
     kind get dense codes. ``keys`` identify a row and shrink to one hash. The
-    split is persisted to disk-backed storage only: a lost executor recomputes
-    its part.
+    split, then the prepared rows in its place, are persisted to disk-backed
+    storage only: a lost executor recomputes its part.
     """
     params = params or {}
     names = model_names(models)
@@ -293,20 +299,24 @@ def train_pipeline(
     coded, mapping = dense_labels(df.select(key, F.col(label).alias("__label"), *features), "__label")
     classes = mapping.count()
     split = sampling.stratified_split(coded.drop("__label"), "y", keys, test_fraction, seed).persist(StorageLevel.DISK_ONLY)
+    filled = None
     try:
         profile = prep.fit_profile(split.where("NOT is_test").select(*features))
-        filled = prepared(split, profile, [*keys, "y", "is_test"])
+        filled = prepared(split, profile, [*keys, "y", "is_test"]).persist(StorageLevel.DISK_ONLY)
         train, test = filled.where("NOT is_test"), filled.where("is_test")
         profile.means, profile.stds = prep.fit_scaler(train, features)
+        split.unpersist()
         chosen = features
         if 0 < k_best < len(features):
             scores = prep.anova_f(train, features, "y")
             chosen = [r["feature"] for r in prep.select_k_best(scores, k_best).collect()]  # one row per feature
         ready = prep.balanced_weights(prep.scale(train, {c: profile.means[c] for c in chosen}, profile.stds), "y")
-        ready = _assemble(ready, chosen).select(*keys, "y", "weight", "features").persist(StorageLevel.DISK_ONLY)
+        stacked = stacking and len(names) > 1
+        fold = [fold_of(keys, FOLDS, seed).alias(FOLD)] if stacked else []
+        ready = _assemble(ready, chosen).select(*keys, "y", "weight", "features", *fold).persist(StorageLevel.DISK_ONLY)
         try:
-            bases = fit_bases(ready, names, classes, seed, params)
-            meta = fit_stacking(ready, names, classes, keys, seed=seed, params=params) if stacking and len(bases) > 1 else None
+            bases = fit_bases(ready.drop(FOLD), names, classes, seed, params)
+            meta = fit_stacking(ready, names, classes, keys, seed=seed, params=params) if stacked else None
         finally:
             ready.unpersist()
         ensemble = Ensemble(chosen, mapping, classes, profile, bases, meta)
@@ -314,6 +324,8 @@ def train_pipeline(
         ensemble.metrics = evaluate_predictions(scored).first().asDict() | {"test_rows": float(scored.count())}
     finally:
         split.unpersist()
+        if filled is not None:
+            filled.unpersist()
     return ensemble
 
 

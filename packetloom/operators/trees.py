@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,21 +53,25 @@ class Tree:
         self.value += [self.value[node], self.value[node]]
         return first, first + 1
 
-    def frozen(self) -> tuple[np.ndarray, ...]:
-        return np.array(self.feature), np.array(self.threshold), np.array(self.below), np.array(self.above)
-
-
-def route(x: np.ndarray, nodes: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Leaf or open node of every row."""
-    feature, threshold, below, above = nodes
-    at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
-    while True:
-        split = feature[at]
-        moving = split >= 0
-        if not moving.any():
-            return at
-        goes = np.where(x[rows, np.maximum(split, 0)] <= threshold[at], below[at], above[at])
-        at = np.where(moving, goes, at)
+    def frozen(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Feature, threshold and children (above, below) by node, and the depth; a leaf is its own child."""
+        feature = np.array(self.feature)
+        leaf, own, depth = feature < 0, np.arange(len(feature)), np.zeros(len(feature), np.int64)
+        children = np.stack([np.where(leaf, own, self.above), np.where(leaf, own, self.below)], axis=1)
+        level = np.zeros(1, np.int64)
+        while len(level := level[~leaf[level]]):
+            level, deeper = children[level].ravel(), depth[level[0]] + 1
+            depth[level] = deeper
+        return np.maximum(feature, 0), np.array(self.threshold), children.ravel(), int(depth.max())
+
+
+def route(x: np.ndarray, nodes: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> np.ndarray:
+    """Leaf or open node of every row; what is not at or under the threshold, as NaN, goes above."""
+    feature, threshold, children, depth = nodes
+    at, start, cells = np.zeros(len(x), np.int64), np.arange(len(x)) * x.shape[1], np.ravel(x)
+    for _ in range(depth):
+        at = children.take(2 * at + (cells.take(start + feature.take(at)) <= threshold.take(at)))
+    return at
 
 
 @dataclass
@@ -93,11 +96,12 @@ class TreeModel:
         return score
 
     def probabilities(self, df: DataFrame, features: str, out: str) -> DataFrame:
-        score = self.scorer()
+        score, classes = self.scorer(), self.classes
 
-        @F.pandas_udf("array<double>")
-        def shares(x: pd.Series) -> pd.Series:
-            return pd.Series(list(score(np.stack(x.to_numpy())))) if len(x) else pd.Series([], dtype=object)
+        @F.arrow_udf("array<double>")
+        def shares(x: pa.Array) -> pa.Array:
+            p = score(_lists(x)) if len(x) else np.zeros((0, classes))
+            return pa.ListArray.from_arrays(np.arange(len(p) + 1, dtype=np.int32) * classes, p.ravel())
 
         return df.withColumn(out, shares(vector_to_array(features)))
 
@@ -131,7 +135,10 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
     """[row, entry] of a list column whose lists are of one length."""
-    column = batch.column(name)
+    return _lists(batch.column(name))
+
+
+def _lists(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
@@ -154,7 +161,8 @@ def _sums(rows: DataFrame, add: Callable[[pa.RecordBatch, np.ndarray], None], si
 
 def _count(index: np.ndarray, amounts: np.ndarray, total: np.ndarray) -> None:
     # Doubles hold a batch's sums of whole numbers below 2^53 exactly.
-    total += np.bincount(index, amounts, len(total)).astype(np.int64)
+    found = np.bincount(index, amounts)
+    total[: len(found)] += found.astype(np.int64)
 
 
 def _rows(df: DataFrame, *more: Column) -> DataFrame:
@@ -196,10 +204,19 @@ def fit_extra_trees(
     training range; a node none of whose draws parts its rows draws again, on
     ranges narrowed to one side of its rows where a draw left the other empty.
     """
-    rows = _rows(df)
-    wide = len(rows.select("x").first()[0])
+    lists = _rows(df)
+    wide = len(lists.select("x").first()[0])
     k = per_node or max(1, round(wide**0.5))
-    ends = rows.agg(*[f(F.col("x")[i]) for f in (F.min, F.max) for i in range(wide)]).first()
+    # Vectors are read once; plain columns reach the passes without a step per row.
+    rows = lists.select("y", "w", *[F.col("x")[i].alias(f"x{i}") for i in range(wide)]).persist(StorageLevel.DISK_ONLY)
+    try:
+        return _grown(rows, wide, k, classes, seed, trees, depth)
+    finally:
+        rows.unpersist()
+
+
+def _grown(rows: DataFrame, wide: int, k: int, classes: int, seed: int, trees: int, depth: int) -> TreeModel:
+    ends = rows.agg(*[f(f"x{i}") for f in (F.min, F.max) for i in range(wide)]).first()
     grown = [Tree() for _ in range(trees)]
     first = np.array(ends[:wide], float), np.array(ends[wide:], float)
     level = [_Open(t, 0, first[0].copy(), first[1].copy()) for t in range(trees)]
@@ -210,7 +227,7 @@ def fit_extra_trees(
         for at in range(0, len(level), room):
             part = level[at : at + room]
             drawn = [o.candidates(seed, k) for o in part]
-            sums = _candidate_sums(rows, grown, part, drawn, k, classes).reshape(len(part), k + 1, classes)
+            sums = _candidate_sums(rows, wide, grown, part, drawn, k, classes).reshape(len(part), k + 1, classes)
             for o, (features, thresholds), found in zip(part, drawn, sums, strict=True):
                 following += _grow(grown[o.tree], o, features, thresholds, found, depth)
         level = following
@@ -220,7 +237,7 @@ def fit_extra_trees(
 
 
 def _candidate_sums(
-    rows: DataFrame, grown: list[Tree], part: list[_Open], drawn: list[tuple], k: int, classes: int
+    rows: DataFrame, wide: int, grown: list[Tree], part: list[_Open], drawn: list[tuple], k: int, classes: int
 ) -> np.ndarray:
     """Weight per open node, candidate (the last one: all rows) and class of the rows at or under the threshold."""
     by_tree: dict[int, list[int]] = {}
@@ -233,21 +250,24 @@ def _candidate_sums(
     for tree, slots in by_tree.items():
         slot_of = np.full(len(grown[tree].feature), -1)
         slot_of[[part[s].node for s in slots]] = slots
-        routes.append((grown[tree].frozen(), slot_of))
+        routes.append((grown[tree].frozen(), slot_of, min(slots)))
 
     def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        x, y = _matrix(batch, "x"), batch.column("y").to_numpy().astype(np.int64)
-        w = batch.column("w").to_numpy()
-        for nodes, slot_of in routes:
+        x = np.stack([batch.column(f"x{i}").to_numpy() for i in range(wide)], axis=1)
+        y, w = batch.column("y").to_numpy().astype(np.int64), batch.column("w").to_numpy()
+        for nodes, slot_of, first in routes:
             slot = slot_of[route(x, nodes)]
-            here = np.flatnonzero(slot >= 0)
-            if not len(here):
+            here = slot >= 0
+            if not here.any():
                 continue
-            s = slot[here]
-            _count((s * (k + 1) + k) * classes + y[here], w[here], total)
+            at, s, z, mine = (x, slot, y, w) if here.all() else (x[here], slot[here], y[here], w[here])
+            cells, start = np.ravel(at), np.arange(len(at)) * wide
+            # Slots of a tree lie together, so sums from its first one on are short.
+            cell, own = (s - first) * ((k + 1) * classes) + z, total[first * (k + 1) * classes :]
+            _count(cell + k * classes, mine, own)
             for c in range(k):
-                low = x[here, features[s, c]] <= thresholds[s, c]
-                _count((s[low] * (k + 1) + c) * classes + y[here[low]], w[here[low]], total)
+                low = cells.take(start + features[:, c].take(s)) <= thresholds[:, c].take(s)
+                _count(cell + c * classes, mine * low, own)
 
     return _sums(rows, add, len(part) * (k + 1) * classes)
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -74,6 +75,51 @@ def test_a_round_takes_one_pass_per_level(spark, monkeypatch):
     assert len(passes) <= 5 + trees.TRIES - 1
 
 
+def test_passes_read_plain_columns_kept_on_disk(spark, monkeypatch):
+    from packetloom.operators import trees
+
+    read = []
+    sums = trees._sums
+    monkeypatch.setattr(trees, "_sums", lambda rows, add, size: read.append(rows) or sums(rows, add, size))
+    kept = []
+    persist = type(spark.range(1)).persist
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda df, level: kept.append(df) or persist(df, level))
+    fit_extra_trees(table(spark, steps(200)), 3, trees=3, depth=3)
+    assert read and all(dict(r.dtypes) == {"y": "int", "w": "double", "x0": "double", "x1": "double"} and r in kept for r in read)
+    assert not any(r.storageLevel.useDisk for r in kept)
+
+
+def test_predictions_of_all_folds_are_dealt_evenly(spark, monkeypatch):
+    from packetloom.operators import models
+
+    fitted = []
+    fit = models.LogisticRegression.fit
+    monkeypatch.setattr(models.LogisticRegression, "fit", lambda self, df: fitted.append(df.rdd.getNumPartitions()) or fit(self, df))
+    df = table(spark, steps(120)).repartition(11).persist()
+    params = {"extra_trees": {"numTrees": 2, "maxDepth": 2}, "meta_iter": 3}
+    models.fit_stacking(df, ["extra_trees"], 3, ["row_key"], folds=2, params=params)
+    assert fitted == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+    df.unpersist()
+
+
+def test_scores_are_those_of_a_walk_down_each_tree_and_stay_in_arrow(spark):
+    x = [[a, b] for a in (-1.0, 30.0, float("nan"), 1e300) for b in (float("-inf"), 0.0, 1.0, float("nan"))]
+    model = fit_extra_trees(table(spark, steps(300)), 3, trees=4, depth=6)
+
+    def walk(tree, row):
+        n = 0
+        while tree.feature[n] >= 0:
+            n = tree.below[n] if row[tree.feature[n]] <= tree.threshold[n] else tree.above[n]
+        return tree.value[n]
+
+    scored = model.probabilities(table(spark, [(row, 0) for row in x]).orderBy("row_key"), "features", "p")
+    for row, r in zip(x, scored.collect(), strict=True):
+        each = [walk(tree, row) for tree in model.trees]
+        assert r.p == pytest.approx([sum(v[c] for v in each) / 4 for c in range(3)], abs=1e-12)
+    # 250 is the scalar Arrow function, 200 the pandas one.
+    assert re.search(r"ArrowEvalPython \[shares.*, 250", scored._jdf.queryExecution().executedPlan().toString())
+
+
 @pytest.mark.parametrize("name", ["gbt", "extra_trees"])
 def test_models_survive_save_and_load(spark, tmp_path, name):
     df = table(spark, steps(200))
